@@ -38,8 +38,9 @@ def query(name: str, sql: str | None = None, views: str = "gt det cases"):
 
 def r6(c: Column | str, alias: str | None = None) -> Column:
     """Round to six digits, the precision at which results are compared."""
+    name = alias or (c if isinstance(c, str) else None)
     out = F.round(F.col(c) if isinstance(c, str) else c, 6)
-    return out.alias(alias) if alias else out
+    return out.alias(name) if name else out
 
 
 def big(c: Column | str) -> Column:

@@ -17,6 +17,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
