@@ -108,11 +108,11 @@ def _tiles(t):
         "case_id", "s.x1", "s.y1", (F.col("s.x1") + 24).alias("x2"), (F.col("s.y1") + 24).alias("y2"), F.lit(0.0).alias("z1"), F.lit(16.0).alias("z2"))
 
 
-@query("d8_ensemble_by_tiles", _TILES + f", de AS (SELECT d.*, coalesce((SELECT sum({inter('d', 't')}/{area('d')}) FROM tl t), 0.0) AS cover FROM det d)," + wbc_sql("wb", 0.2, det="de", expected="cover", mw=0.7)
+@query("d8_ensemble_by_tiles", _TILES + f", de AS (SELECT d.*, coalesce((SELECT sum({inter('d', 't')}/{area('d')}) FROM tl t), 0.0) AS cover FROM det d)," + wbc_sql("wb", 0.2, det="de", expected="cover", mw=0.7310585)
        + f" SELECT det_id, members, {R('score')} AS score FROM wb WHERE score > 0.0")
 def _(t):
     covered = D.expected_from_tiles(t.det, _tiles(t))
-    return D.ensemble(covered, 10_000, 0.2, n_expected="n_expected", missing_weight=0.7).select("det_id", "members", r6("score"))
+    return D.ensemble(covered, 10_000, 0.2, n_expected="n_expected", missing_weight=0.7310585).select("det_id", "members", r6("score"))
 
 
 @query("d11_tile_overlap_mean", _TILES + f" SELECT d.det_id, {R('coalesce((SELECT sum(' + inter('d', 't') + '/' + area('d') + ') FROM tl t), 0.0)')} AS n_expected FROM det d")
