@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,25 +23,26 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; choose one ourselves only in local mode."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; we choose one ourselves only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="boxtally-ckpt-"))
-    else:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="boxtally-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the written copy.
+    """Write ``df`` as a table below the checkpoint folder and go on from the written copy.
 
     Iterative operators call this once per round, so a lost executor costs a re-read of the last
-    round rather than a replay of the whole loop.
+    round rather than a replay of the loop. Unlike a checkpoint this computes ``df`` once, and the
+    copy is columnar, so what follows still prunes columns and knows its size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/boxtally-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -115,7 +115,8 @@ class Tables:
     @cached_property
     def voxels(self) -> DataFrame:
         axis = "explode(sequence(CAST({0}1 AS BIGINT), CAST({0}2 AS BIGINT) - 1)) AS {0}"
-        df = self.gt
+        # one box becomes hundreds of voxels: spread the boxes before exploding them
+        df = self.gt.repartition(self.spark.sparkContext.defaultParallelism, "gt_id")
         keep = ["case_id", "gt_id", "label", "grade"]
         df = df.selectExpr(*keep, "x1", "x2", "y1", "y2", axis.format("z"))
         df = df.selectExpr(*keep, "x1", "x2", "z", axis.format("y"))

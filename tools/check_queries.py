@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from boxtally.plans.catalogue import ORACLES, QUERIES  # noqa: E402
 from boxtally.session import local_session  # noqa: E402
 
+SECONDS: dict[str, tuple[float, float]] = {}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -44,11 +45,14 @@ def ordered(rows, names):
 
 def compare(spark, con, name: str, sf_dir: str) -> str | None:
     """None when the query equals its check SQL, else what differs."""
+    t0 = time.time()
     df = QUERIES[name](spark, sf_dir)
     rows = df.collect()
+    t1 = time.time()
     if name not in ORACLES:
         return None
     cur = con.execute(ORACLES[name])
+    SECONDS[name] = (t1 - t0, time.time() - t1)
     names = [d[0] for d in cur.description]
     want = ordered(cur.fetchall(), names)
     got = ordered([tuple(r) for r in rows], df.columns)
@@ -83,7 +87,7 @@ def main() -> int:
         mark = "ok  " if problem is None else "FAIL"
         failed += problem is not None
         kind = "" if name in ORACLES else " (no sql)"
-        print(f"{mark} {name}{kind} {time.time() - t0:.1f}s {problem or ''}", flush=True)
+        print(f"{mark} {name}{kind} {time.time() - t0:.1f}s {SECONDS.get(name, '')} {problem or ''}", flush=True)
     print(f"{failed} failed")
     return 1 if failed else 0
 
