@@ -35,6 +35,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """An unused path below the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/boxtally-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the checkpoint folder and go on from the written copy.
 
@@ -43,6 +48,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     copy is columnar, so what follows still prunes columns and knows its size.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/boxtally-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

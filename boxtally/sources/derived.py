@@ -104,9 +104,13 @@ class Tables:
     def gt(self) -> DataFrame:
         return self._view("gt", "events", self("events"))
 
+    def det_of(self, events: DataFrame) -> DataFrame:
+        """Detections of any events table, streaming ones included."""
+        return self._view("det", "det_base", self._view("det_base", "events", events))
+
     @cached_property
     def det(self) -> DataFrame:
-        return self._view("det", "det_base", self._view("det_base", "events", self("events")))
+        return self.det_of(self("events"))
 
     @cached_property
     def cases(self) -> DataFrame:

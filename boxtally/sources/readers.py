@@ -105,7 +105,7 @@ def read_instance_labels(spark: SparkSession, path) -> DataFrame:
 
 def list_items(text, separator: str = ","):
     """Split a list column, trim the items and drop blanks."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(text, separator), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def explode_marksheet(sheet: DataFrame) -> DataFrame:
@@ -135,6 +135,13 @@ def read_splits(spark: SparkSession, path, folds: int = 5) -> DataFrame:
     return explode_splits(parsed.select(F.posexplode("folds").alias("fold", "s")))
 
 
+def read_split_lines(spark: SparkSession, path) -> DataFrame:
+    """Fold lists cut into lines ``{"fold": .., "train": [..], "val": [..]}``, for cohorts too long for one document."""
+    schema = T.StructType([T.StructField("fold", S.L), T.StructField("train", T.ArrayType(S.S)), T.StructField("val", T.ArrayType(S.S))])
+    lines = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return explode_splits(lines.select("fold", F.struct("train", "val").alias("s")))
+
+
 def explode_splits(folds: DataFrame) -> DataFrame:
     roles = F.explode(F.create_map(F.lit("train"), F.col("s.train"), F.lit("val"), F.col("s.val"))).alias("role", "ids")
     return folds.select(F.col("fold").cast("long").alias("fold"), roles).select("fold", "role", F.explode("ids").alias("case_id"))
