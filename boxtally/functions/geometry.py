@@ -123,8 +123,10 @@ def center_in_box(inner: Box, outer: Box, eps: float = 0.01) -> Column:
     return center_margin(inner, outer) > F.lit(eps)
 
 
-def sides_at_least(b: Box, min_size: float) -> Column:
-    return reduce(lambda p, q: p & q, [s >= F.lit(min_size) for s in box_size(b)])
+def sides_at_least(b: Box, min_size: float | Sequence[float]) -> Column:
+    """Every side at least ``min_size``, one number or one per axis."""
+    limits = [min_size] * b.dim if isinstance(min_size, (int, float)) else min_size
+    return reduce(lambda p, q: p & q, [s >= F.lit(float(m)) for s, m in zip(box_size(b), limits)])
 
 
 def clip_box(b: Box, shape: Sequence[Column]) -> Box:
@@ -208,11 +210,11 @@ def encode_offsets(target: Box, source: Box, weights: Sequence[float] | None = N
     """Centre shifts relative to the source size, and log size ratios, each times its weight."""
     weights = weights or [1.0] * (2 * target.dim)
     shifts = [
-        F.lit(weights[i]) * (ct - cs) / ss
+        F.try_divide(F.lit(weights[i]) * (ct - cs), ss)
         for i, (ct, cs, ss) in enumerate(zip(box_center(target), box_center(source), box_size(source)))
     ]
     scales = [
-        F.lit(weights[target.dim + i]) * F.log(st / ss)
+        F.lit(weights[target.dim + i]) * F.log(F.try_divide(st, ss))
         for i, (st, ss) in enumerate(zip(box_size(target), box_size(source)))
     ]
     return shifts, scales

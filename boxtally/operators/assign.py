@@ -28,21 +28,25 @@ def iou_assign(
     k = list(keys)
     thin = cands.select(*k, "det_id", *BOX_COLUMNS)
     targets = gts.select(*k, "gt_id", *BOX_COLUMNS)
-    pairs = box_pairs(thin, targets, k, cell=cell).select(
-        *k, F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), box_iou(box("a_"), box("b_")).alias("iou")
-    )
-    best = pairs.groupBy(*k, "det_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("o"), "gt_id")).alias("m"))
-    joined = thin.select(*k, "det_id").join(best, [*k, "det_id"], "left")
+    # copies of a box share their answer, so only distinct boxes are paired
+    place = [*k, *BOX_COLUMNS]
+    pairs = box_pairs(
+        thin.groupBy(*place).agg(F.min("det_id").alias("det_id")), targets.groupBy(*place).agg(F.min("gt_id").alias("gt_id")), k, cell=cell
+    ).withColumn("iou", box_iou(box("a_"), box("b_")))
+    mine = [F.col(f"a_{c}").alias(c) for c in BOX_COLUMNS]
+    best = pairs.groupBy(*k, *mine).agg(F.max(F.struct("iou", (-F.col("b_gt_id")).alias("o"), F.col("b_gt_id").alias("gt_id"))).alias("m"))
+    joined = thin.join(best, place, "left").select(*k, "det_id", "m")
     iou = F.coalesce("m.iou", F.lit(0.0))
     out = joined.select(
         *k, "det_id", F.when(iou < low, BELOW).when(iou < high, BETWEEN).otherwise(F.col("m.gt_id")).alias("gt_id"), iou.alias("iou")
     )
     if not best_per_gt:
         return out
-    top = pairs.groupBy(*k, "gt_id").agg(F.max(F.struct("iou", (-F.col("det_id")).alias("o"), "det_id")).alias("t"))
+    theirs = [F.col(f"b_{c}").alias(c) for c in BOX_COLUMNS]
+    top = pairs.groupBy(*k, *theirs).agg(F.max(F.struct("iou", (-F.col("a_det_id")).alias("o"), F.col("a_det_id").alias("det_id"))).alias("t"))
     first = thin.groupBy(*k).agg(F.min("det_id").alias("first"))
     claims = (
-        targets.select(*k, "gt_id").join(top, [*k, "gt_id"], "left").join(first, k)
+        targets.join(top, place, "left").join(first, k)
         .groupBy(*k, F.coalesce("t.det_id", "first").alias("det_id"))
         .agg(F.max(F.struct("gt_id", F.coalesce("t.iou", F.lit(0.0)).alias("iou"))).alias("c"))
     )

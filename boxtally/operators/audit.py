@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxtally.operators.curves import union_all
+from boxtally.operators.curves import number_rows, union_all
 
 GRADES = (2, 3, 4, 5)
 STAGES = ("source", "resampled", "inplane", "final")
@@ -403,7 +403,7 @@ def prevalence(entries: DataFrame) -> DataFrame:
 
 def rank_ids(df: DataFrame, keys: Sequence[str], id_col: str, alias: str = "instance_id") -> DataFrame:
     """Renumber ids of a group from 1 in their order."""
-    w = Window.partitionBy(*keys).orderBy(id_col)
-    return df.withColumn(alias, F.dense_rank().over(w).cast("long"))
+    ids = number_rows(df.select(*keys, id_col).distinct(), keys, [F.asc(id_col)], alias)
+    return df.join(ids, [*keys, id_col])
 
 

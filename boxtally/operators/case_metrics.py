@@ -27,7 +27,7 @@ def average_precision(scored: DataFrame, large: bool = False) -> DataFrame:
     """Σ (recall step × precision) over distinct scores from the top."""
     per = scored.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
     run = running_totals(per, [], [F.desc("score")], {"tp": "p", "seen": "n"}, large)
-    return run.agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("ap"))
+    return run.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")).alias("ap"))
 
 
 def case_metrics(scored: DataFrame, threshold: float = 0.5, large: bool = False) -> DataFrame:

@@ -24,28 +24,42 @@ def running_totals(
     order: Sequence[Column],
     sums: Mapping[str, str],
     large: bool = False,
+    how: str = "sum",
 ) -> DataFrame:
-    """Add ``sums`` (new name -> summed column) accumulated in ``order`` within ``keys``.
+    """Add ``sums`` (new name -> source column) accumulated in ``order`` within ``keys``.
 
-    With ``large`` no window ever spans more than one range partition: rows are range-partitioned
-    by (keys, order), each partition is accumulated on its own and shifted by the total of the
-    partitions before it. The partition number is fixed by a checkpoint, so both uses of it
-    agree. The table of partition totals has at most (partitions + keys) rows.
+    ``how`` is ``sum`` or ``max``. With ``large`` no window ever spans more than one range
+    partition: rows are range-partitioned by (keys, order), each partition is accumulated on its
+    own and combined with the total of the partitions before it. The partition number is fixed by
+    writing the placed rows out, so both uses of it agree. The table of partition totals has at
+    most (partitions + keys) rows.
     """
+    fold = {"sum": F.sum, "max": F.max}[how]
     if not large:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+        return df.select("*", *[fold(c).over(w).alias(n) for n, c in sums.items()])
     spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     placed = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    shift = totals.select(
-        *keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums]
-    )
+    totals = placed.groupBy(*keys, "_part").agg(*[fold(c).alias(f"_t_{n}") for n, c in sums.items()])
+    shift = totals.select(*keys, "_part", *[fold(f"_t_{n}").over(before).alias(f"_s_{n}") for n in sums])
     local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.select("*", *[F.sum(c).over(local).alias(f"_l_{n}") for n, c in sums.items()])
-    out = summed.join(shift, [*keys, "_part"])
-    return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums])
+    summed = placed.select("*", *[fold(c).over(local).alias(f"_l_{n}") for n, c in sums.items()])
+    # null-safe on the keys: a key may be null
+    same = [summed[k].eqNullSafe(shift[k]) for k in keys] + [summed["_part"] == shift["_part"]]
+    out = summed.join(shift, same)
+
+    def combined(n: str) -> Column:
+        here, earlier = F.col(f"_l_{n}"), F.col(f"_s_{n}")
+        return F.greatest(here, earlier) if how == "max" else here + F.coalesce(earlier, F.lit(0))
+
+    return out.select(*[summed[c] for c in df.columns], *[combined(n).alias(n) for n in sums])
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], alias: str = "n") -> DataFrame:
+    """1-based position in a total order within ``keys``; large tables go by range partitions."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    return running_totals(one, keys, order, {alias: "_one"}, large=exceeds(df)).drop("_one")
 
 
 def tie_grouped_curve(
@@ -161,8 +175,21 @@ def rank_auroc(
     return ranked.groupBy(*keys).agg(F.when(pairs > 0, wins / pairs).alias(alias))
 
 
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of every group, with their rank."""
+    """The first ``k`` rows of every group, with their rank.
+
+    Up to ``GROUP_LIMIT`` Spark prunes each group on the map side. Beyond, groups are first cut to
+    their best ``k`` in salted slices, so no task sorts more of a group than the slices can hold.
+    """
+    if k > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        slices = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        salted = df.withColumn("_salt", salt).withColumn(rank, F.row_number().over(slices))
+        df = salted.filter(F.col(rank) <= k).drop("_salt", rank)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
@@ -179,18 +206,13 @@ def patience(
     Non-finite values neither improve nor count. An improvement must be strict.
     """
     finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    order = Window.partitionBy(*keys).orderBy(step)
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    v = F.when(finite, F.col(value))
-    out = df.withColumn("_better", finite & (v > F.coalesce(F.max(v).over(past), F.lit(float("-inf")))))
-    out = out.withColumn("_island", F.sum(F.col("_better").cast("long")).over(upto))
-    idle = Window.partitionBy(*keys, "_island").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.select(
-        "*", F.max(v).over(upto).alias("best"),
-        F.sum((finite & ~F.col("_better")).cast("long")).over(idle).alias("idle_steps"),
-    )
-    return out.withColumn("fired", F.col("idle_steps") >= wait).drop("_better", "_island")
+    large = exceeds(df)
+    seen = df.withColumn("_v", F.when(finite, F.col(value))).withColumn("_c", finite.cast("long"))
+    # rows that share the best value so far form one island, opened by the improvement itself
+    best = running_totals(seen, keys, [F.asc(step)], {"best": "_v"}, large, how="max")
+    counted = running_totals(best, [*keys, "best"], [F.asc(step)], {"_n": "_c"}, large)
+    idle = F.greatest(F.col("_n") - 1, F.lit(0))
+    return counted.select(*df.columns, "best", idle.alias("idle_steps"), (idle >= wait).alias("fired"))
 
 
 def delta_vs_baseline(

@@ -23,7 +23,8 @@ def gt_support(gts: DataFrame, keys: Sequence[str] = ("label",)) -> DataFrame:
 
 
 def coco_ap(
-    events: DataFrame, gts: DataFrame, max_detections: Sequence[int] = (1, 10, 100), steps: int = 100, large: bool = False
+    events: DataFrame, gts: DataFrame, thresholds: Sequence[float], max_detections: Sequence[int] = (1, 10, 100),
+    steps: int = 100, large: bool = False,
 ) -> DataFrame:
     """Precision and score at ``steps`` + 1 recall levels, per threshold, class and detection cap.
 
@@ -51,10 +52,9 @@ def coco_ap(
     fits = lambda lvl: F.col("tp") * steps >= lvl * F.col("num_gt")
     level = F.when(fits(F.col("guess") + 1), F.col("guess") + 1).when(fits(F.col("guess")), F.col("guess")).otherwise(F.col("guess") - 1)
     best = points.withColumn("level", level).groupBy(*keys, "level").agg(F.max("pr").alias("pr"), F.max("score").alias("s"))
-    thresholds = events.select("iou_thr").distinct()
     # every class with support gets a full curve, whether or not anything was detected
     frame = (
-        support.select("label").join(F.broadcast(thresholds))
+        support.select("label", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("iou_thr"))
         .select("label", "iou_thr", caps)
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("level"))
         .withColumn("level", F.col("level").cast("long"))
@@ -163,11 +163,11 @@ def harmonized_froc(
     ).na.fill(0)
     curve = tie_grouped_curve(flags, ["analysis"], ["fp", *tps], large=large)
     curve = curve.join(F.broadcast(support)).join(F.broadcast(patients))
-    x = F.col("fp") / F.col("num_patients")
+    x = F.try_divide(F.col("fp"), F.col("num_patients"))
     parts = []
     for g in GRADES:
         mine = curve.filter(F.col("analysis").isin(0, g))
-        read = value_at_budget(mine, ["analysis", f"n{g}", "num_patients"], x, F.col(f"tp{g}") / F.col(f"n{g}"), targets)
+        read = value_at_budget(mine, ["analysis", f"n{g}", "num_patients"], x, F.try_divide(F.col(f"tp{g}"), F.col(f"n{g}")), targets)
         parts.append(read.select(
             F.when(F.col("analysis") == 0, "generic").otherwise("grade_specific").alias("analysis"),
             F.lit(g).cast("long").alias("grade"), "target",
@@ -254,7 +254,10 @@ def fp_at_sensitivity(curve: DataFrame, targets: Sequence[float] = (0.6, 0.8, 0.
 def best_overlap(dets: DataFrame, gts: DataFrame, keys: Sequence[str] = ("case_id",), cell: float | None = 32.0) -> DataFrame:
     """Each detection's ground truth of largest IoU (lowest id on ties), null when nothing overlaps."""
     thin = dets.select(*keys, "det_id", "x1", "y1", "x2", "y2", "z1", "z2")
-    gt = gts.select(*keys, "gt_id", F.col("label").alias("target"), "x1", "y1", "x2", "y2", "z1", "z2")
+    # of identical ground truth only the lowest id can be the answer
+    gt = gts.groupBy(*keys, "x1", "y1", "x2", "y2", "z1", "z2").agg(
+        F.min("gt_id").alias("gt_id"), F.min_by("label", "gt_id").alias("target")
+    )
     pairs = box_pairs(thin, gt, keys, cell=cell).withColumn("iou", box_iou(box("a_"), box("b_")))
     best = pairs.groupBy(*keys, F.col("a_det_id").alias("det_id")).agg(
         F.max_by(F.struct(F.col("b_gt_id").alias("gt_id"), F.col("b_target").alias("target"), "iou"),
@@ -275,7 +278,7 @@ def argmax_overlap_label(dets: DataFrame, gts: DataFrame, min_iou: float, cell:
 def missed_gt(dets: DataFrame, gts: DataFrame, min_iou: float, cell: float | None = 32.0) -> DataFrame:
     """Ground truth that no detection reaches with at least ``min_iou``."""
     thin = gts.select("case_id", "gt_id", "x1", "y1", "x2", "y2", "z1", "z2")
-    boxes = dets.select("case_id", "x1", "y1", "x2", "y2", "z1", "z2")
+    boxes = dets.select("case_id", "x1", "y1", "x2", "y2", "z1", "z2").distinct()
     near = box_pairs(thin, boxes, ("case_id",), cell=cell).filter(box_iou(box("a_"), box("b_")) >= min_iou)
     return gts.join(near.select("case_id", F.col("a_gt_id").alias("gt_id")), ["case_id", "gt_id"], "left_anti")
 

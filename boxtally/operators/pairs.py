@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxtally.functions.geometry import BOX_COLUMNS, Box, box, box_center, box_iou, ranges_intersect
+from boxtally.functions.geometry import BOX_COLUMNS, box, box_center, box_iou, ranges_intersect
 
 
 def prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -81,13 +81,16 @@ def pairwise_iou_stats(boxes: DataFrame, keys: Sequence[str], id_col: str, cell:
     Disjoint pairs have IoU 0, so they enter the mean through the pair count n·(n−1) and are
     never produced as rows.
     """
-    cols = [*keys, id_col, *BOX_COLUMNS]
-    thin = boxes.select(*cols)
+    # copies of a box count as one box with a multiplicity, so a stack of them yields one pair
+    unique = boxes.groupBy(*keys, *BOX_COLUMNS).agg(F.count(F.lit(1)).alias("m"), F.min(id_col).alias("uid"))
+    same = F.col("a_uid") == F.col("b_uid")
+    times = F.col("a_m") * F.when(same, F.col("b_m") - 1).otherwise(F.col("b_m"))
     near = (
-        iou_join(thin, thin, keys, cell=cell)
-        .filter(F.col(f"a_{id_col}") != F.col(f"b_{id_col}"))
+        iou_join(unique, unique, keys, cell=cell)
+        .withColumn("times", times)
+        .filter(F.col("times") > 0)
         .groupBy(*keys)
-        .agg(F.sum("iou").alias("_s"), F.max("iou").alias("_m"), F.count(F.lit(1)).alias("overlapping_pairs"))
+        .agg(F.sum(F.col("iou") * F.col("times")).alias("_s"), F.max("iou").alias("_m"), F.sum("times").alias("overlapping_pairs"))
     )
     totals = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_boxes"))
     pairs = F.col("num_boxes") * (F.col("num_boxes") - 1)
@@ -109,24 +112,18 @@ def neighbour_count(
     The band join runs on a grid as wide as the patch, so each centre is compared with the
     neighbouring cells only.
     """
-    centre = box_center(box(dim=len(patch)))
-    points = boxes.select(
-        *keys,
-        F.col(id_col),
-        *[c.alias(f"c{i}") for i, c in enumerate(centre)],
-        *[F.floor(c / p).alias(f"g{i}") for i, (c, p) in enumerate(zip(centre, patch))],
-    )
+    dims = range(len(patch))
+    centre = [f"c{i}" for i in dims]
+    placed = boxes.select(*keys, F.col(id_col), *[c.alias(n) for c, n in zip(box_center(box(dim=len(patch))), centre)])
+    # boxes with one centre are counted once and told the same number
+    points = placed.groupBy(*keys, *centre).agg(F.count(F.lit(1)).alias("m"))
+    points = points.select("*", *[F.floor(F.col(c) / p).alias(f"g{i}") for i, (c, p) in enumerate(zip(centre, patch))])
+    grid = [f"g{i}" for i in dims]
     probes = points
-    grid = [f"g{i}" for i in range(len(patch))]
     for g in grid:
         probes = probes.withColumn(g, F.explode(F.sequence(F.col(g) - 1, F.col(g) + 1)))
-    a, b = prefixed(probes, [*keys, *grid], "a_"), prefixed(points, [*keys, *grid], "b_")
-    near = a.join(b, [*keys, *grid])
+    near = prefixed(probes, [*keys, *grid], "a_").join(prefixed(points, [*keys, *grid], "b_"), [*keys, *grid])
     for i, p in enumerate(patch):
         near = near.filter(F.abs(F.col(f"a_c{i}") - F.col(f"b_c{i}")) <= p / 2.0)
-    return near.groupBy(*keys, F.col(f"a_{id_col}").alias(id_col)).agg(
-        F.count(F.lit(1)).alias("neighbours")
-    )
-
-
-__all__ = ["Box", "box_pairs", "iou_join", "neighbour_count", "pairwise_iou_stats", "prefixed"]
+    sums = near.groupBy(*keys, *[F.col(f"a_{c}").alias(c) for c in centre]).agg(F.sum("b_m").alias("neighbours"))
+    return placed.join(sums, [*keys, *centre]).select(*keys, id_col, "neighbours")

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxtally.functions.values import draw
-from boxtally.operators.curves import exceeds, running_totals
+from boxtally.operators.curves import number_rows
 
 
 def dense_index(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), alias: str = "idx") -> DataFrame:
     """0-based index in a total order within ``keys``."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(one, keys, order, {"_i": "_one"}, large=exceeds(df)).withColumn(alias, F.col("_i") - 1).drop("_i", "_one")
+    return number_rows(df, keys, order, "_i").withColumn(alias, F.col("_i") - 1).drop("_i")
 
 
 def slots(spark: SparkSession, batches: int, batch_size: int) -> DataFrame:
@@ -47,7 +46,7 @@ def foreground_sampler(
         groups = instances.groupBy(strata).agg(F.count(F.lit(1)).alias("_n"))
         groups = dense_index(groups, [F.asc(strata)], alias="_g")
         total = groups.agg(F.count(F.lit(1)).alias("_k"))
-        fg = sized(fg, total).withColumn("_g", draw(F.col("slot"), F.col("batch")) % F.col("_k")).join(F.broadcast(groups), "_g")
+        fg = sized(fg, total).withColumn("_g", draw(F.col("slot"), F.col("batch")) % F.col("_k")).join(groups, "_g")
     else:
         fg = sized(fg, instances.agg(F.count(F.lit(1)).alias("_n")))
     fg = fg.withColumn("idx", pick % F.col("_n")).join(pool, [*keys, "idx"]).select("batch", "slot", "case_id", "instance_id")
@@ -82,11 +81,10 @@ def hard_negative_sample(
         raise ValueError(f"unknown mode {mode!r}")
     num_neg = F.least(F.col("_n"), want)
     quota = counts.select(*k, num_pos.alias("_qp"), num_neg.alias("_qn"), F.floor(num_neg * pool_size).alias("_pool"))
-    drawn = Window.partitionBy(*k).orderBy("_o", "det_id")
-    best = Window.partitionBy(*k).orderBy(F.desc("score"), F.asc("det_id"))
-    p = pos.withColumn("_o", order).withColumn("_r", F.row_number().over(drawn)).join(quota, k).filter(F.col("_r") <= F.col("_qp"))
-    pool = neg.withColumn("_b", F.row_number().over(best)).join(quota, k).filter(F.col("_b") <= F.col("_pool"))
-    n = pool.withColumn("_o", order).withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= F.col("_qn"))
+    drawn, best = [F.asc("_o"), F.asc("det_id")], [F.desc("score"), F.asc("det_id")]
+    p = number_rows(pos.withColumn("_o", order), k, drawn, "_r").join(quota, k).filter(F.col("_r") <= F.col("_qp"))
+    pool = number_rows(neg, k, best, "_b").join(quota, k).filter(F.col("_b") <= F.col("_pool"))
+    n = number_rows(pool.withColumn("_o", order), k, drawn, "_r").filter(F.col("_r") <= F.col("_qn"))
     cols = [*k, "det_id", "target", "score"]
     return p.select(*cols).unionByName(n.select(*cols))
 
@@ -124,7 +122,7 @@ def donor_draw(requests: DataFrame, donors: DataFrame, pick: Column, mode: str =
     by_grade = dense_index(d.select("donor_id", "grade"), [F.asc("donor_id")], ["grade"])
     nz = by_zone.groupBy("grade", "zone").agg(F.count(F.lit(1)).alias("_nz"))
     ng = by_grade.groupBy("grade").agg(F.count(F.lit(1)).alias("_ng"))
-    r = requests.withColumn("_d", pick).join(F.broadcast(nz), ["grade", "zone"], "left").join(F.broadcast(ng), "grade", "left")
+    r = requests.withColumn("_d", pick).join(nz, ["grade", "zone"], "left").join(ng, "grade", "left")
     use_zone = F.col("_nz").isNotNull() if mode != "off" else F.lit(False)
     fall = F.lit(True) if mode != "strict" else F.lit(False)
     a = r.filter(use_zone).withColumn("idx", F.col("_d") % F.col("_nz")).join(by_zone, ["grade", "zone", "idx"]).withColumn("matched_zone", F.lit(True))

@@ -7,18 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxtally.operators.curves import exceeds, running_totals
-
-
-def _position(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), alias: str = "_n") -> DataFrame:
-    """1-based position in a total order; large tables are numbered by range partitions."""
-    counted = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(counted, keys, order, {alias: "_one"}, large=exceeds(df)).drop("_one")
+from boxtally.operators.curves import number_rows
 
 
 def kfold(cases: DataFrame, folds: int, order: Column, id_col: str = "case_id") -> DataFrame:
     """Validation fold of every case: cases are drawn into an order and cut into equal runs."""
-    numbered = _position(cases.select(id_col).distinct().withColumn("_o", order), [F.asc("_o"), F.asc(id_col)])
+    numbered = number_rows(cases.select(id_col).distinct().withColumn("_o", order), [], [F.asc("_o"), F.asc(id_col)], "_n")
     total = numbered.agg(F.count(F.lit(1)).alias("_t"))
     fold = F.floor((F.col("_n") - 1) * folds / F.col("_t")).cast("long")
     return numbered.join(F.broadcast(total)).select(id_col, fold.alias("fold"))
@@ -27,7 +21,7 @@ def kfold(cases: DataFrame, folds: int, order: Column, id_col: str = "case_id")
 def group_kfold(cases: DataFrame, folds: int, order: Column, group: str = "patient_id") -> DataFrame:
     """Fold of every group, balanced on group size: largest first, dealt out in snake order."""
     sizes = cases.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("_o", order)
-    numbered = _position(sizes, [F.desc("size"), F.asc("_o"), F.asc(group)])
+    numbered = number_rows(sizes, [], [F.desc("size"), F.asc("_o"), F.asc(group)], "_n")
     lap, place = F.floor((F.col("_n") - 1) / folds), (F.col("_n") - 1) % folds
     fold = F.when(lap % 2 == 0, place).otherwise(folds - 1 - place)
     return numbered.select(group, "size", fold.cast("long").alias("fold"))
@@ -53,7 +47,7 @@ def leave_subset_out(subsets: DataFrame, n: int, separate_test: bool = True) ->
 
 def holdout(cases: DataFrame, share: float, order: Column, id_col: str = "case_id") -> DataFrame:
     """Exactly ⌈share · n⌉ cases as test, the first in a drawn order."""
-    numbered = _position(cases.select(id_col).distinct().withColumn("_o", order), [F.asc("_o"), F.asc(id_col)])
+    numbered = number_rows(cases.select(id_col).distinct().withColumn("_o", order), [], [F.asc("_o"), F.asc(id_col)], "_n")
     total = numbered.agg(F.count(F.lit(1)).alias("_t"))
     role = F.when(F.col("_n") <= F.ceil(F.col("_t") * share), "test").otherwise("train")
     return numbered.join(F.broadcast(total)).select(id_col, role.alias("role"))
@@ -68,7 +62,7 @@ def stratified_group_split(instances: DataFrame, order: Column, shares: Sequence
     s = instances.filter("supervised")
     counts = s.groupBy("grade").agg(F.count(F.lit(1)).alias("_c"))
     rarest = s.join(F.broadcast(counts), "grade").groupBy("patient_id").agg(F.min_by("grade", F.struct("_c", "grade")).alias("stratum"))
-    numbered = _position(rarest.withColumn("_o", order), [F.asc("_o"), F.asc("patient_id")], ["stratum"])
+    numbered = number_rows(rarest.withColumn("_o", order), ["stratum"], [F.asc("_o"), F.asc("patient_id")], "_n")
     sizes = rarest.groupBy("stratum").agg(F.count(F.lit(1)).alias("_t"))
     at = (F.col("_n") - 0.5) / F.col("_t")
     role, edge = None, 0.0

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxtally.functions.geometry import (
     BOX_COLUMNS, Box, box, box_area, box_columns, box_iou, clip_box, overlap_volume, ranges_intersect, sides_at_least,
 )
-from boxtally.operators.curves import top_k, union_all
+from boxtally.operators.curves import number_rows, top_k, union_all
 from boxtally.operators.graph import connected_components, fold_lost, rounds_keep
 from boxtally.operators.groups import oversized_groups, split_by
 from boxtally.operators.pairs import box_pairs
@@ -130,10 +130,10 @@ def weighted_box_clustering(
     members = _clusters(dets, max_iou, k, cell, **kwargs).withColumn("_w", w).withColumn("_ws", F.col("_w") * F.col("score"))
     n = F.count(F.lit(1))
     lacking = F.greatest(F.lit(0.0), F.avg(expected) - n)
-    score = F.sum("_ws") / (F.sum("_w") + lacking * F.avg("_w") * F.lit(missing_weight))
+    score = F.try_divide(F.sum("_ws"), F.sum("_w") + lacking * F.avg("_w") * F.lit(missing_weight))
     merged = members.groupBy(*k, F.col("seed").alias("det_id")).agg(
         score.alias("score"), n.alias("members"),
-        *[(F.sum(F.col(c) * F.col("_ws")) / F.sum("_ws")).alias(c) for c in BOX_COLUMNS],
+        *[F.try_divide(F.sum(F.col(c) * F.col("_ws")), F.sum("_ws")).alias(c) for c in BOX_COLUMNS],
     )
     return merged.filter(F.col("score") > min_score)
 
@@ -145,17 +145,14 @@ def top_member_clustering(
     """Variant that averages only the expected number of strongest members of a cluster."""
     k = list(keys)
     members = _clusters(dets, max_iou, k, cell, **kwargs).withColumn("_ws", F.col("iou") * F.col(weight) * F.col("score"))
-    cluster = Window.partitionBy(*k, "seed")
-    strongest = cluster.orderBy(F.desc("_ws"), F.asc("det_id"))
-    sized = members.select(
-        "*", F.avg(expected).over(cluster).alias("_e"), F.count(F.lit(1)).over(cluster).alias("_n"),
-        F.row_number().over(strongest).alias("_r"),
-    ).filter(F.col("_r") <= F.floor("_e"))
+    sizes = members.groupBy(*k, "seed").agg(F.avg(expected).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    ranked = number_rows(members, [*k, "seed"], [F.desc("_ws"), F.asc("det_id")], "_r")
+    sized = ranked.join(sizes, [*k, "seed"]).filter(F.col("_r") <= F.floor("_e"))
     lacking = F.greatest(F.lit(0.0), F.first("_e") - F.first("_n"))
     merged = sized.groupBy(*k, F.col("seed").alias("det_id")).agg(
-        (F.avg("score") * (1 - F.lit(missing_weight) * lacking / F.first("_e"))).alias("score"),
+        (F.avg("score") * (1 - F.try_divide(F.lit(missing_weight) * lacking, F.first("_e")))).alias("score"),
         F.first("_n").alias("members"),
-        *[(F.sum(F.col(c) * F.col("_ws")) / F.sum("_ws")).alias(c) for c in BOX_COLUMNS],
+        *[F.try_divide(F.sum(F.col(c) * F.col("_ws")), F.sum("_ws")).alias(c) for c in BOX_COLUMNS],
     )
     return merged.filter(F.col("score") > min_score)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxtally.operators.assign import nearest_k
-from boxtally.operators.curves import running_totals
+from boxtally.operators.curves import number_rows, running_totals
 from boxtally.operators.graph import connected_components
 from boxtally.session import cut_lineage
 
@@ -159,9 +159,8 @@ def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class
     nodes = runs.select(*k, F.col("run").alias("id"))
     labels = connected_components(nodes, edges, k).withColumnRenamed("id", "run")
     sizes = runs.join(labels, [*k, "run"]).groupBy(*k, "component").agg(F.sum(F.col("b") - F.col("a") + 1).alias("voxels"))
-    sizes = sizes.filter(F.col("voxels") > min_voxels)
-    number = Window.partitionBy(*k).orderBy("component")
-    ids = sizes.withColumn("instance_id", F.row_number().over(number).cast("long"))
+    sizes = cut_lineage(sizes.filter(F.col("voxels") > min_voxels))
+    ids = number_rows(sizes, k, [F.asc("component")], "instance_id")
     return tagged.select(*k, *AXES, "run").join(labels, [*k, "run"]).join(ids, [*k, "component"]).drop("run")
 
 
@@ -192,10 +191,8 @@ def min_size_filter(voxels: DataFrame, cases: DataFrame, spacing: Sequence[str],
         skip = (F.col(s) == coarsest) & ~taken
         wide = wide & (skip | ((F.col(f"{a}2") - F.col(f"{a}1")) * F.col(s) > min_size))
         taken = taken | (F.col(s) == coarsest)
-    order = Window.partitionBy("case_id").orderBy("instance_id")
-    return j.filter(wide & (F.col("voxels") > min_voxels)).select(
-        "case_id", "instance_id", "voxels", F.row_number().over(order).cast("long").alias("new_id")
-    )
+    kept = j.filter(wide & (F.col("voxels") > min_voxels)).select("case_id", "instance_id", "voxels")
+    return number_rows(kept, ["case_id"], [F.asc("instance_id")], "new_id")
 
 
 def containment(lesion: DataFrame, gland: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:

@@ -130,9 +130,7 @@ def _(t):
 
 @query("g8_remove_small_boxes", "SELECT gt_id, case_id FROM gt WHERE x2-x1>=7 AND y2-y1>=8 AND z2-z1>=2")
 def _(t):
-    b = G.box()
-    grown = t.gt.filter((b.hi[0] - b.lo[0] >= 7) & (b.hi[1] - b.lo[1] >= 8))
-    return grown.filter(G.sides_at_least(b, 2.0)).select("gt_id", "case_id")
+    return t.gt.filter(G.sides_at_least(G.box(), [7, 8, 2])).select("gt_id", "case_id")
 
 
 _CLIP = {f"{c}{i}": f"greatest(0.0,least(d.{c}{i},c.shape_{c}))" for i in (1, 2) for c in "xyz"}

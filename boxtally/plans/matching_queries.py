@@ -130,7 +130,7 @@ def _events(t):
 
 @query("a1_coco_ap", _AP + f" SELECT label, iou_thr, CAST(max_det AS BIGINT) AS max_det, level, {R('pr')} AS precision, {R('sc')} AS score FROM ap")
 def _(t):
-    ap = DM.coco_ap(_events(t), t.gt, large=exceeds(t.det))
+    ap = DM.coco_ap(_events(t), t.gt, [0.1, 0.5], large=exceeds(t.det))
     return ap.select("label", "iou_thr", big("max_det").alias("max_det"), "level", r6("precision"), r6("score")).toDF(
         "label", "iou_thr", "max_det", "level", "precision", "score")
 
@@ -142,7 +142,7 @@ def _(t):
 
 @query("a2_map_range", _AP + f" SELECT {R('(sum(pr) - 202.0) / (3*202.0)')} AS map, {R('avg(pr)')} AS map_present FROM ap WHERE max_det=100")
 def _(t):
-    ap = DM.coco_ap(_events(t), t.gt, [100], large=exceeds(t.det))
+    ap = DM.coco_ap(_events(t), t.gt, [0.1, 0.5], [100], large=exceeds(t.det))
     with_absent = DM.map_range(ap, [0, 1, 2])
     present = DM.map_range(ap, [0, 1], keep_absent=False).withColumnRenamed("map", "map_present")
     return with_absent.join(F.broadcast(present)).select(r6("map", "map"), r6("map_present", "map_present"))

@@ -26,7 +26,7 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
 
 def _six(value) -> list:
     """Box columns out of a packed ``(x1, y1, x2, y2, z1, z2)`` array."""
-    return [value[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2", "z1", "z2"))]
+    return [F.get(value, F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2", "z1", "z2"))]
 
 
 def explode_detections(files: DataFrame) -> DataFrame:
