@@ -82,8 +82,13 @@ def nearest_k(
             points = points.withColumn(g, F.floor(F.col(f"r{c}") / radius))
         dist = F.sqrt(sum([(F.col(f"l{c}") - F.col(f"r{c}")) ** 2 for c in cs[1:]], (F.col(f"l{cs[0]}") - F.col(f"r{cs[0]}")) ** 2))
         near = probe.join(points, [*ks, *cells]).withColumn("dist", dist).filter(F.col("dist") <= radius)
-        order = Window.partitionBy(*ks, left_id).orderBy("dist", right_id)
-        ranked = near.select(*ks, left_id, right_id, "dist").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
+        near = near.select(*ks, left_id, right_id, "dist")
+        if k == 1:
+            first = near.groupBy(*ks, left_id).agg(F.min(F.struct("dist", right_id)).alias("m"))
+            ranked = first.select(*ks, left_id, f"m.{right_id}", "m.dist", F.lit(1).alias("_n"))
+        else:
+            order = Window.partitionBy(*ks, left_id).orderBy("dist", right_id)
+            ranked = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
         if last:
             parts.append(ranked.drop("_n"))
             break

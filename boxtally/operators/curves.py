@@ -70,12 +70,15 @@ def tie_grouped_curve(
     Rows shrink to one per distinct score (with map-side combine) before anything is ordered.
     The first point of every key is the origin, at a null score.
     """
-    points = events.groupBy(*keys, score).agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    curve = running_totals(points, keys, [F.desc(score)], {v: f"_{v}" for v in values}, large)
-    curve = curve.select(*keys, score, *values)
-    origin = events.select(*keys).distinct() if keys else events.sparkSession.range(1).select()
-    origin = origin.select(*keys, F.lit(None).cast("double").alias(score), *[F.lit(0).cast(curve.schema[v].dataType).alias(v) for v in values])
-    return origin.unionByName(curve)
+    points = events.groupBy(*keys, score).agg(*[F.sum(v).alias(f"_{v}") for v in values]).withColumn("_one", F.lit(1))
+    sums = {v: f"_{v}" for v in values} | {"_pos": "_one"}
+    curve = running_totals(points, keys, [F.desc(score)], sums, large)
+    types = {f.name: f.dataType for f in curve.schema.fields}
+    here = F.struct(F.col(score).alias(score), *[F.col(v).alias(v) for v in values])
+    origin = F.struct(F.lit(None).cast("double").alias(score), *[F.lit(0).cast(types[v]).alias(v) for v in values])
+    # the origin rides along with the first point, so the events are read once
+    rows = F.explode(F.when(F.col("_pos") == 1, F.array(origin, here)).otherwise(F.array(here))).alias("r")
+    return curve.select(*keys, rows).select(*keys, "r.*")
 
 
 def _rank(score: str) -> Column:
@@ -84,20 +87,27 @@ def _rank(score: str) -> Column:
 
 
 def value_at_budget(
-    curve: DataFrame, keys: Sequence[str], x: Column, y: Column, targets: Sequence[float], score: str = "score"
+    curve: DataFrame, keys: Sequence[str], x: Column, y: Column | Mapping[str, Column], targets: Sequence[float], score: str = "score"
 ) -> DataFrame:
-    """``y`` of the last point with ``x`` not above each target, without interpolation; 0 if none."""
+    """``y`` of the last point with ``x`` not above each target, without interpolation; 0 if none.
+
+    Several curves over one ``x`` are read in the same pass when ``y`` maps their names to columns;
+    the result then has a ``series`` column.
+    """
     at = _rank(score)
+    series = y if isinstance(y, Mapping) else {"": y}
+    cells = [(n, t) for n in series for t in targets]
     read = [
-        F.max_by(F.when(x <= t, y), F.when(x <= t, F.struct(x.alias("x"), at.alias("i")))).alias(f"_y{i}")
-        for i, t in enumerate(targets)
+        F.max_by(F.when(x <= t, series[n]), F.when(x <= t, F.struct(x.alias("x"), at.alias("i")))).alias(f"_y{i}")
+        for i, (n, t) in enumerate(cells)
     ]
     wide = curve.groupBy(*keys).agg(*read)
     rows = F.array(*[
-        F.struct(F.lit(float(t)).alias("target"), F.coalesce(F.col(f"_y{i}"), F.lit(0.0)).alias("value"))
-        for i, t in enumerate(targets)
+        F.struct(F.lit(n).alias("series"), F.lit(float(t)).alias("target"), F.coalesce(F.col(f"_y{i}"), F.lit(0.0)).alias("value"))
+        for i, (n, t) in enumerate(cells)
     ])
-    return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    out = wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    return out if isinstance(y, Mapping) else out.drop("series")
 
 
 def interp_at(

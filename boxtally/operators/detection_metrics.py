@@ -164,17 +164,16 @@ def harmonized_froc(
     curve = tie_grouped_curve(flags, ["analysis"], ["fp", *tps], large=large)
     curve = curve.join(F.broadcast(support)).join(F.broadcast(patients))
     x = F.try_divide(F.col("fp"), F.col("num_patients"))
-    parts = []
-    for g in GRADES:
-        mine = curve.filter(F.col("analysis").isin(0, g))
-        read = value_at_budget(mine, ["analysis", f"n{g}", "num_patients"], x, F.try_divide(F.col(f"tp{g}"), F.col(f"n{g}")), targets)
-        parts.append(read.select(
-            F.when(F.col("analysis") == 0, "generic").otherwise("grade_specific").alias("analysis"),
-            F.lit(g).cast("long").alias("grade"), "target",
-            F.when(F.col(f"n{g}") > 0, F.col("value")).alias("sensitivity"),
-            F.col(f"n{g}").alias("support"), "num_patients",
-        ))
-    return union_all(parts)
+    sens = {str(g): F.try_divide(F.col(f"tp{g}"), F.col(f"n{g}")) for g in GRADES}
+    counts = [f"n{g}" for g in GRADES]
+    read = value_at_budget(curve, ["analysis", *counts, "num_patients"], x, sens, targets)
+    grade = F.col("series").cast("long")
+    support_of = F.create_map(*[v for g in GRADES for v in (F.lit(g).cast("long"), F.col(f"n{g}"))])[grade]
+    return read.filter((F.col("analysis") == 0) | (F.col("analysis") == grade)).select(
+        F.when(F.col("analysis") == 0, "generic").otherwise("grade_specific").alias("analysis"),
+        grade.alias("grade"), "target",
+        F.when(support_of > 0, F.col("value")).alias("sensitivity"), support_of.alias("support"), "num_patients",
+    )
 
 
 def pool_fold_events(events: Sequence[DataFrame], supports: Sequence[DataFrame], patients: Sequence[DataFrame]):

@@ -55,7 +55,8 @@ def _turn(order: str) -> Column:
 
 def _fold(dets, gts, keys, thresholds, preference, order, det_cols, gt_cols) -> DataFrame:
     """One pass per group: collect the bounded group and let the detections take turns."""
-    pairs = box_pairs(dets, gts, keys, how="left").withColumn(
+    # partitioned by group once, everything below needs no further shuffle
+    pairs = box_pairs(dets.repartition(*keys), gts, keys, how="left").withColumn(
         "iou", F.when(F.col("b_gt_id").isNotNull(), box_iou(box("a_"), box("b_")))
     )
     floor = min(min(thresholds), ALMOST_ONE)

@@ -53,6 +53,8 @@ def greedy_keep(
     better_clash = _better("_s") & clash(box("a_"), box("b_"))
     cold, big = (thin, None) if hot is None else split_by(thin, hot, k)
     turn = F.struct((-F.col("b__s")).alias("t0"), F.col("b_det_id").alias("t1")).alias("turn")
+    # partitioned by group once: the join, the blockers and the fold share that partitioning
+    cold = cold.repartition(*k)
     pairs = box_pairs(cold, cold, k, condition=better_clash)
     lost = fold_lost(pairs.select(*k, F.col("a_det_id").alias("u"), F.col("b_det_id").alias("v"), turn), k)
     lost = lost.withColumnRenamed("id", "det_id")
@@ -200,7 +202,7 @@ def ensemble(
     best = top_k(pool, ["case_id"], _by_score(), top).drop("rank")
     expected = F.col(n_expected) if isinstance(n_expected, str) else F.lit(float(n_expected))
     ready = best.withColumn("n_expected", expected).withColumn("weight", F.col(weight) if weight else F.lit(1.0))
-    return weighted_box_clustering(ready, max_iou, **kwargs)
+    return weighted_box_clustering(cut_lineage(ready), max_iou, **kwargs)
 
 
 def attach_grade_probs(final: DataFrame, candidates: DataFrame, probs: Sequence[str], cell: float = 32.0) -> DataFrame:

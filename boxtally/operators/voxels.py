@@ -262,7 +262,7 @@ def erode(voxels: DataFrame, steps: int = 1) -> DataFrame:
     return out
 
 
-def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str], radius_mm: float = 8.0) -> DataFrame:
+def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str], radius_mm: float = 2.0) -> DataFrame:
     """Voxels outside the gland with the distance in mm to its nearest voxel.
 
     The nearest gland voxel lies on its surface, so only surface voxels take part; the search goes

@@ -310,7 +310,7 @@ def _(t):
     return V.mean_probability(rows, 3).select("case_id", "z", "y", "x", "class", r6("prob"))
 
 
-_SM = SEG_SQL + """, sm AS (SELECT s.case_id, s.z, s.y, s.x, k.c, CASE WHEN k.c=0 THEN 0.05e0 WHEN k.c=s.class THEN 0.8737e0-((s.x+s.y)%5)*0.0971e0 ELSE 0.1e0+((s.x*3+s.y)%7)*0.1e0 END AS p FROM seg s, (SELECT unnest(range(0,3)) AS c) k),
+_SM = SEG_SQL + """, sm AS (SELECT s.case_id, s.z, s.y, s.x, k.c, CASE WHEN k.c=0 THEN 0.05e0 WHEN k.c=s.class THEN 0.8737111e0-((s.x+s.y)%5)*0.0971237e0 ELSE 0.1e0+((s.x*3+s.y)%7)*0.1e0 END AS p FROM seg s, (SELECT unnest(range(0,3)) AS c) k),
    bs AS (SELECT case_id, z, y, x, arg_max(c,(p,-c)) AS class, max(p) AS p FROM sm GROUP BY ALL)"""
 
 
@@ -321,7 +321,7 @@ def _(t):
     seg = segmentation(t).withColumn("own", F.col("class"))
     c = F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("c")
     rows = seg.select("case_id", "z", "y", "x", "own", c)
-    p = (F.when(F.col("c") == 0, F.lit(0.05)).when(F.col("c") == F.col("own"), 0.8737 - ((F.col("x") + F.col("y")) % 5) * 0.0971)
+    p = (F.when(F.col("c") == 0, F.lit(0.05)).when(F.col("c") == F.col("own"), 0.8737111 - ((F.col("x") + F.col("y")) % 5) * 0.0971237)
          .otherwise(0.1 + ((F.col("x") * 3 + F.col("y")) % 7) * 0.1))
     probs = rows.select("case_id", "z", "y", "x", F.col("c").alias("class"), p.alias("prob"))
     return V.softmax_to_detections(probs).select("case_id", "instance_id", "class", "voxels", r6("score"), r6("score_mean"), "x1", "z2")
