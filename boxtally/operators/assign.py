@@ -60,9 +60,9 @@ def nearest_k(
 ) -> DataFrame:
     """The ``k`` nearest rows of ``right`` for each row of ``left`` in its group: (keys, ids, dist).
 
-    Works in rings: points meet on a grid as wide as the radius, a row is finished once it has
-    ``k`` partners within the radius, and only unfinished rows go on with four times the radius. So near
-    partners are found without ever pairing a whole group. Ties go to the lower ``right_id``.
+    Works in rings: points meet on a grid of cells twice the radius wide, a row is finished once it
+    has ``k`` partners within the radius, and only unfinished rows go on with twice the radius. So
+    near partners are found without ever pairing a whole group. Ties go to the lower ``right_id``.
     """
     ks, cs = list(keys), list(coords)
     a = left.select(*ks, left_id, *[F.col(c).alias(f"l{c}") for c in cs])
@@ -77,9 +77,10 @@ def nearest_k(
         last = radius >= reach
         probe, points = open_rows, b
         for g, c in zip(cells, cs):
-            home = F.floor(F.col(f"l{c}") / radius)
-            probe = probe.withColumn(g, F.explode(F.sequence(home - 1, home + 1)))
-            points = points.withColumn(g, F.floor(F.col(f"r{c}") / radius))
+            # a ball of this radius reaches into at most two cells of twice the radius per axis
+            low, high = F.floor((F.col(f"l{c}") - radius) / (2 * radius)), F.floor((F.col(f"l{c}") + radius) / (2 * radius))
+            probe = probe.withColumn(g, F.explode(F.sequence(low, high)))
+            points = points.withColumn(g, F.floor(F.col(f"r{c}") / (2 * radius)))
         dist = F.sqrt(sum([(F.col(f"l{c}") - F.col(f"r{c}")) ** 2 for c in cs[1:]], (F.col(f"l{cs[0]}") - F.col(f"r{cs[0]}")) ** 2))
         near = probe.join(points, [*ks, *cells]).withColumn("dist", dist).filter(F.col("dist") <= radius)
         near = near.select(*ks, left_id, right_id, "dist")
@@ -98,7 +99,7 @@ def nearest_k(
         open_rows = cut_lineage(open_rows.join(full, [*ks, left_id], "left_anti"))
         if open_rows.isEmpty():
             break
-        radius *= 4
+        radius *= 2
     return union_all(parts)
 
 

@@ -190,6 +190,18 @@ def expected_from_tiles(dets: DataFrame, tiles: DataFrame, keys: Sequence[str] =
     return dets.join(cover, [*k, "det_id"], "left").na.fill(0.0, ["n_expected"])
 
 
+def tile_cover_median(voxels: DataFrame, tiles: DataFrame, keys: Sequence[str], case: str = "case_id") -> DataFrame:
+    """Median number of tiles over the voxels of each box, the voxel-wise reading of the overlap.
+
+    A case has few tiles, so the range join meets a voxel with those of its case only.
+    """
+    spots = tiles.select(F.col(case).alias("_case"), *[F.col(c).alias(f"t{c}") for c in BOX_COLUMNS])
+    inside = [(F.col(a) >= F.col(f"t{a}1")) & (F.col(a) < F.col(f"t{a}2")) for a in "xyz"]
+    hit = voxels.join(spots, (F.col(case) == F.col("_case")) & inside[0] & inside[1] & inside[2], "left")
+    per_voxel = hit.groupBy(*keys, "z", "y", "x").agg(F.count("_case").alias("n"))
+    return per_voxel.groupBy(*keys).agg(F.percentile("n", F.lit(0.5)).alias("n_expected"))
+
+
 def ensemble(
     models: Sequence[DataFrame] | DataFrame, top: int, max_iou: float, n_expected: str | float, weight: str | None = None, **kwargs
 ) -> DataFrame:
