@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxtally.operators.groups import oversized_groups, split_by
 from boxtally.session import cut_lineage
 
 MAX_ROUNDS = 500
+MAX_GROUP_EDGES = 100_000
 
 
 def fold_lost(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,16 +61,70 @@ def rounds_keep(items: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Data
     return items.join(lost.withColumnRenamed("v", "id"), [*k, "id"], "left_anti")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Smallest node id reachable from every node: (keys, id, component).
+def _label_edges(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    """Smallest reachable id of every node for the edges (keys, u, v) of some whole groups."""
+    n = len(pdf)
+    group = pdf.groupby(list(keys), sort=False).ngroup().to_numpy()
+    ids, at = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    # nodes of different groups are told apart by a joint code that sorts by id inside a group
+    codes, node = np.unique(np.concatenate([group, group]) * len(ids) + at, return_inverse=True)
+    a, b = node[:n], node[n:]
+    label = np.arange(len(codes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if np.array_equal(low, label):
+            break
+        label = low
+    first = np.empty(len(codes), dtype=np.int64)
+    first[a] = first[b] = np.arange(n)
+    out = pdf[list(keys)].iloc[first].reset_index(drop=True)
+    out["id"] = ids[codes % len(ids)]
+    out["component"] = ids[codes[label] % len(ids)]
+    return out
+
+
+def _fold_components(edges: DataFrame, keys: Sequence[str], batch_rows: int = 200_000) -> DataFrame:
+    """Labels of bounded groups: one shuffle on the group, many whole groups labelled at a time."""
+    k = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows < batch_rows:
+                continue
+            pool = pd.concat(held, ignore_index=True)
+            # rows come sorted by group; the last group may go on in the next batch
+            last = (pool[k] == pool[k].iloc[-1]).all(axis=1).to_numpy()
+            if not last.all():
+                yield _label_edges(pool[~last], k)
+                pool = pool[last]
+            held, rows = [pool], len(pool)
+        if rows:
+            yield _label_edges(pd.concat(held, ignore_index=True), k)
+
+    ddl = ", ".join([f"{c} {kinds[c]}" for c in k] + ["id bigint", "component bigint"])
+    # work per byte is high here, so the partitions are not merged by size
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = edges.select(*k, "u", "v").repartition(parts, *k).sortWithinPartitions(*k)
+    return placed.mapInPandas(solve, ddl)
+
+
+def _round_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Labels of groups of any size by rounds of joins keyed by single nodes.
 
     Alternates taking the smallest label among the neighbours with pointer jumping, so the number
-    of rounds grows with the logarithm of the longest chain. ``edges`` has (keys, u, v) in either
-    direction. Nodes without edges are their own component and stay out of the loop.
+    of rounds grows with the logarithm of the longest chain.
     """
     k = list(keys)
     both = edges.select(*k, "u", "v").unionByName(edges.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
-    both = cut_lineage(both.filter(F.col("u") != F.col("v")).distinct())
+    both = cut_lineage(both.distinct())
     labels = cut_lineage(both.groupBy(*k, "u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
     for _ in range(MAX_ROUNDS):
         from_neighbours = (
@@ -80,10 +138,28 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
         moved = not step.filter(F.col("n") < F.col("c")).isEmpty()
         labels = step.select(*k, "u", F.col("n").alias("c"))
         if not moved:
-            break
+            return labels.select(*k, F.col("u").alias("id"), F.col("c").alias("component"))
+    raise RuntimeError("components did not settle")
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), max_group: int = MAX_GROUP_EDGES) -> DataFrame:
+    """Smallest node id reachable from every node: (keys, id, component).
+
+    ``edges`` has (keys, u, v) in either direction. Groups of up to ``max_group`` edges are labelled
+    in one task each, larger ones and graphs without a group key in rounds. Nodes without edges are
+    their own component and stay out of both.
+    """
+    k = list(keys)
+    real = cut_lineage(edges.select(*k, "u", "v").filter(F.col("u") != F.col("v")))
+    if not k:
+        found = _round_components(real, k)
     else:
-        raise RuntimeError("components did not settle")
-    found = labels.select(*k, F.col("u").alias("id"), F.col("c").alias("component"))
+        hot = oversized_groups([real], k, max_group)
+        if hot is None:
+            found = _fold_components(real, k)
+        else:
+            cold, big = split_by(real, hot, k)
+            found = _fold_components(cold, k).unionByName(_round_components(big, k))
     return nodes.select(*k, "id").join(found, [*k, "id"], "left").select(
         *k, "id", F.coalesce("component", "id").alias("component")
     )

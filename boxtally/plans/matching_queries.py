@@ -11,6 +11,7 @@ from boxtally.operators.curves import exceeds
 from boxtally.operators.grade_metrics import grade_matches
 from boxtally.plans.registry import big, query, r6
 from boxtally.plans.sqlparts import R, iou, match_sql, overlap
+from boxtally.session import cut_lineage
 
 IOU_DG = iou("d", "g")
 
@@ -224,7 +225,8 @@ def _(t):
 
 @query("a5_pool_folds", _A4)
 def _(t):
-    events = DM.grade_froc_events(t.det, t.gt)
+    # every fold's events are an artifact of their own, written once and pooled later
+    events = cut_lineage(DM.grade_froc_events(t.det, t.gt))
     folds = range(5)
     pick = lambda df, f: df.filter(F.col("patient_id") % 5 == f)
     pooled = DM.pool_fold_events(

@@ -168,6 +168,14 @@ def test_components_against_union_find(spark):
     assert got == {i: find(i) for i in range(600)}
 
 
+def test_component_fold_equals_rounds(spark):
+    rng = random.Random(9)
+    edges = [(f"c{i % 5}", rng.randrange(60), rng.randrange(60)) for i in range(200)] + [("long", i, i + 1) for i in range(300)]
+    e = spark.createDataFrame(edges, "case_id string, u long, v long")
+    n = e.select("case_id", F.col("u").alias("id")).union(e.select("case_id", "v")).distinct()
+    assert rows(connected_components(n, e, ["case_id"])) == rows(connected_components(n, e, ["case_id"], max_group=50))
+
+
 def test_voxel_components_use_corners(spark):
     cubes = [(0, 0, 0), (2, 2, 2), (5, 0, 0)]
     vox = [("a", 1, z + dz, y + dy, x + dx) for z, y, x in cubes for dz in range(2) for dy in range(2) for dx in range(2)]
