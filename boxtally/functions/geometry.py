@@ -6,6 +6,7 @@ no function touches rows, so a projection of any of these costs no shuffle and n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add, mul
@@ -225,7 +226,7 @@ def decode_offsets(
     scales: Sequence[Column],
     source: Box,
     weights: Sequence[float] | None = None,
-    max_log_scale: float = 4.135166556742356,
+    max_log_scale: float = math.log(1000.0 / 16),
 ) -> Box:
     """Inverse of :func:`encode_offsets`; the log ratio is capped before ``exp``."""
     weights = weights or [1.0] * (2 * source.dim)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +28,18 @@ def modality_from_path(path: Column) -> Column:
     return F.when(digits != "", digits.cast("long"))
 
 
-def config_from_path(path: Column) -> Column:
-    """Run configuration by ordered keyword tests on the parent folder name."""
+def config_from_path(path: Column, full_names: Sequence[str] = ("full",)) -> Column:
+    """Run configuration by ordered keyword tests on the parent folder name.
+
+    ``full_names`` are the keywords that stand for the full configuration; a project adds its own.
+    """
+    full = reduce(lambda a, b: a | b, [F.lower(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1)).contains(n) for n in full_names])
     parent = F.lower(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1))
     return (
         F.when(parent.contains("baseline"), "baseline")
         .when(parent.contains("lff"), "lff")
         .when(parent.contains("caf") & ~parent.contains("full"), "caf")
-        .when(parent.contains("full") | parent.contains("gcalf"), "full")
+        .when(full, "full")
         .otherwise(parent)
     )
 
