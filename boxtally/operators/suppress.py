@@ -146,7 +146,8 @@ def top_member_clustering(
 ) -> DataFrame:
     """Variant that averages only the expected number of strongest members of a cluster."""
     k = list(keys)
-    members = _clusters(dets, max_iou, k, cell, **kwargs).withColumn("_ws", F.col("iou") * F.col(weight) * F.col("score"))
+    # read by the count, the ranking and the sizes, so written out once
+    members = cut_lineage(_clusters(dets, max_iou, k, cell, **kwargs).withColumn("_ws", F.col("iou") * F.col(weight) * F.col("score")))
     sizes = members.groupBy(*k, "seed").agg(F.avg(expected).alias("_e"), F.count(F.lit(1)).alias("_n"))
     ranked = number_rows(members, [*k, "seed"], [F.desc("_ws"), F.asc("det_id")], "_r")
     sized = ranked.join(sizes, [*k, "seed"]).filter(F.col("_r") <= F.floor("_e"))
