@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxtally.llm import exact_dedup, warc
+from boxtally.llm import exact_dedup, language, sentencepiece_codec, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """)
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+
+
+@_query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_sentencepiece", """
+SELECT doc_id, sha256(text) AS text_sha256, true AS exact FROM documents
+""")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_and_check(_table(spark, sf_dir, "documents"), sentencepiece_codec.Codec.load())
