@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxtally.llm import exact_dedup, language, sentencepiece_codec, warc
+from boxtally.llm import decontaminate, exact_dedup, language, sentencepiece_codec, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,8 +61,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(_table(spark, sf_dir, "documents"))
 
 
-@_query("op8_sentencepiece", """
-SELECT doc_id, sha256(text) AS text_sha256, true AS exact FROM documents
-""")
+@_query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_and_check(_table(spark, sf_dir, "documents"), sentencepiece_codec.Codec.load())
+
+
+_WORDS = "regexp_extract_all(lower(text), '[0-9a-z[:^ascii:]]+')"
+_SHINGLES = """
+  SELECT {id}, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS s
+  FROM (SELECT {id}, {words} AS w FROM {table})
+"""
+
+
+@_query("op2_decontaminate", f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", words=_WORDS, table="documents")}),
+     b AS ({_SHINGLES.format(id="item_id", words=_WORDS, table="benchmark")}),
+     n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+     j AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS containment
+FROM j JOIN n USING (item_id) WHERE n_shared / n_item >= 0.8
+""")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
