@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxtally.llm import decontaminate, exact_dedup, language, sentencepiece_codec, warc
+from boxtally.llm import decontaminate, exact_dedup, language, line_dedup, sentencepiece_codec, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,21 @@ FROM j JOIN n USING (item_id) WHERE n_shared / n_item >= 0.8
 """)
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op4_line_dedup", r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+     l AS (SELECT doc_id, line_no, raw, lower(trim(regexp_replace(raw, '\s+', ' ', 'g'))) AS line FROM raw),
+     f AS (SELECT line, min((doc_id, line_no)) AS place FROM l WHERE line <> '' GROUP BY line),
+     v AS (SELECT line, place, unnest(list_transform(range(0, length(line)), lambda i: line[:i] || line[i+2:])) AS variant FROM f WHERE length(line) >= 16
+           UNION ALL SELECT line, place, line FROM f WHERE length(line) >= 16),
+     near AS (SELECT DISTINCT a.line FROM v a JOIN v b USING (variant) WHERE b.place < a.place AND levenshtein(a.line, b.line) = 1),
+     kept AS (SELECT l.doc_id, l.line_no, l.raw, l.line = '' OR ((l.doc_id, l.line_no) = f.place AND near.line IS NULL) AS stays
+              FROM l LEFT JOIN f USING (line) LEFT JOIN near ON near.line = l.line),
+     t AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE stays) AS text,
+                  count(*) FILTER (WHERE NOT stays)::INTEGER AS n_lines_dropped FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(n_lines_dropped, 0)::INTEGER AS n_lines_dropped
+FROM documents d LEFT JOIN t USING (doc_id)
+""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
