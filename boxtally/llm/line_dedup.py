@@ -145,7 +145,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "key", "line", "place.doc_id", "place.line_no"
     )
     near = cut_lineage(near_earlier(firsts))
+    # written, so that the lines meet a plain table and AQE can split a key that a third of them share
     seen = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place")).join(near.select("key", F.lit(True).alias("near")), "key", "left")
+    seen = cut_lineage(seen)
     place = F.struct("doc_id", "line_no")
     return lines.select("doc_id", "line_no", "key").join(seen, "key").filter(F.col("near") | (F.col("place") < place)).select("doc_id", "line_no")
 
