@@ -22,6 +22,7 @@ parameter; its size is the model's and does not grow with the data.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator, Sequence
@@ -29,17 +30,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtally.llm.text import chunks
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of text whose distinct words are sorted at a time.
-BLOCK = 4 << 20
-#: Words whose pieces a worker remembers from block to block; beyond, it keeps those of the last block and works others out again.
-REMEMBERED = 400_000
+#: Bytes of text whose distinct words are sorted at a time.
+BLOCK = 2 << 20
+#: Words, and pairs of pieces, that a worker remembers from block to block; beyond, it works others out again.
+REMEMBERED = 200_000
 
 
 def pack(ids: list[int]) -> bytes:
@@ -215,18 +215,19 @@ class Codec:
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts and the offsets of each text's ids."""
         values, sizes = [], np.zeros(len(texts) + 1, dtype=np.int64)
-        for i, j in chunks(texts, BLOCK):
-            found = [self.words(t or "") for t in texts[i:j]]
-            distinct = set(chain.from_iterable(found))
-            if len(self.known) > REMEMBERED:
-                self.known = {w: self.known[w] for w in distinct if w in self.known}
-            self.known[""] = pack([self.byte_ids[b] for b in MARK.encode()])
-            self.known.update(self.segment(sorted(distinct.difference(self.known))))
-            get = self.known.__getitem__
-            for k, own in enumerate(found):
-                ids = np.frombuffer(b"".join(map(get, own)), dtype=np.int32)
-                values.append(ids)
-                sizes[i + k + 1] = len(ids)
+        found = [self.words(t or "") for t in texts]
+        distinct = set(chain.from_iterable(found))
+        if len(self.known) > REMEMBERED:
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        if len(self.stay) > REMEMBERED:
+            self.stay.clear()
+        self.known[""] = pack([self.byte_ids[b] for b in MARK.encode()])
+        self.known.update(self.segment(sorted(distinct.difference(self.known))))
+        get = self.known.__getitem__
+        for k, own in enumerate(found):
+            ids = np.frombuffer(b"".join(map(get, own)), dtype=np.int32)
+            values.append(ids)
+            sizes[k + 1] = len(ids)
         return (np.concatenate(values) if values else np.zeros(0, dtype=np.int32)), np.cumsum(sizes)
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -235,17 +236,33 @@ class Codec:
         return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
+def _blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``BLOCK`` bytes; a longer text stands alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1)
+    start = 0
+    while start < len(size):
+        end = max(int(np.searchsorted(size, (size[start - 1] if start else 0) + BLOCK, side="right")), start + 1)
+        yield start, end
+        start = end
+
+
+def _encoded(codec: Codec, texts: list) -> tuple[pa.Array, pa.Array]:
+    """Numbers of pieces and lists of piece ids of some texts."""
+    values, offsets = codec.encode(texts)
+    null = [t is None for t in texts]
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=pa.array(null))
+    return pa.array(np.diff(offsets), mask=np.array(null, dtype=bool)), lists
+
+
 def encode(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pieces, piece_ids): one pass without a shuffle; words are shared within a worker."""
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in chunks(texts, 4 * BLOCK):
-                values, offsets = shared.value.encode(texts[i:j])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=pa.array([t is None for t in texts[i:j]]))
-                count = pa.array(np.diff(offsets), mask=np.array([t is None for t in texts[i:j]]))
+            column = batch.column("text")
+            for i, j in _blocks(column):
+                count, lists = _encoded(shared.value, column.slice(i, j - i).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), count, lists], ["doc_id", "n_pieces", "piece_ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -271,13 +288,24 @@ def decode(df: DataFrame, codec: Codec, id_col: str = "doc_id", ids_col: str = "
 def encode_and_check(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pieces, piece_ids, text_sha256, exact): pieces, digest of the decoded text, whether it is the text.
 
-    The text travels beside its pieces, so the comparison needs no join.
+    Both ways run in one worker, so the text is sent to it once and the comparison needs no join.
     """
-    both = df.select(F.struct(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).alias("own"), F.col(text_col).alias("text"))
-    pieces = encode(both, codec, "own", "text")
-    texts = decode(pieces.select(F.struct("doc_id", "n_pieces", "piece_ids").alias("own"), "piece_ids"), codec, "own", "piece_ids")
-    row = F.col("doc_id")
-    return texts.select(
-        row["doc_id"]["doc_id"].alias("doc_id"), row["n_pieces"].alias("n_pieces"), row["piece_ids"].alias("piece_ids"),
-        F.sha2("text", 256).alias("text_sha256"), F.col("text").eqNullSafe(row["doc_id"]["text"]).alias("exact"),
+    shared = df.sparkSession.sparkContext.broadcast(codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            for i, j in _blocks(column):
+                texts = column.slice(i, j - i).to_pylist()
+                count, lists = _encoded(shared.value, texts)
+                back = [shared.value.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists]
+                digest = [None if t is None else hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), count, lists, pa.array(digest, pa.string()), pa.array([a == b for a, b in zip(texts, back)])],
+                    ["doc_id", "n_pieces", "piece_ids", "text_sha256", "exact"],
+                )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"doc_id {kind}, n_pieces bigint, piece_ids array<int>, text_sha256 string, exact boolean"
     )
