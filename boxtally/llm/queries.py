@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxtally.llm import decontaminate, exact_dedup, language, line_dedup, near_dedup, sentencepiece_codec, suffix_dedup, warc
+from boxtally.llm import decontaminate, exact_dedup, language, line_dedup, near_dedup, quality, sentencepiece_codec, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+@_query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.posteriors(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -346,9 +346,10 @@ def _search_shard(pdf: pd.DataFrame, length: int, ranges: int) -> pd.DataFrame:
     new = np.ones(len(p), dtype=bool)
     new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1] + 1)
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(p)) - 1
+    last = np.append(at[1:], len(p))[: len(at)] - 1
     blank = {c: None for c in ("keys", "k1s", "k2s", "los")}
     out = pd.DataFrame({"k1": k1[p[at]], "k2": k2[p[at]], "lo": start[p[at]] + o[at], "hi": start[p[at]] + o[last] + length, "part": None, **blank})
+    out = out.astype({"k1": "Int64", "k2": "Int64", "lo": "Int64", "hi": "Int64", "part": "Int32"})  # whole numbers also where null
     if not pdf["split"].iloc[0]:
         return out
     named = b"".join(hashlib.md5(pieces_[i][x : x + length]).digest()[:8] for i, x in zip(piece[first].tolist(), offset[first].tolist()))
@@ -361,7 +362,7 @@ def _search_shard(pdf: pd.DataFrame, length: int, ranges: int) -> pd.DataFrame:
         {"part": r, "keys": keys[a:b], "k1s": k1[holder[a:b]], "k2s": k2[holder[a:b]], "los": place[a:b]}
         for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a
     ]
-    return pd.concat([out, pd.DataFrame(rows)], ignore_index=True).astype({"k1": "Int64", "k2": "Int64", "lo": "Int64", "hi": "Int64", "part": "Int32"})
+    return pd.concat([out, pd.DataFrame(rows).astype({"part": "Int32"})], ignore_index=True)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
