@@ -11,9 +11,10 @@ Copies (equal sequences of words) are one text: only one of them, the smallest i
 
 Within a band's bucket no all-pairs list is made. Everyone is compared with a leader. Because 1 - J_P is a
 metric, documents near the leader and documents farther than twice the bound from it cannot be linked and
-the bucket falls apart between them; those in between go to both parts. A part goes on with a new leader
-while it holds documents that are not yet connected with each other. So every link between candidates is
-found that connects texts which nothing else connects, and the classes equal those of all links.
+the bucket falls apart between them; those in between go to both parts. In a part of bounded size the pairs
+that are still open are compared; a larger part goes on with a new leader while it holds documents that are
+not yet connected with each other. So every link between candidates is found that connects texts which
+nothing else connects, and the classes equal those of all links.
 
 Defined results: null and empty texts have no shingles and are copies of each other; a text of one to four
 words has one shingle of all its words. Repeated ids are one document. A row without an id is not compared:
@@ -39,6 +40,8 @@ LEAST = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 CHUNK = 4 << 20
+#: Members of a bucket's part up to which its open pairs are listed; larger parts go on with leaders.
+SMALL_PART = 64
 
 
 def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -135,7 +138,7 @@ def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "leader bigint, member bigint, distance double")
 
 
-def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST, small: int = SMALL_PART) -> DataFrame:
     """(u, v) links of similarity ``least`` or more that connect all classes of candidates.
 
     ``buckets`` has (bucket, id) with at least two members each, ``texts`` (id, text).
@@ -143,33 +146,38 @@ def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
     spark = buckets.sparkSession
     far = 1.0 - least + 1e-9
     found = spark.createDataFrame([], "u long, v long")
+    linked = lambda d: d.filter(F.col("distance") <= far).select(F.col("leader").alias("u"), F.col("member").alias("v"))
     live = buckets
     while True:
         leader = cut_lineage(live.groupBy("bucket").agg(F.min("id").alias("leader")))
         rows = cut_lineage(live.join(leader, "bucket").filter("id <> leader").select("bucket", "leader", F.col("id").alias("member")))
-        if rows.isEmpty():
-            return found
         measured = cut_lineage(_distances(rows.select("leader", "member").distinct(), texts))
-        found = cut_lineage(found.unionByName(measured.filter(F.col("distance") <= far).select(F.col("leader").alias("u"), F.col("member").alias("v"))))
+        found = found.unionByName(linked(measured))
         known = rows.join(measured, ["leader", "member"])
         # without its leader a bucket goes on where someone is not linked to it, in up to two parts
-        open_ = known.groupBy("bucket").agg(F.max("distance").alias("most")).filter(F.col("most") > far).select("bucket")
-        if open_.isEmpty():
-            return found
-        parts = known.join(open_, "bucket").select(
-            "member", F.explode(F.array_compact(F.array(
-                F.when(F.col("distance") <= 2 * far, F.xxhash64("bucket", F.lit(0))), F.when(F.col("distance") > far, F.xxhash64("bucket", F.lit(1))),
-            ))).alias("bucket"),
-        )
-        many = parts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        parts = cut_lineage(parts.join(many, "bucket"))
+        parts = known.select("member", "distance", F.explode(F.array_compact(F.array(
+            F.when(F.col("distance") <= 2 * far, F.xxhash64("bucket", F.lit(0))), F.when(F.col("distance") > far, F.xxhash64("bucket", F.lit(1))),
+        ))).alias("bucket"))
+        sizes = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.max("distance").alias("most")).filter((F.col("n") > 1) & (F.col("most") > far))
+        parts = cut_lineage(parts.join(cut_lineage(sizes.select("bucket", "n")), "bucket"))
         if parts.isEmpty():
             return found
-        nodes = parts.select(F.col("member").alias("id")).distinct()
-        classes = cut_lineage(connected_components(nodes, found))
-        labelled = cut_lineage(parts.join(classes.withColumnRenamed("id", "member"), "member").select("bucket", F.col("member").alias("id"), "component"))
+        texts = cut_lineage(texts.join(parts.select(F.col("member").alias("id")).distinct(), "id"))
+        # parts of bounded size end here: their pairs but for those that the leader links or keeps apart
+        few = parts.filter(F.col("n") <= small)
+        one = few.select("bucket", F.col("member").alias("leader"), F.col("distance").alias("a"))
+        two = few.select("bucket", "member", F.col("distance").alias("b"))
+        pairs = one.join(two, "bucket").filter((F.col("leader") < F.col("member")) & (F.greatest("a", "b") > far) & (F.abs(F.col("a") - F.col("b")) <= far))
+        found = cut_lineage(found.unionByName(linked(_distances(pairs.select("leader", "member").distinct(), texts))))
+        many = parts.filter(F.col("n") > small)
+        if many.isEmpty():
+            return found
+        classes = connected_components(many.select(F.col("member").alias("id")).distinct(), found)
+        labelled = cut_lineage(many.join(classes.withColumnRenamed("id", "member"), "member").select("bucket", F.col("member").alias("id"), "component"))
         apart = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-        live = cut_lineage(labelled.join(apart, "bucket").select("bucket", "id"))
+        live = cut_lineage(labelled.join(cut_lineage(apart), "bucket").select("bucket", "id"))
+        if live.isEmpty():
+            return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -183,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = cut_lineage(keys.join(shared, "bucket"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = cut_lineage(own.join(buckets.select("id").distinct(), "id").dropDuplicates(["id"]))
-    found = links(buckets, texts, least)
+    found = texts.sparkSession.createDataFrame([], "u long, v long") if buckets.isEmpty() else links(buckets, texts, least)
     nodes = reps.select(F.col("rep").alias("id"))
     classes = cut_lineage(connected_components(nodes, found))
     members = drawn.select("doc_id", "words_key").distinct().join(reps, "words_key").join(classes.withColumnRenamed("id", "rep"), "rep")
