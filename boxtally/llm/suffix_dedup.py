@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtally.llm.text import CHUNK_BYTES, chunks, mix, powers, signed
+from boxtally.llm.filters import maybe_in
+from boxtally.llm.text import chunks, mix, powers, signed
 from boxtally.session import cut_lineage
 
 LENGTH = 200
@@ -45,8 +46,6 @@ SHARD_BYTES = 4 << 20
 BLOCK = 1 << 20
 #: Windows that one range of the merge across shards holds, on average.
 MERGE_WINDOWS = 200_000
-#: Bits of the broadcast filter of row keys: 16 MB at any size of the data. It only spares a shuffle; a join decides.
-FILTER_BITS = 27
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 #: The low bits of a hash that make room for a place in a block of texts.
@@ -242,24 +241,6 @@ def pieces(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     )
 
 
-def _maybe_in(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` that may be in ``keys`` by (k1, k2), and rows that are not: a filter of fixed size, broadcast."""
-    slot = F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << FILTER_BITS))
-    bits = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")
-    ).toPandas()
-    table = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    table[bits["word"].to_numpy(dtype=np.int64)] = bits["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    shared = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def known(s: pd.Series) -> pd.Series:
-        at = s.to_numpy(dtype=np.int64)
-        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0)
-
-    return df.filter(known(slot)), df.filter(~known(slot))
-
-
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, lo, hi): byte ranges that cover every repeated window; they may overlap."""
     all_pieces = cut_lineage(pieces(rows, length, gram))
@@ -288,7 +269,7 @@ def _partly_repeated(rows: DataFrame, kinds: DataFrame, length: int) -> DataFram
     )
     # a row's places, to be cut out of its text; their number is in proportion to the text
     wanted = cut_lineage(dealt.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows", "anchor", "split", "shard")).alias("cuts")))
-    texts, _ = _maybe_in(rows.select("k1", "k2", "text"), wanted)
+    texts, _ = maybe_in(rows.select("k1", "k2", "text"), wanted, ("k1", "k2"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,7 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col)
     spans = repeated_spans(rows, length, gram).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = cut_lineage(spans)
-    touched, clean = _maybe_in(rows, spans)
+    touched, clean = maybe_in(rows, spans, ("k1", "k2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
