@@ -82,23 +82,16 @@ def ordinal_clamp_count(logits: Column) -> Column:
     return F.size(F.filter(drops, lambda d: d)).cast("long")
 
 
-def draw(*parts: Column, modulus: int = 1_000_003) -> Column:
-    """Reproducible pseudo-random integer in ``[0, modulus)`` from non-negative integer columns.
+def draw(*parts: Column) -> Column:
+    """Reproducible pseudo-random integer of 60 bits from columns.
 
-    Plain integer arithmetic, so the same draw can be replayed in any SQL engine and does not
-    depend on partitioning or on retries.
+    The leading bits of a digest of the parts: replayable in any SQL engine, independent of
+    partitioning and of retries, and wide enough that ``draw % n`` reaches all of a pool.
     """
-    state = F.lit(2026).cast("long")
-    for part in parts:
-        state = (state * F.lit(48271) + part.cast("long") * F.lit(40692) + F.lit(11)) % F.lit(modulus)
-        state = (state * state + F.lit(7) * state + F.lit(3)) % F.lit(modulus)
-    return (state * F.lit(69621) + F.lit(13)) % F.lit(modulus)
+    text = F.concat_ws("|", F.lit("2026"), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def draw_sql(*parts: str, modulus: int = 1_000_003) -> str:
+def draw_sql(*parts: str) -> str:
     """The SQL text of :func:`draw`."""
-    state = "2026"
-    for part in parts:
-        state = f"((({state}) * 48271 + ({part}) * 40692 + 11) % {modulus})"
-        state = f"(({state} * {state} + 7 * {state} + 3) % {modulus})"
-    return f"(({state} * 69621 + 13) % {modulus})"
+    return f"(('0x' || substr(md5(concat_ws('|', '2026', {', '.join(f'({p})::VARCHAR' for p in parts)})), 1, 15))::BIGINT)"

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from boxtally.operators.groups import oversized_groups, split_by
 from boxtally.session import cut_lineage
 
-MAX_ROUNDS = 500
 MAX_GROUP_EDGES = 100_000
 
 
@@ -37,14 +36,13 @@ def rounds_keep(items: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Data
 
     Every round keeps all items without a live better neighbour and drops the neighbours of what
     was kept, which is what the one-by-one order would do. Rounds are joins and aggregates keyed
-    by single items, so no group is ever held in one task.
+    by single items, so no group is ever held in one task. A round settles the best live item of
+    every component at least, so the rounds end.
     """
     k = list(keys)
     live = cut_lineage(edges.select(*k, "u", "v"))
     lost = None
-    for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         dominated = live.select(*k, F.col("v").alias("u")).distinct()
         kept = live.select(*k, "u").distinct().join(dominated, [*k, "u"], "left_anti")
         dropped = cut_lineage(live.join(kept, [*k, "u"], "left_semi").select(*k, "v").distinct())
@@ -54,8 +52,6 @@ def rounds_keep(items: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Data
             .join(dropped.withColumnRenamed("v", "u"), [*k, "u"], "left_anti")
             .select(*k, "u", "v")
         )
-    else:
-        raise RuntimeError("suppression did not settle")
     if lost is None:
         return items
     return items.join(lost.withColumnRenamed("v", "id"), [*k, "id"], "left_anti")
@@ -126,7 +122,7 @@ def _round_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     both = edges.select(*k, "u", "v").unionByName(edges.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
     both = cut_lineage(both.distinct())
     labels = cut_lineage(both.groupBy(*k, "u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
-    for _ in range(MAX_ROUNDS):
+    while True:  # labels only fall, and a round that lowers none is the last
         from_neighbours = (
             both.join(labels.select(*k, F.col("u").alias("v"), F.col("c").alias("nc")), [*k, "v"])
             .groupBy(*k, "u").agg(F.min("nc").alias("nc"))
@@ -139,7 +135,6 @@ def _round_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         labels = step.select(*k, "u", F.col("n").alias("c"))
         if not moved:
             return labels.select(*k, F.col("u").alias("id"), F.col("c").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), max_group: int = MAX_GROUP_EDGES) -> DataFrame:

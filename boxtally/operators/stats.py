@@ -14,19 +14,25 @@ from boxtally.operators.sampling import dense_index
 GRADES = (2, 3, 4, 5)
 
 
-def bootstrap_weights(patients: DataFrame, samples: int) -> DataFrame:
+POINT = -1
+
+
+def bootstrap_weights(patients: DataFrame, samples: int, point: bool = False) -> DataFrame:
     """How often each patient is drawn in each resample: (b, patient_id, w).
 
     Every resample makes as many draws with replacement as there are patients. Draw j of resample
-    b is arithmetic on (b, j); draws are counted before any patient rows are touched, so a patient's
-    rows are weighted and never copied.
+    b is a digest of (b, j); draws are counted before any patient rows are touched, so a patient's
+    rows are weighted and never copied. With ``point`` the full set comes along as resample ``POINT``.
     """
     index = dense_index(patients.select("patient_id").distinct(), [F.asc("patient_id")])
     total = index.agg(F.count(F.lit(1)).alias("_n"))
     draws = index.join(F.broadcast(total)).select(F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
     hit = draws.select(F.col("b").cast("long").alias("b"), (draw(F.col("b"), F.col("j")) % F.col("_n")).alias("idx"))
     counts = hit.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(index, "idx").select("b", "patient_id", "w")
+    drawn = counts.join(index, "idx").select("b", "patient_id", "w")
+    if not point:
+        return drawn
+    return drawn.unionByName(index.select(F.lit(POINT).cast("long").alias("b"), "patient_id", F.lit(1).cast("long").alias("w")))
 
 
 def weighted_confusion(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -60,10 +66,17 @@ def weighted_macro_auroc(pairs: DataFrame, weights: DataFrame, models: dict[str,
 
 
 def interval(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """2.5 and 97.5 percentiles with the numbers of defined and undefined resamples."""
-    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    agg = df.groupBy(*keys).agg(q.alias("_q"), F.count(value).alias("valid"), F.count(F.when(F.col(value).isNull(), 1)).alias("undefined"))
-    return agg.select(*keys, F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"), "valid", "undefined")
+    """Point estimate with 2.5 and 97.5 percentiles and the numbers of defined and undefined resamples.
+
+    The point is the value of the full set, resample ``POINT``; null when that is undefined or absent.
+    """
+    drawn = F.when(F.col("b") != POINT, F.col(value))
+    q = F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975)))
+    undefined = F.count(F.when((F.col("b") != POINT) & F.col(value).isNull(), 1))
+    agg = df.groupBy(*keys).agg(
+        F.max(F.when(F.col("b") == POINT, F.col(value))).alias("point"), q.alias("_q"), F.count(drawn).alias("valid"), undefined.alias("undefined")
+    )
+    return agg.select(*keys, "point", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"), "valid", "undefined")
 
 
 def paired_delta(aurocs: DataFrame, a: str, b: str) -> DataFrame:

@@ -193,7 +193,7 @@ def _(t):
 
 _TRY = f"""tr AS (SELECT d.case_id, d.det_id, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy, (z1+z2)/2 AS cz, score, p2, EXISTS(SELECT 1 FROM gt g WHERE g.case_id=d.case_id AND (d.x1+d.x2)/2>=g.x1 AND (d.x1+d.x2)/2<g.x2 AND (d.y1+d.y2)/2>=g.y1 AND (d.y1+d.y2)/2<g.y2 AND (d.z1+d.z2)/2>=g.z1 AND (d.z1+d.z2)/2<g.z2) AS hit FROM det d),
    vl AS (SELECT * FROM tr WHERE cx-3>=0 AND cx-3+7<=40 AND cy-3>=0 AND cy-3+7<=40 AND cz-2>=0 AND cz-2+4<=20),
-   rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {draw_sql('det_id')}) AS t FROM vl), tg AS (SELECT *, CASE WHEN p2<0.25 THEN 'occupancy' WHEN hit THEN 'collision' ELSE 'accepted' END AS outcome FROM rk WHERE t<=8),
+   rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {draw_sql('det_id')}, det_id) AS t FROM vl), tg AS (SELECT *, CASE WHEN p2<0.25 THEN 'occupancy' WHEN hit THEN 'collision' ELSE 'accepted' END AS outcome FROM rk WHERE t<=8),
    fs AS (SELECT case_id, min(t) AS f FROM tg WHERE outcome='accepted' GROUP BY case_id)"""
 
 
@@ -220,9 +220,9 @@ def _(t):
 
 # ---- bootstrap over patients
 
-B = 40
+B = 2000
 _BOOT = f"""px AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id)-1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT patient_id FROM cases)),
-   dr AS (SELECT b, {draw_sql('b', 'idx')}%n AS idx FROM px, (SELECT unnest(range(0,{B})) AS b)), wt AS (SELECT b, p.patient_id, count(*) AS w FROM dr JOIN px p USING (idx) GROUP BY ALL)"""
+   dr AS (SELECT b, {draw_sql('b', 'idx')}%n AS idx FROM px, (SELECT unnest(range(0,{B})) AS b)), wt AS (SELECT b, p.patient_id, count(*) AS w FROM dr JOIN px p USING (idx) GROUP BY ALL UNION ALL SELECT -1, patient_id, 1 FROM px)"""
 _GPP = _GP + ", gq AS (SELECT gp.*, d.patient_id FROM gp JOIN det d USING (det_id)), " + _BOOT
 _AUCS = ", ".join([""] + [
     f"""{m} AS (SELECT b, avg(a) AS auroc FROM (SELECT b, g, CASE WHEN sp>0 AND sn>0 THEN wins/(sp*sn) END AS a FROM (SELECT b, g, sum(pw) AS sp, sum(nw) AS sn, sum(pw*(cum-nw/2.0)) AS wins FROM
@@ -237,11 +237,11 @@ def _graded_patients(t):
 
 
 def _aurocs(t):
-    weights = ST.bootstrap_weights(t.cases, B)
+    weights = ST.bootstrap_weights(t.cases, B, point=True)
     return ST.weighted_macro_auroc(_graded_patients(t), weights, {"a": ["p2", "p3", "p4", "p5"], "b": ["p3", "p4", "p5", "p2"]})
 
 
-@query("p12_cluster_bootstrap", _GPP + f" SELECT b, tr AS \"true\", pr AS predicted, CAST(sum(w) AS BIGINT) AS n FROM gq JOIN wt USING (patient_id) GROUP BY ALL")
+@query("p12_cluster_bootstrap", _GPP + f" SELECT b, tr AS \"true\", pr AS predicted, CAST(sum(w) AS BIGINT) AS n FROM gq JOIN wt USING (patient_id) WHERE b>=0 GROUP BY ALL")
 def _(t):
     c = ST.weighted_confusion(_graded_patients(t), ST.bootstrap_weights(t.cases, B))
     return c.select("b", "true", big("predicted").alias("predicted"), "n")
@@ -252,28 +252,27 @@ def _(t):
     return _aurocs(t).filter("model = 'a'").select("b", r6("auroc"))
 
 
-@query("p13_paired_bootstrap_delta", _GPP + _AUCS + f", dl AS (SELECT b, au_a.auroc-au_b.auroc AS d FROM au_a JOIN au_b USING (b)) SELECT {R('quantile_cont(d,0.025)')} AS lower, {R('quantile_cont(d,0.975)')} AS upper, count(d) AS valid, count(*)-count(d) AS undefined FROM dl")
+@query("p13_paired_bootstrap_delta", _GPP + _AUCS + f", dl AS (SELECT b, au_a.auroc-au_b.auroc AS d FROM au_a JOIN au_b USING (b)) SELECT {R('max(d) FILTER (WHERE b=-1)')} AS point, {R('quantile_cont(d,0.025) FILTER (WHERE b>=0)')} AS lower, {R('quantile_cont(d,0.975) FILTER (WHERE b>=0)')} AS upper, count(d) FILTER (WHERE b>=0) AS valid, count(*) FILTER (WHERE b>=0 AND d IS NULL) AS undefined FROM dl")
 def _(t):
     i = ST.interval(ST.paired_delta(_aurocs(t), "a", "b"), "delta")
-    return i.select(r6("lower"), r6("upper"), "valid", "undefined")
+    return i.select(r6("point"), r6("lower"), r6("upper"), "valid", "undefined")
 
 
-@query("p14_verdict", _GPP + _AUCS + f""", iv AS (SELECT 'a' AS model, quantile_cont(auroc,0.025) AS lo FROM au_a UNION ALL SELECT 'b', quantile_cont(auroc,0.025) FROM au_b), pt AS (SELECT 'a' AS model, avg(auroc) AS m FROM au_a UNION ALL SELECT 'b', avg(auroc) FROM au_b)
-   SELECT model, CASE WHEN lo<=0.5 THEN 'NULL' WHEN m>=0.7 THEN 'SIGNAL' ELSE 'INCONCLUSIVE' END AS verdict FROM iv JOIN pt USING (model)""")
+@query("p14_verdict", _GPP + _AUCS + f""", al AS (SELECT 'a' AS model, * FROM au_a UNION ALL SELECT 'b', * FROM au_b), iv AS (SELECT model, quantile_cont(auroc,0.025) FILTER (WHERE b>=0) AS lo, max(auroc) FILTER (WHERE b=-1) AS m FROM al GROUP BY model)
+   SELECT model, {R('m')} AS point, CASE WHEN lo<=0.5 THEN 'NULL' WHEN m>=0.7 THEN 'SIGNAL' ELSE 'INCONCLUSIVE' END AS verdict FROM iv""")
 def _(t):
-    a = _aurocs(t)
-    point = a.groupBy("model").agg(F.avg("auroc").alias("point"))
-    return ST.interval(a, "auroc", ["model"]).join(point, "model").select("model", ST.verdict(F.col("point"), F.col("lower")).alias("verdict"))
+    i = ST.interval(_aurocs(t), "auroc", ["model"])
+    return i.select("model", r6("point"), ST.verdict(F.col("point"), F.col("lower")).alias("verdict"))
 
 
 _LOGP = ",".join(f"ln(greatest(1e-7,least(p{k},1.0)))" for k in (2, 3, 4, 5))
 
 
-@query("p15_fit_temperature", _GP + f""", lp AS (SELECT tr, [{_LOGP}] AS l FROM gp), gr AS (SELECT i, 0.05*pow(400.0, i/100.0) AS t FROM range(0,101) r(i)),
+@query("p15_fit_temperature", _GP + f""", lp AS (SELECT tr, [{_LOGP}] AS l FROM gp), gr AS (SELECT i, 0.05*pow(400.0, i/800.0) AS t FROM range(0,801) r(i)),
    nl AS (SELECT i, any_value(t) AS t, avg(-((l[tr-1]-list_max(l))/t - ln(exp((l[1]-list_max(l))/t)+exp((l[2]-list_max(l))/t)+exp((l[3]-list_max(l))/t)+exp((l[4]-list_max(l))/t)))) AS nll FROM lp, gr GROUP BY i)
-   SELECT {R('t')} AS temperature, {R('nll')} AS nll FROM nl ORDER BY nll, i LIMIT 1""")
+   SELECT {R('t')} AS temperature, {R('nl.nll')} AS nll FROM nl ORDER BY nl.nll, i LIMIT 1""")
 def _(t):
-    return ST.fit_temperature(graded(t), GM.PROBS, steps=101).select(r6("temperature"), r6("nll"))
+    return ST.fit_temperature(graded(t), GM.PROBS).select(r6("temperature"), r6("nll"))
 
 
 def features(t):

@@ -174,7 +174,7 @@ def expected_of(events):
 
 
 def arms_of(t):
-    return [r[0] for r in t("events").select("event_type").distinct().orderBy("event_type").limit(50).collect()]
+    return [r[0] for r in t("events").select("event_type").distinct().orderBy("event_type").collect()]
 
 
 _ARRIVED = """ar AS (SELECT event_type AS arm, user_id%5 AS fold, event_id FROM events), ex AS (SELECT * FROM ar WHERE NOT (fold=2 AND event_id%10=3)), ca AS (SELECT * FROM ar WHERE NOT (fold=1 AND event_id%10=7)),
