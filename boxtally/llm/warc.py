@@ -51,11 +51,11 @@ def page_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", p
     )
     first = rows.groupBy("payload_key").agg(F.min("record_id").alias("first_id"), F.count("*").alias("copies"))
     rows = rows.join(first, "payload_key")
-    revisit = (F.col("n") >= least_bytes) & (F.col("record_id") != F.col("first_id"))
+    revisit = F.coalesce((F.col("n") >= least_bytes) & (F.col("record_id") != F.col("first_id")), F.lit(False))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("record_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("record_id").cast("string"), F.lit("none")), F.lit(">"))),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))),
         F.when(revisit, F.concat(
