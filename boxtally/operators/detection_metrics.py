@@ -68,12 +68,22 @@ def coco_ap(
     )
 
 
-def coco_recall(events: DataFrame, gts: DataFrame, max_detections: int = 100) -> DataFrame:
-    """Overall recall per threshold and class."""
+def thresholds_of(events: DataFrame, thresholds: Sequence[float] | None) -> DataFrame:
+    """The given thresholds as rows; those that occur in the events when none are given."""
+    if thresholds is None:
+        return events.select("iou_thr").distinct()
+    one = events.sparkSession.range(1)
+    return one.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("iou_thr"))
+
+
+def coco_recall(events: DataFrame, gts: DataFrame, max_detections: int = 100, thresholds: Sequence[float] | None = None) -> DataFrame:
+    """Overall recall per threshold and class with support; 0 where nothing was detected."""
     hits = events.filter(~F.col("ignored") & (F.col("rank") <= max_detections)).groupBy("label", "iou_thr").agg(
         F.sum(F.col("matched").cast("long")).alias("tp")
     )
-    return hits.join(gt_support(gts), "label").select("label", "iou_thr", (F.col("tp") / F.col("num_gt")).alias("recall"))
+    frame = gt_support(gts).join(F.broadcast(thresholds_of(events, thresholds)))
+    recall = F.coalesce("tp", F.lit(0)) / F.col("num_gt")
+    return frame.join(hits, ["label", "iou_thr"], "left").select("label", "iou_thr", recall.alias("recall"))
 
 
 def map_range(curves: DataFrame, classes: Sequence[int], keep_absent: bool = True) -> DataFrame:
@@ -90,11 +100,12 @@ def map_range(curves: DataFrame, classes: Sequence[int], keep_absent: bool = Tru
 
 def froc(
     events: DataFrame, gts: DataFrame, num_images: int | Column, fpi: Sequence[float] = (0.125, 0.25, 0.5, 1, 2, 4, 8),
-    per_class: bool = False, large: bool = False,
+    per_class: bool = False, large: bool = False, thresholds: Sequence[float] | None = None,
 ) -> DataFrame:
     """Sensitivity at false positives per image, interpolated on the tie-grouped curve.
 
-    ``num_images`` counts all images. Without supported ground truth the value is 0.
+    ``num_images`` counts all images. Without supported ground truth the value is 0, and so it is for
+    a threshold, or a class with support, that has no detections.
     """
     images = F.lit(num_images) if isinstance(num_images, int) else num_images
     by = ["label"] if per_class else []
@@ -110,7 +121,12 @@ def froc(
         support = gts.agg(F.count(F.when(~F.col("ignore"), 1)).alias("num_gt"))
         joined = curve.join(F.broadcast(support))  # one row
     sens = F.when(F.col("num_gt") > 0, F.col("tp") / F.col("num_gt")).otherwise(F.lit(0.0))
-    return interp_at(joined, keys, F.col("fp") / images, sens, list(fpi))
+    read = interp_at(joined, keys, F.col("fp") / images, sens, list(fpi))
+    frame = F.broadcast(thresholds_of(events, thresholds))
+    frame = gt_support(gts, by).select(*by).join(frame).select(*keys) if per_class else frame
+    silent = frame.join(curve.select(*keys).distinct(), keys, "left_anti")
+    targets = F.explode(F.array(*[F.lit(float(t)) for t in fpi])).alias("target")
+    return read.unionByName(silent.select(*keys, targets, F.lit(0.0).alias("value")))
 
 
 def froc_score(readings: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -154,7 +170,8 @@ def harmonized_froc(
 ) -> DataFrame:
     """Sensitivity of each grade at false positives per patient, for both analyses.
 
-    ``support`` and ``patients`` are one-row aggregates (n2..n5, num_patients).
+    ``support`` and ``patients`` are one-row aggregates (n2..n5, num_patients). Every analysis, grade
+    and target has a row; without events the sensitivity is 0 where there is support.
     """
     tps = [f"tp{g}" for g in GRADES]
     flags = events.select(
@@ -168,11 +185,16 @@ def harmonized_froc(
     counts = [f"n{g}" for g in GRADES]
     read = value_at_budget(curve, ["analysis", *counts, "num_patients"], x, sens, targets)
     grade = F.col("series").cast("long")
-    support_of = F.create_map(*[v for g in GRADES for v in (F.lit(g).cast("long"), F.col(f"n{g}"))])[grade]
-    return read.filter((F.col("analysis") == 0) | (F.col("analysis") == grade)).select(
-        F.when(F.col("analysis") == 0, "generic").otherwise("grade_specific").alias("analysis"),
-        grade.alias("grade"), "target",
-        F.when(support_of > 0, F.col("value")).alias("sensitivity"), support_of.alias("support"), "num_patients",
+    read = read.filter((F.col("analysis") == 0) | (F.col("analysis") == grade)).select("analysis", grade.alias("grade"), "target", "value")
+    support_of = F.create_map(*[v for g in GRADES for v in (F.lit(g).cast("long"), F.col(f"n{g}"))])[F.col("grade")]
+    cells = F.array(*[
+        F.struct(F.lit(a).cast("long").alias("analysis"), F.lit(g).cast("long").alias("grade"), F.lit(float(t)).alias("target"))
+        for g in GRADES for a in (0, g) for t in targets
+    ])
+    frame = support.join(F.broadcast(patients)).withColumn("c", F.explode(cells)).select(*counts, "num_patients", "c.*")
+    return frame.join(read, ["analysis", "grade", "target"], "left").select(
+        F.when(F.col("analysis") == 0, "generic").otherwise("grade_specific").alias("analysis"), "grade", "target",
+        F.when(support_of > 0, F.coalesce("value", F.lit(0.0))).alias("sensitivity"), support_of.alias("support"), "num_patients",
     )
 
 
@@ -183,10 +205,12 @@ def pool_fold_events(events: Sequence[DataFrame], supports: Sequence[DataFrame],
     return union_all(list(events)), support, people
 
 
-def prediction_histogram(events: DataFrame, gts: DataFrame, bins: int = 50, per_class: bool = False) -> DataFrame:
+def prediction_histogram(
+    events: DataFrame, gts: DataFrame, bins: int = 50, per_class: bool = False, thresholds: Sequence[float] | None = None
+) -> DataFrame:
     """Score histogram of true and false positives per threshold on ``[0, 1]``.
 
-    Missed ground truth enters as true positives at score 0. Scores outside the range are left out.
+    Missed ground truth, of undetected classes too, enters as true positives at score 0. Scores outside the range are left out.
     """
     by = ["label"] if per_class else []
     keys = ["iou_thr", *by]
@@ -195,8 +219,9 @@ def prediction_histogram(events: DataFrame, gts: DataFrame, bins: int = 50, per_
     hist = kept.filter(F.col("score").between(0, 1)).groupBy(*keys, "matched", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     found = kept.groupBy(*keys).agg(F.sum(F.col("matched").cast("long")).alias("tp"))
     support = gt_support(gts, by) if per_class else gts.agg(F.count(F.when(~F.col("ignore"), 1)).alias("num_gt"))
-    missed = (found.join(support, by) if per_class else found.join(F.broadcast(support))).select(
-        *keys, F.lit(True).alias("matched"), F.lit(0).cast("long").alias("bin"), (F.col("num_gt") - F.col("tp")).alias("n")
+    frame = support.join(F.broadcast(thresholds_of(events, thresholds)))
+    missed = frame.join(found, keys, "left").select(
+        *keys, F.lit(True).alias("matched"), F.lit(0).cast("long").alias("bin"), (F.col("num_gt") - F.coalesce("tp", F.lit(0))).alias("n")
     )
     return hist.unionByName(missed).groupBy(*keys, "matched", "bin").agg(F.sum("n").alias("n")).filter("n > 0")
 

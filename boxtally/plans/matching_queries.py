@@ -253,6 +253,43 @@ def _(t):
     return DM.prediction_histogram(_events(t), t.gt, per_class=True)
 
 
+# ---- classes without detections, folds without events
+
+_NO_CLASS_1 = _COCO.replace("ev AS (", "ev_all AS (", 1) + ", ev AS (SELECT * FROM ev_all WHERE label<>1)"
+
+
+def _events_without_class_1(t):
+    return M.coco_match(t.det.filter("label <> 1"), t.gt, [0.1, 0.5])
+
+
+@query("a1_coco_recall_undetected", _NO_CLASS_1 + f""" SELECT s.label, t.iou_thr, {R('(SELECT count(gt_id) FROM ev e WHERE e.label=s.label AND e.iou_thr=t.iou_thr AND NOT ignored AND rk<=100)*1.0/num_gt')} AS recall
+   FROM sup s, (VALUES (0.1::DOUBLE),(0.5::DOUBLE)) t(iou_thr)""")
+def _(t):
+    return DM.coco_recall(_events_without_class_1(t), t.gt, thresholds=[0.1, 0.5]).select("label", "iou_thr", r6("recall"))
+
+
+@query("a3_froc_per_class_undetected", _FROC_C + f""" SELECT t.iou_thr, s.label, g.target, {R('coalesce(CASE WHEN s.label<>1 THEN value END, 0.0)')} AS sensitivity
+   FROM sup s CROSS JOIN (VALUES (0.1::DOUBLE),(0.5::DOUBLE)) t(iou_thr) CROSS JOIN tg g LEFT JOIN fr ON fr.label=s.label AND fr.iou_thr=t.iou_thr AND fr.target=g.target""")
+def _(t):
+    curve = DM.froc(_events_without_class_1(t), t.gt, _images(t), per_class=True, large=exceeds(t.det), thresholds=[0.1, 0.5])
+    return curve.select("iou_thr", "label", "target", r6("value", "sensitivity"))
+
+
+@query("a4_harmonized_froc_no_events", f"""np AS (SELECT count(DISTINCT patient_id) AS n FROM cases), sup AS (SELECT grade, count(*) AS support FROM gt WHERE supervised GROUP BY grade)
+   SELECT a.analysis, CAST(grade AS BIGINT) AS grade, t.target, 0.0::DOUBLE AS sensitivity, support, np.n AS num_patients
+   FROM sup, np, (VALUES ('generic'),('grade_specific')) a(analysis), (VALUES (0.5::DOUBLE),(1.0::DOUBLE)) t(target)""")
+def _(t):
+    events = DM.grade_froc_events(t.det.filter("score > 2"), t.gt)
+    return DM.harmonized_froc(events, DM.grade_support(t.gt), patients(t), (0.5, 1.0))
+
+
+@query("a14_prediction_histogram_undetected", _NO_CLASS_1 + """, h AS (SELECT iou_thr, label, gt_id IS NOT NULL AS matched, least(CAST(floor(score*50) AS BIGINT),49) AS bin, count(*) AS n FROM ev WHERE NOT ignored AND score BETWEEN 0 AND 1 GROUP BY ALL
+         UNION ALL SELECT t.iou_thr, s.label, true, 0, num_gt-(SELECT count(gt_id) FROM ev e WHERE e.label=s.label AND e.iou_thr=t.iou_thr AND NOT ignored) FROM sup s, (VALUES (0.1::DOUBLE),(0.5::DOUBLE)) t(iou_thr))
+   SELECT iou_thr, label, matched, bin, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY ALL HAVING sum(n) > 0""")
+def _(t):
+    return DM.prediction_histogram(_events_without_class_1(t), t.gt, per_class=True, thresholds=[0.1, 0.5])
+
+
 # ---- threshold sweeps; lesion class = grade - 1
 
 
