@@ -11,7 +11,7 @@ from boxtally.plans.matching_queries import _overview
 from boxtally.plans.metric_queries import FOLDS_SQL, fold_table
 from boxtally.plans.registry import big, query, r6
 from boxtally.plans.sqlparts import R, match_sql
-from boxtally.session import fresh_path
+from boxtally.session import cut_lineage, fresh_path
 from boxtally.sources import readers as RD
 from boxtally.sources import schema as SC
 from boxtally.sources import writers as WR
@@ -145,9 +145,17 @@ def _(t):
 # ---- streaming: the events table read as a stream of files
 
 
-def event_stream(t):
-    schema = t("events").schema
-    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events*.parquet")
+def event_stream(t, parts=4):
+    """The events in order of time as a stream of several files, one to a micro-batch."""
+    events = t("events")
+    path = fresh_path(t.spark)
+    cut = F.percentile_approx("ts", F.array(*[F.lit(i / parts) for i in range(1, parts)]))
+    cuts = events.agg(cut.alias("c"))
+    part = F.size(F.filter("c", lambda c: c < F.col("ts")))
+    cut_up = events.join(F.broadcast(cuts)).withColumn("part", part).drop("c")
+    for i in range(parts):  # one write per file, so that the files are as old as their rows are in order
+        cut_up.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drain(q):
@@ -161,6 +169,8 @@ def arrivals_of(events):
         F.when(~((F.col("user_id") % 5 == 1) & (F.col("event_id") % 10 == 7)), F.lit("case")),
         F.when(F.col("event_id") % 7 == 0, F.lit("marker")),
         F.when((F.col("user_id") % 5 == 4) & (F.col("event_id") % 7 == 0), F.lit("marker_removed")),
+        # fold 3 is marked, cleared and marked again
+        F.when((F.col("user_id") % 5 == 3) & (F.col("event_id") % 7 == 1), F.lit("marker_removed")),
     )
     return events.select(
         F.col("event_type").alias("arm"), (F.col("user_id") % 5).alias("fold"), F.col("event_id").alias("case_id"),
@@ -173,30 +183,25 @@ def expected_of(events):
     return wanted.select(F.col("event_type").alias("arm"), (F.col("user_id") % 5).alias("fold"), F.col("event_id").alias("case_id"))
 
 
-def arms_of(t):
-    return [r[0] for r in t("events").select("event_type").distinct().orderBy("event_type").collect()]
-
-
-_ARRIVED = """ar AS (SELECT event_type AS arm, user_id%5 AS fold, event_id FROM events), ex AS (SELECT * FROM ar WHERE NOT (fold=2 AND event_id%10=3)), ca AS (SELECT * FROM ar WHERE NOT (fold=1 AND event_id%10=7)),
+_ARRIVED = """ar AS (SELECT event_type AS arm, user_id%5 AS fold, event_id, ts FROM events), ex AS (SELECT * FROM ar WHERE NOT (fold=2 AND event_id%10=3)), ca AS (SELECT * FROM ar WHERE NOT (fold=1 AND event_id%10=7)),
+   mk AS (SELECT fold, arm, arg_max(NOT gone, (ts, gone)) AS marked FROM (SELECT *, false AS gone FROM ar WHERE event_id%7=0 UNION ALL SELECT *, true FROM ar WHERE (fold=4 AND event_id%7=0) OR (fold=3 AND event_id%7=1)) GROUP BY ALL),
    st AS (SELECT k.fold, k.arm, (SELECT count(*) FROM ex WHERE ex.fold=k.fold AND ex.arm=k.arm) AS want, (SELECT count(*) FROM ca JOIN ex USING (arm, fold, event_id) WHERE fold=k.fold AND arm=k.arm) AS have,
-     (SELECT count(*) FROM ca ANTI JOIN ex USING (arm, fold, event_id) WHERE fold=k.fold) AS odd, CASE WHEN k.fold=4 THEN 0 ELSE (SELECT count(*) FROM ar WHERE ar.fold=k.fold AND ar.arm=k.arm AND event_id%7=0) END AS mk
-     FROM (SELECT f.fold, a.arm FROM (SELECT DISTINCT fold FROM ar) f, (SELECT DISTINCT arm FROM ar) a) k)
-   SELECT fold, bool_and(want=have AND odd=0 AND mk>0) AS ready FROM st GROUP BY fold"""
+     (SELECT count(*) FROM ca ANTI JOIN ex USING (arm, fold, event_id) WHERE fold=k.fold AND arm=k.arm) AS odd, coalesce(mk.marked, false) AS marked
+     FROM (SELECT f.fold, a.arm FROM (SELECT DISTINCT fold FROM ar) f, (SELECT DISTINCT arm FROM ar) a) k LEFT JOIN mk USING (fold, arm)),
+   rf AS (SELECT fold, bool_and(want=have AND odd=0 AND marked) AS ready FROM st GROUP BY fold)"""
 
 
 def _status(t):
-    events, arms = t("events"), arms_of(t)
+    events = t("events")
     expected = expected_of(events)
     path, ckpt = fresh_path(t.spark), fresh_path(t.spark)
-    status = ST.arrival_status(arrivals_of(event_stream(t)), expected, arms)
-    counts = ST.expected_counts(expected, arms)
-    drain(ST.append_batches(status, path, ckpt, "update", lambda b: ST.ready_folds(b, counts, arms)))
-    return ST.latest(t.spark.read.parquet(path), ["fold"])
+    drain(ST.append_batches(ST.arrival_status(arrivals_of(event_stream(t)), expected), path, ckpt, "update"))
+    return ST.ready_folds(ST.latest(t.spark.read.parquet(path), ["fold", "arm"]), ST.expected_counts(expected)), expected
 
 
-@query("t1_arrival_completeness", _ARRIVED, views="")
+@query("t1_arrival_completeness", _ARRIVED + " SELECT fold, ready FROM rf", views="")
 def _(t):
-    return _status(t)
+    return _status(t)[0]
 
 
 @query("t2_incremental_evaluation", match_sql("m", thr="0.5") + " SELECT case_id, det_id, gt_id FROM m")
@@ -205,7 +210,7 @@ def _(t):
     detections = live.det_of(event_stream(t))
     path, ckpt = fresh_path(t.spark), fresh_path(t.spark)
     drain(ST.incremental_evaluation(detections, t.gt, lambda d, g: greedy_match(d, g, 0.5), path, ckpt))
-    return ST.latest(t.spark.read.parquet(path), ["case_id", "det_id"]).select("case_id", "det_id", "gt_id")
+    return ST.newest_cases(t.spark.read.parquet(f"{path}/events")).select("case_id", "det_id", "gt_id")
 
 
 @query("t3_running_counters", "SELECT event_type, user_id%3 AS lane, count(*) AS n FROM events GROUP BY 1,2", views="")
@@ -227,13 +232,19 @@ def _(t):
     return ST.latest(t.spark.read.parquet(path), ["run"])
 
 
-@query("t5_pool_when_done", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type", views="")
-def _(t):
-    # the stream counts as done once the folds that can become ready are ready
-    status = _status(t)
-    path = fresh_path(t.spark)
-    pool = lambda: t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    ST.pool_when_done(status, status.filter("ready").count(), pool, path)
-    ST.pool_when_done(status, status.filter("ready").count(), pool, path)
-    return t.spark.read.schema("event_type STRING, n BIGINT").parquet(path)
+@query("t5_pool_when_done", _ARRIVED + """ SELECT event_type, count(*) AS n, (SELECT bool_and(ready) FROM rf) AS all_pooled
+   FROM events WHERE (SELECT bool_and(ready) FROM rf WHERE fold IN (0, 3)) AND user_id%5 IN (0, 3) GROUP BY event_type""", views="")
+def _(t):
+    status, expected = _status(t)
+    status = cut_lineage(status)
+    some, every = fresh_path(t.spark), fresh_path(t.spark)
+    pooled = lambda fold: t("events").filter(fold).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    fold = F.col("user_id") % 5
+    empty = t.spark.createDataFrame([], "event_type STRING, n BIGINT")
+    done = ST.pool_when_done(status, expected.filter("fold IN (0, 3)"), lambda: pooled(fold.isin(0, 3)), some)
+    again = ST.pool_when_done(status, expected.filter("fold IN (0, 3)"), lambda: pooled(fold.isin(0, 3)), some)
+    all_done = ST.pool_when_done(status, expected, lambda: pooled(F.lit(True)), every)
+    assert not again
+    out = t.spark.read.schema("event_type STRING, n BIGINT").parquet(some) if done else empty
+    return out.withColumn("all_pooled", F.lit(all_done))
 

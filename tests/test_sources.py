@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxtally.sources import readers as R
 from boxtally.sources import writers as W
+from boxtally.operators.matching import greedy_match
 from boxtally.streaming import jobs as J
 
 
@@ -75,26 +76,53 @@ def arrive(spark, folder, name, rows):
 def test_fold_waits_for_all_arms_and_the_exact_set(spark, tmp_path):
     arms, folder, out, ckpt = ["x", "y"], str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     expected = spark.createDataFrame([(a, 0, c) for a in arms for c in "ab"], "arm string, fold long, case_id string")
-    counts = J.expected_counts(expected, arms)
+    counts = J.expected_counts(expected)
     at = "2024-01-01 00:00:00"
 
     def step(rows):
         arrive(spark, folder, "f", rows)
         stream = spark.readStream.schema("arm string, fold long, case_id string, kind string, arrived timestamp").parquet(folder)
-        J.append_batches(J.arrival_status(stream, expected, arms), out, ckpt, "update", lambda b: J.ready_folds(b, counts, arms)).awaitTermination()
-        return J.latest(spark.read.parquet(out), ["fold"]).first()["ready"]
+        J.append_batches(J.arrival_status(stream, expected), out, ckpt, "update").awaitTermination()
+        return J.ready_folds(J.latest(spark.read.parquet(out), ["fold", "arm"]), counts).first()["ready"]
 
     assert step([("x", 0, "a", "case", at), ("x", 0, "m", "marker", at)]) is False
     assert step([("x", 0, "a", "case", at), ("x", 0, "b", "case", at)]) is False
     assert step([("y", 0, c, "case", at) for c in "ab"] + [("y", 0, "m", "marker", at)]) is True
     assert step([("y", 0, "m", "marker_removed", at)]) is False
+    assert step([("y", 0, "m", "marker", "2024-01-01 00:00:05")]) is True
     assert step([("y", 0, "z", "case", at)]) is False
 
 
 def test_pool_only_once(spark, tmp_path):
     status = spark.createDataFrame([(0, True), (1, False)], "fold long, ready boolean")
     path = str(tmp_path / "pooled")
-    assert J.pool_when_done(status, 2, lambda: spark.range(1), path) is False
+    expected = spark.createDataFrame([(0,), (1,), (1,)], "fold long")
+    assert J.pool_when_done(status, expected, lambda: spark.range(1), path) is False
     done = status.withColumn("ready", F.lit(True))
-    assert J.pool_when_done(done, 2, lambda: spark.range(1), path) is True
-    assert J.pool_when_done(done, 2, lambda: spark.range(1), path) is False
+    assert J.pool_when_done(done, expected, lambda: spark.range(1), path) is True
+    assert J.pool_when_done(done, expected, lambda: spark.range(1), path) is False
+
+
+def test_case_over_two_batches_is_matched_once(spark, make, tmp_path):
+    box = (0.0, 0.0, 4.0, 4.0, 0.0, 4.0)
+    gts = make.gts([("a", 1, 0, 2, True, False, *box)])
+    folder, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for det in ((1, 0.4), (2, 0.9)):
+        make.dets([("a", det[0], 0, det[1], *box)]).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        J.incremental_evaluation(stream, gts, lambda d, g: greedy_match(d, g, 0.5), out, ckpt).awaitTermination()
+    got = {r["det_id"]: r["gt_id"] for r in J.newest_cases(spark.read.parquet(f"{out}/events")).collect()}
+    assert got == {1: None, 2: 1}
+
+
+def test_patience_does_not_depend_on_transfer_chunks(spark, tmp_path):
+    rows = [(1, s, v) for s, v in enumerate([1.0, 3.0, 2.0, float("nan"), 2.5, 4.0, 1.0, 1.0, 1.0, 9.0])]
+    spark.createDataFrame(rows[::-1], "run long, step long, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        stream = spark.readStream.schema("run long, step long, value double").parquet(str(tmp_path / "in"))
+        J.append_batches(J.patience_stream(stream, 3), str(tmp_path / "out"), str(tmp_path / "ck"), "update").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (got["best"], got["idle_steps"], got["fired"], got["step"]) == (4.0, 3, True, 9)
