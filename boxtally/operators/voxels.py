@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxtally.operators.assign import nearest_k
+from boxtally.operators.assign import nearest_one
 from boxtally.operators.curves import number_rows, running_totals
 from boxtally.operators.graph import connected_components
 from boxtally.session import cut_lineage
@@ -125,8 +125,10 @@ def fov_coverage(voxels: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def _packed(z: Column, y: Column, x: Column) -> Column:
-    """One long per voxel that sorts in (z, y, x) order; coordinates below 2^21."""
-    return F.shiftleft(z.cast("long"), 42) + F.shiftleft(y.cast("long"), 21) + x.cast("long")
+    """One long per voxel that sorts in (z, y, x) order; coordinates outside ``[0, 2^21)`` raise an error."""
+    inside = z.between(0, (1 << 21) - 1) & y.between(0, (1 << 21) - 1) & x.between(0, (1 << 21) - 1)
+    key = F.shiftleft(z.cast("long"), 42) + F.shiftleft(y.cast("long"), 21) + x.cast("long")
+    return F.when(inside, key).otherwise(F.raise_error(F.lit("a voxel coordinate is outside of 0 to 2^21 - 1")).cast("long"))
 
 
 def _runs(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -262,18 +264,18 @@ def erode(voxels: DataFrame, steps: int = 1) -> DataFrame:
     return out
 
 
-def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str], radius_mm: float = 2.0) -> DataFrame:
+def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str], cell_mm: float = 8.0) -> DataFrame:
     """Voxels outside the gland with the distance in mm to its nearest voxel.
 
-    The nearest gland voxel lies on its surface, so only surface voxels take part; the search goes
-    ring by ring on a grid.
+    The nearest gland voxel lies on its surface, so only surface voxels take part; cells of ``cell_mm``
+    bound which of them are compared.
     """
     sp = cases.select("case_id", *spacing)
     mm = [(F.col(a) * F.col(s)).alias(f"c{a}") for a, s in zip("xyz", spacing)]
     out = lesion.join(gland.select(*VOXEL).distinct(), list(VOXEL), "left_anti").withColumn("_id", _packed(F.col("z"), F.col("y"), F.col("x")))
     left = out.select("case_id", "_id", *AXES).distinct().join(sp, "case_id").select("case_id", "_id", *mm)
     rim = surface(gland).withColumn("_rid", _packed(F.col("z"), F.col("y"), F.col("x"))).join(sp, "case_id").select("case_id", "_rid", *mm)
-    near = nearest_k(cut_lineage(left), cut_lineage(rim), ["case_id"], "_id", "_rid", 1, radius_mm, ("cx", "cy", "cz"))
+    near = nearest_one(cut_lineage(left), cut_lineage(rim), ["case_id"], "_id", "_rid", cell_mm)
     return out.join(near.select("case_id", "_id", "dist"), ["case_id", "_id"], "left").drop("_id")
 
 

@@ -47,23 +47,24 @@ def test_coco_prefers_regular_and_last_on_ties(make):
 
 
 def test_tie_grouped_curve(spark):
-    rows = [(0.9, 2, False), (0.8, None, True), (0.8, 3, False), (0.7, 4, False), (0.6, None, True)]
-    e = spark.createDataFrame(rows, "score double, grade int, fp boolean").select(
-        "score", F.col("fp").cast("long").alias("fp"), *[F.coalesce(F.col("grade") == g, F.lit(False)).cast("long").alias(f"g{g}") for g in (2, 3, 5)]
+    # two tied scores of three rows each, worked out by hand
+    rows = [(0.5, "hit"), (0.5, "hit"), (0.5, "miss"), (0.75, "miss"), (0.25, "hit"), (0.25, "miss"), (0.25, "miss"), (1.0, "hit")]
+    e = spark.createDataFrame(rows, "score double, kind string").select(
+        "score", (F.col("kind") == "hit").cast("long").alias("tp"), (F.col("kind") == "miss").cast("long").alias("fp")
     )
-    c = W.tie_grouped_curve(e, [], ["fp", "g2", "g3", "g5"]).orderBy(F.col("score").desc_nulls_first()).collect()
-    assert [r["fp"] / 2 for r in c] == [0, 0, 0.5, 0.5, 1.0]
-    assert [r["g2"] for r in c] == [0, 1, 1, 1, 1]
-    assert [r["g3"] for r in c] == [0, 0, 1, 1, 1]
-    assert [r["g5"] for r in c] == [0] * 5
+    c = W.tie_grouped_curve(e, [], ["tp", "fp"]).orderBy(F.col("score").desc_nulls_first()).collect()
+    assert [(r["score"], r["tp"], r["fp"]) for r in c] == [(None, 0, 0), (1.0, 1, 0), (0.75, 1, 1), (0.5, 3, 2), (0.25, 4, 4)]
 
 
-@pytest.mark.parametrize("xs, ys, target, expected", [
-    ([0, 0.5, 1], [0, 0.2, 1], 0.75, 0.2), ([0, 0.5, 0.5, 1], [0, 0.2, 0.4, 1], 0.75, 0.4),
-    ([0, 0.5], [0, 0.5], 1.0, 0.5), ([0, 1], [0, 1], 0.5, 0.0),
+@pytest.mark.parametrize("points, target, expected", [
+    ([(0, 0), (2, 3), (5, 8)], 4.9, 3.0),  # between two points: the one before counts
+    ([(0, 0), (2, 3), (5, 8)], 5.0, 8.0),  # on a point
+    ([(0, 0), (3, 1), (3, 4), (3, 6), (9, 7)], 3.0, 6.0),  # a vertical step: its last point
+    ([(0, 0), (1, 2)], 100.0, 2.0),  # beyond the end
+    ([(0, 0), (7, 5)], 6.0, 0.0),  # before the first detection
 ])
-def test_value_at_budget(spark, xs, ys, target, expected):
-    rows = [(None if i == 0 else 1.0 - i / 10, float(x), float(y)) for i, (x, y) in enumerate(zip(xs, ys))]
+def test_value_at_budget(spark, points, target, expected):
+    rows = [(None if i == 0 else 1.0 / i, float(x), float(y)) for i, (x, y) in enumerate(points)]
     c = spark.createDataFrame(rows, "score double, x double, y double")
     assert W.value_at_budget(c, [], F.col("x"), F.col("y"), [target]).first()["value"] == expected
 
