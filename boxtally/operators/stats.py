@@ -130,12 +130,24 @@ def pooled_readout(features: DataFrame, keys: Sequence[str] = ("case_id", "insta
 
 
 def oof_probe(rows: DataFrame, features: Sequence[str], folds: int, label: str = "grade", fold: str = "fold", max_iter: int = 50, reg: float = 0.0) -> DataFrame:
-    """Out-of-fold class probabilities of a multinomial logistic model: median impute, scale, fit per fold."""
+    """Out-of-fold class probabilities of a multinomial logistic model: median impute, scale, fit per fold.
+
+    Every row has a fold in ``[0, folds)``, no fold is empty, and every fold's training rows hold all grades;
+    anything else is an error.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    here = rows.groupBy(F.col(fold).alias("k"), F.col(label).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()  # folds x grades
+    if {r["k"] for r in here} != set(range(folds)):
+        raise ValueError(f"folds are {sorted({r['k'] for r in here}, key=str)}")
+    if not {r["g"] for r in here} <= set(GRADES):
+        raise ValueError("a row has no known grade")
+    for k in range(folds):
+        if {r["g"] for r in here if r["k"] != k} != {r["g"] for r in here}:
+            raise ValueError(f"a grade occurs in fold {k} only")
     filled = [f"{c}_filled" for c in features]
     ready = rows.withColumn("_label", (F.col(label) - GRADES[0]).cast("double"))
     parts = []

@@ -299,15 +299,19 @@ def _(t):
     return ST.conflicting_labels(rows, ["instance_id"])
 
 
-def _oof(t):
-    rows = t("embeddings").select("vec_id", (2 + F.col("label") % 4).alias("grade"), (F.expr("vec_id DIV 2") % 3).alias("fold"),
-                                  *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)])
-    return ST.oof_probe(rows, [f"f{i}" for i in range(4)], 3, max_iter=20, reg=0.01)
-
-
-@query("p17_oof_probe", None)
-def _(t):
-    return _oof(t).select("vec_id", "grade", "fold", *[r6(f"p{g}") for g in (2, 3, 4, 5)])
+@query("p17_oof_probe", """SELECT (vec_id//2)%5 AS fold, count(*) AS n, count(*) AS sums_to_one, count(DISTINCT label%4) AS grades, true AS all_probabilities
+   FROM embeddings GROUP BY 1""", views="")
+def _(t):
+    entries = [f"f{i}" for i in range(64)]
+    rows = t("embeddings").select("vec_id", (2 + F.col("label") % 4).alias("grade"), (F.expr("vec_id DIV 2") % 5).alias("fold"),
+                                  *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(entries)])
+    out = ST.oof_probe(rows, entries, 5, max_iter=2000, reg=0.01)
+    probs = [F.col(f"p{g}") for g in (2, 3, 4, 5)]
+    whole = F.abs(sum(probs[1:], probs[0]) - 1) <= 1e-6
+    inside = F.bool_and(F.least(*probs) >= 0) & F.bool_and(F.greatest(*probs) <= 1)
+    return out.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(whole, 1)).alias("sums_to_one"), F.countDistinct("grade").alias("grades"), inside.alias("all_probabilities")
+    )
 
 
 @query("p18_subgroup_report", _GP + f""", sg AS (SELECT 'all' AS subgroup, * FROM gp UNION ALL SELECT 'even', * FROM gp WHERE det_id%2=0 UNION ALL SELECT 'third', * FROM gp WHERE det_id%3=0)

@@ -106,9 +106,17 @@ def _(t):
     return RD.read_audit_csv(t.spark, path).select("case_id", "source_voxels", "final_components")
 
 
-@query("s7_scan_by_glob", None)
+@query("s7_scan_by_glob", """SELECT 'p' || (patient_id%40) || '_s' || (case_id%2) AS case_id, m::BIGINT AS modality, 1::BIGINT AS files, false AS repeated
+   FROM cases, (VALUES (0),(1)) v(m) GROUP BY ALL""")
 def _(t):
-    return RD.scan_files(t.spark, t.sf_dir, "*.parquet").select("case_id", "modality", "length")
+    path = fresh_path(t.spark)
+    name = F.concat(F.lit("p"), F.col("patient_id") % 40, F.lit("_s"), F.col("case_id") % 2)
+    rows = t.cases.select(F.col("case_id").alias("id"), name.alias("case_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("modality"))
+    rows.repartition("case_id", "modality").write.partitionBy("case_id", "modality").parquet(path)
+    files = RD.scan_files(t.spark, path, "*.parquet", from_folders=True)
+    twice = RD.duplicate_files(files).withColumn("repeated", F.lit(True))
+    counted = files.groupBy("case_id", "modality").agg(F.count(F.lit(1)).alias("files"))
+    return counted.join(twice, ["case_id", "modality"], "left").select("case_id", "modality", "files", F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
 
 @query("s8_write_once", "SELECT label, count(*) AS n FROM det GROUP BY label")

@@ -152,17 +152,21 @@ def read_audit_csv(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(S.RETENTION).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
 
 
-def scan_files(spark: SparkSession, path: str, glob: str = "*", with_content: bool = False) -> DataFrame:
-    """Files below ``path`` with the case id and modality their names carry."""
+def scan_files(spark: SparkSession, path: str, glob: str = "*", with_content: bool = False, from_folders: bool = False) -> DataFrame:
+    """Files below ``path`` with the case id and modality their names carry.
+
+    With ``from_folders`` both come from folders named ``case_id=…`` and ``modality=…`` on the way.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True).load(path)
     )
-    out = files.select(
-        "path", "length", case_from_path(F.col("path")).alias("case_id"),
-        modality_from_path(F.col("path")).alias("modality"), *(["content"] if with_content else []),
-    )
-    return out
+    folder = lambda name: F.regexp_extract("path", rf"/{name}=([^/]+)/", 1)
+    if from_folders:
+        case, modality = folder("case_id"), F.nullif(folder("modality"), F.lit("")).cast("long")
+    else:
+        case, modality = case_from_path(F.col("path")), modality_from_path(F.col("path"))
+    return files.select("path", "length", case.alias("case_id"), modality.alias("modality"), *(["content"] if with_content else []))
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
