@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,17 @@ def instance_classes(voxels: DataFrame, mapping: DataFrame, background: bool = F
     shift = 1 if background else 0
     m = mapping.select("case_id", "instance_id", (F.col("class") + shift).alias("class"))
     return voxels.join(m, ["case_id", "instance_id"], "left")
+
+
+def remap_classes(label: Column, mapping: dict[int, int], dropped: Sequence[int] = (), fill: int = -1) -> Column:
+    """Class ids under a mapping that applies to all at once, so that two classes can change places.
+
+    Dropped classes become ``fill``; classes the mapping doesn't name stay.
+    """
+    new = F.coalesce(F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])[label], label) if mapping else label
+    return F.when(label.isin(list(dropped)), F.lit(fill)).otherwise(new) if dropped else new
+
+
+def collapsed_classes(mapping: dict[int, int]) -> int:
+    """How many classes of a mapping share their target with another one."""
+    return len(mapping) - len(set(mapping.values()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from boxtally.functions import geometry as G
 from boxtally.functions import values as V
 from boxtally.operators.pairs import box_pairs
+from boxtally.operators.lookups import collapsed_classes, remap_classes
 from boxtally.plans.registry import query, r6
 from boxtally.plans.sqlparts import R, area, inter, iou, overlap
 from boxtally.sources.readers import flatten_json
@@ -270,10 +271,8 @@ def _(t):
        CAST(0 AS INTEGER) AS collapsed FROM embeddings""", views="")
 def _(t):
     mapping = {0: 7, 7: 0}
-    dropped = F.col("label").isin(3, 4)
-    table = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
-    new = F.when(dropped, F.lit(-1)).otherwise(F.coalesce(table[F.col("label")], F.col("label")))
-    return t("embeddings").select("vec_id", new.alias("label"), F.lit(0).alias("collapsed"))
+    new = remap_classes(F.col("label"), mapping, dropped=(3, 4))
+    return t("embeddings").select("vec_id", new.alias("label"), F.lit(collapsed_classes(mapping)).alias("collapsed"))
 
 
 @query("g22_flatten_config", """SELECT event_id, 'k' AS key, json_extract_string(props,'$.k') AS value FROM events

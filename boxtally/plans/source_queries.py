@@ -138,6 +138,34 @@ def _(t):
     return WR.metric_table(back, ["mean_price", "orders"]).select("run", "fold", r6("mean_price"), "orders")
 
 
+def _scalars(t):
+    per = t("orders").groupBy(F.col("o_orderpriority").alias("run"), (F.col("o_orderkey") % 5).alias("fold")).agg(
+        F.avg("o_totalprice").alias("mean_price"), F.count(F.lit(1)).cast("double").alias("orders")
+    )
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("mean_price", "orders")])
+    return per.select("run", "fold", F.explode(rows).alias("r")).select("run", "fold", "r.*")
+
+
+@query("s9_write_report", f"""SELECT o_orderpriority AS run, o_orderkey%5 AS fold, count(*)::DOUBLE AS orders, NULL::DOUBLE AS never_measured, {R('avg(o_totalprice)')} AS mean_price FROM orders GROUP BY 1,2""", views="")
+def _(t):
+    path = fresh_path(t.spark)
+    WR.write_report(_scalars(t), path, ["orders", "never_measured", "mean_price"])
+    back = t.spark.read.schema("run STRING, fold BIGINT, orders DOUBLE, never_measured DOUBLE, mean_price DOUBLE").csv(path, header=True, enforceSchema=False)
+    return back.select("run", "fold", "orders", "never_measured", r6("mean_price"))
+
+
+@query("s9_write_curves", f"""SELECT o_orderpriority AS run, o_orderkey%5 AS fold, 'by_year' AS key, (year(o_orderdate)-1992)::BIGINT AS idx, year(o_orderdate)::DOUBLE AS x, {R('avg(o_totalprice)')} AS y
+   FROM orders GROUP BY ALL""", views="")
+def _(t):
+    year = F.year("o_orderdate")
+    curves = t("orders").groupBy(F.col("o_orderpriority").alias("run"), (F.col("o_orderkey") % 5).alias("fold"), year.alias("year")).agg(F.avg("o_totalprice").alias("y"))
+    curves = curves.select("run", "fold", F.lit("by_year").alias("key"), (F.col("year") - 1992).cast("long").alias("idx"), F.col("year").cast("double").alias("x"), "y")
+    path = fresh_path(t.spark)
+    WR.write_metrics(_scalars(t), path, curves)
+    back = t.spark.read.schema("key STRING, idx BIGINT, x DOUBLE, y DOUBLE, run STRING, fold BIGINT").parquet(f"{path}/curves")
+    return back.select("run", "fold", "key", "idx", "x", r6("y"))
+
+
 @query("s10_overview_export", "SELECT case_id, count(gt_id) AS num_gt FROM cases LEFT JOIN gt USING (case_id) GROUP BY case_id")
 def _(t):
     path = fresh_path(t.spark)

@@ -25,6 +25,11 @@ def metric_table(scalars: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scalars.groupBy("run", "fold").pivot("key", list(keys)).agg(F.first("value"))
 
 
+def write_report(scalars: DataFrame, path: str, fields: Sequence[str]) -> None:
+    """CSV with a header of run, fold and the given fields, in this order whatever was measured; absent values are empty."""
+    metric_table(scalars, fields).select("run", "fold", *fields).write.mode("errorifexists").csv(path, header=True)
+
+
 def export_overview(overview: DataFrame, path: str) -> None:
     """Case overview as JSON, and as CSV with its lists turned into JSON text."""
     flat = [
