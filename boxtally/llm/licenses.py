@@ -243,7 +243,9 @@ def other_paragraphs(docs: DataFrame, text_col: str = "text", most: int = MAX_OT
     known = {tuple(w[i : i + 3]) for notices in TEMPLATES.values() for n in notices for w in [tokens(n)] for i in range(len(w) - 2)}
     # the first line of a document stands for it: one row per document keeps the draw cheap and spread over documents
     lines = docs.select(F.substring_index(F.col(text_col), "\n", 1).alias("p")).filter("p <> ''")
-    rows = lines.select(F.substring("p", 1, 400).alias("p"), F.xxhash64("p").alias("h")).orderBy("h", "p").limit(most).collect()
+    few = max(1, docs.count() // (4 * most))  # so that the draw moves a few times ``most`` rows, whatever the number of tasks
+    drawn = lines.select(F.substring("p", 1, 400).alias("p"), F.xxhash64("p").alias("h")).filter(F.pmod("h", F.lit(few)) == 0)
+    rows = drawn.orderBy("h", "p").limit(most).collect()
     return [r["p"] for r in rows if not any(tuple(w[i : i + 3]) in known for w in [tokens(r["p"])] for i in range(len(w) - 2))]
 
 

@@ -85,7 +85,9 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     """``rows`` has doc_id and the feature columns f_*; ``labels`` doc_id and a label of 0 or 1."""
     names = [c[2:] for c in rows.columns if c.startswith("f_")]
     known = labels.select("doc_id", F.col(label_col).cast("double").alias("label")).filter("doc_id is not null and label is not null")
-    sample = rows.join(known, "doc_id").select("label", *[f"f_{c}" for c in names], F.xxhash64("doc_id").alias("h")).orderBy("h").limit(max_labelled).drop("h")
+    few = max(1, labels.count() // (4 * max_labelled))  # so that the draw moves a few times ``max_labelled`` rows, whatever the number of tasks
+    drawn = known.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod("h", F.lit(few)) == 0)
+    sample = rows.join(drawn, "doc_id").orderBy("h").limit(max_labelled).select("label", *[f"f_{c}" for c in names])
     data = sample.toPandas().to_numpy(dtype=np.float64)
     y = data[:, 0] if len(data) else np.zeros(0)
     if not 0 < y.sum() < len(y):

@@ -204,7 +204,7 @@ def classes_by_force(rows, least=near_dedup.LEAST):
     return {i: root(i) for i in sets}
 
 
-@pytest.mark.parametrize("small", [2, 64])
+@pytest.mark.parametrize("small", [2, 512])
 def test_near_dedup_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(near_dedup.links, "__defaults__", (near_dedup.LEAST, small))
     rng = random.Random(small)
