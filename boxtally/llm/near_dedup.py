@@ -9,12 +9,12 @@ bands; documents that share a band are candidates, and J_P of 0.8 or more is ver
 
 Copies (equal sequences of words) are one text: only one of them, the smallest id, is compared.
 
-Within a band's bucket no all-pairs list is made. Everyone is compared with a leader. Because 1 - J_P is a
-metric, documents near the leader and documents farther than twice the bound from it cannot be linked and
-the bucket falls apart between them; those in between go to both parts. In a part of bounded size the pairs
-that are still open are compared; a larger part goes on with a new leader while it holds documents that are
-not yet connected with each other. So every link between candidates is found that connects texts which
-nothing else connects, and the classes equal those of all links.
+No list of all pairs is made. Everyone in a band's bucket is compared with its leader, the smallest id; that
+settles groups of copies in one step. Documents that buckets connect but these links don't are then compared in
+blocks of bounded size: all but the largest class of such a group against each other and against that class.
+Within a block registers are compared first; a pair that agrees in fewer than ``SCREEN`` of them is passed over
+(for a pair at the bound a chance below 1e-5), and so is a pair that is connected already. So the classes are
+those of all links, and what a block gives out is no more than it needs to connect them.
 
 Defined results: null and empty texts have no shingles and are copies of each other; a text of one to four
 words has one shingle of all its words. Repeated ids are one document. A row without an id is not compared:
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxtally.llm.filters import maybe_in
 from boxtally.llm.text import by_text, chunks, mix, shingles, signed, words
 from boxtally.operators.graph import connected_components
 from boxtally.session import cut_lineage
@@ -40,8 +41,10 @@ LEAST = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 CHUNK = 4 << 20
-#: Members of a bucket's part up to which its open pairs are listed; larger parts go on with leaders.
-SMALL_PART = 64
+#: Share of registers in which a pair has to agree to be verified.
+SCREEN = 0.6
+#: Documents in one block of a comparison; a task holds two.
+BLOCK_ROWS = 512
 
 
 def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -81,7 +84,7 @@ def bands(held: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, bands_: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, words_key, bands): a digest of the sequence of words and the band hashes, null without shingles."""
+    """(doc_id, words_key, bands, registers): a digest of the sequence of words, band hashes (null without shingles), 16 bits of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,14 +95,18 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands_: int = BANDS, row
                 keys = [hashlib.md5(value[a:b].tobytes()).digest() for a, b in zip(offsets[:-1], offsets[1:])]
                 owner, element, count = by_text(*shingles(texts, WORDS))
                 with np.errstate(over="ignore"):
-                    found = bands(signatures(owner, element, count.astype(np.float64), len(texts), bands_ * rows), rows)
+                    held = signatures(owner, element, count.astype(np.float64), len(texts), bands_ * rows)
+                    found = bands(held, rows)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands_), pa.array(signed(found.ravel())), mask=pa.array(offsets[1:] == offsets[:-1])
                 )
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(keys, pa.binary()), lists], ["doc_id", "words_key", "bands"])
+                short = [x.tobytes() for x in (held >> np.uint64(48)).astype(np.uint16)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), pa.array(keys, pa.binary()), lists, pa.array(short, pa.binary())], ["doc_id", "words_key", "bands", "registers"]
+                )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    return own.mapInArrow(run, "doc_id bigint, words_key binary, bands array<bigint>")
+    return own.mapInArrow(run, "doc_id bigint, words_key binary, bands array<bigint>, registers binary")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -138,46 +145,86 @@ def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "leader bigint, member bigint, distance double")
 
 
-def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST, small: int = SMALL_PART) -> DataFrame:
+def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(u, v) links of similarity ``least`` or more that connect all classes of candidates.
 
-    ``buckets`` has (bucket, id) with at least two members each, ``texts`` (id, text).
+    ``buckets`` has (bucket, id) with at least two members each, ``texts`` (id, text, registers).
     """
-    spark = buckets.sparkSession
     far = 1.0 - least + 1e-9
-    found = spark.createDataFrame([], "u long, v long")
-    linked = lambda d: d.filter(F.col("distance") <= far).select(F.col("leader").alias("u"), F.col("member").alias("v"))
-    live = buckets
-    while True:
-        leader = cut_lineage(live.groupBy("bucket").agg(F.min("id").alias("leader")))
-        rows = cut_lineage(live.join(leader, "bucket").filter("id <> leader").select("bucket", "leader", F.col("id").alias("member")))
-        measured = cut_lineage(_distances(rows.select("leader", "member").distinct(), texts))
-        found = found.unionByName(linked(measured))
-        known = rows.join(measured, ["leader", "member"])
-        # without its leader a bucket goes on where someone is not linked to it, in up to two parts
-        parts = known.select("member", "distance", F.explode(F.array_compact(F.array(
-            F.when(F.col("distance") <= 2 * far, F.xxhash64("bucket", F.lit(0))), F.when(F.col("distance") > far, F.xxhash64("bucket", F.lit(1))),
-        ))).alias("bucket"))
-        sizes = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.max("distance").alias("most")).filter((F.col("n") > 1) & (F.col("most") > far))
-        parts = cut_lineage(parts.join(cut_lineage(sizes.select("bucket", "n")), "bucket"))
-        if parts.isEmpty():
-            return found
-        texts = cut_lineage(texts.join(parts.select(F.col("member").alias("id")).distinct(), "id"))
-        # parts of bounded size end here: their pairs but for those that the leader links or keeps apart
-        few = parts.filter(F.col("n") <= small)
-        one = few.select("bucket", F.col("member").alias("leader"), F.col("distance").alias("a"))
-        two = few.select("bucket", "member", F.col("distance").alias("b"))
-        pairs = one.join(two, "bucket").filter((F.col("leader") < F.col("member")) & (F.greatest("a", "b") > far) & (F.abs(F.col("a") - F.col("b")) <= far))
-        found = cut_lineage(found.unionByName(linked(_distances(pairs.select("leader", "member").distinct(), texts))))
-        many = parts.filter(F.col("n") > small)
-        if many.isEmpty():
-            return found
-        classes = connected_components(many.select(F.col("member").alias("id")).distinct(), found)
-        labelled = cut_lineage(many.join(classes.withColumnRenamed("id", "member"), "member").select("bucket", F.col("member").alias("id"), "component"))
-        apart = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-        live = cut_lineage(labelled.join(cut_lineage(apart), "bucket").select("bucket", "id"))
-        if live.isEmpty():
-            return found
+    leader = cut_lineage(buckets.groupBy("bucket").agg(F.min("id").alias("leader")))
+    stars = cut_lineage(buckets.join(leader, "bucket").filter("id <> leader").select("leader", F.col("id").alias("member")).distinct())
+    measured = cut_lineage(_distances(stars, texts))
+    found = measured.filter(F.col("distance") <= far).select(F.col("leader").alias("u"), F.col("member").alias("v"))
+    nodes = texts.select("id")
+    groups = connected_components(nodes, stars.select(F.col("leader").alias("u"), F.col("member").alias("v"))).withColumnRenamed("component", "grp")
+    classes = connected_components(nodes, found)
+    rows = cut_lineage(groups.join(classes, "id"))
+    sizes = rows.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("grp").agg(
+        F.count("*").alias("classes"), F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.max("n").alias("most")
+    ).filter("classes > 1")
+    open_ = cut_lineage(open_.select(
+        "grp", "main", F.ceil(F.col("others") / block_rows).cast("int").alias("k"), F.ceil(F.col("most") / block_rows).cast("int").alias("k_main")
+    ))
+    in_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(in_main, F.col("k_main")).otherwise(F.col("k"))).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda a, b, main, first: F.struct(a.alias("a"), b.alias("b"), F.lit(main).alias("with_main"), first.alias("first"))
+    among = F.transform(each("k"), lambda j: place(F.least("own", j), F.greatest("own", j), False, F.col("own") <= j))
+    against = F.transform(each("k_main"), lambda j: place(F.col("own"), j, True, F.lit(True)))
+    from_main = F.transform(each("k"), lambda i: place(i, F.col("own"), True, F.lit(False)))
+    placed = rows.join(open_, "grp").withColumn("own", own).select(
+        "id", "grp", "component", F.explode(F.when(in_main, from_main).otherwise(F.concat(among, against))).alias("p")
+    )
+    placed = placed.select("id", "component", F.xxhash64("grp", "p.a", "p.b", "p.with_main").alias("block"), "p.first", (~F.col("p.with_main") & (F.col("p.a") == F.col("p.b"))).alias("alone"))
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = placed.join(texts, "id").repartition(parts, "block").sortWithinPartitions("block", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "component", "first", "alone", "registers", "text"))):
+                if held and held[0][0] != row[0]:
+                    yield _block_links(held, least)
+                    held = []
+                held.append(row)
+        if held:
+            yield _block_links(held, least)
+
+    compared = whole.select("block", "id", "component", "first", "alone", "registers", "text").mapInArrow(run, "u bigint, v bigint")
+    return cut_lineage(found.unionByName(compared))
+
+
+def _block_links(rows: list, least: float) -> pa.RecordBatch:
+    """Links between the two sides of a block, or within a block alone, that connect its classes."""
+    registers = np.array([np.frombuffer(r[5], dtype=np.uint16) for r in rows])
+    first = np.array([r[3] for r in rows])
+    alone = rows[0][4]
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    sets: dict[int, tuple] = {}
+
+    def own(i: int) -> tuple:
+        if i not in sets:
+            sets[i] = by_text(*shingles([rows[i][6]], WORDS))[1:]
+        return sets[i]
+
+    found = []
+    others = np.flatnonzero(~first)
+    for i in np.flatnonzero(first):
+        against = np.arange(i + 1, len(rows)) if alone else others
+        agree = (registers[against] == registers[i]).mean(axis=1)
+        for j in against[agree >= SCREEN][np.argsort(-agree[agree >= SCREEN], kind="stable")]:
+            a, b = top(rows[i][2]), top(rows[j][2])
+            if a != b and probability_jaccard(own(i), own(j)) >= least - 1e-9:
+                root[max(a, b)] = min(a, b)
+                found.append((rows[i][1], rows[j][1]))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -190,7 +237,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut_lineage(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
     buckets = cut_lineage(keys.join(shared, "bucket"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = cut_lineage(own.join(buckets.select("id").distinct(), "id").dropDuplicates(["id"]))
+    wanted = cut_lineage(buckets.select("id").distinct())
+    may, _ = maybe_in(own, wanted, ("id",))
+    texts = may.join(wanted, "id").dropDuplicates(["id"]).join(drawn.select(F.col("doc_id").alias("id"), "registers").dropDuplicates(["id"]), "id")
+    texts = cut_lineage(texts)
     found = texts.sparkSession.createDataFrame([], "u long, v long") if buckets.isEmpty() else links(buckets, texts, least)
     nodes = reps.select(F.col("rep").alias("id"))
     classes = cut_lineage(connected_components(nodes, found))
