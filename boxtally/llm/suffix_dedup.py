@@ -42,7 +42,7 @@ GRAM = 32
 #: Pieces of one anchor that go to one shard; more are dealt over several.
 PIECES_A_SHARD = 4096
 #: Bytes of pieces in a shard, on average, and of window starts that are searched for anchors at a time.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK = 1 << 20
 #: Windows that one range of the merge across shards holds, on average.
 MERGE_WINDOWS = 200_000
