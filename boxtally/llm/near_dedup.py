@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.sparkSession.createDataFrame([], "u long, v long") if buckets.isEmpty() else links(buckets, texts, least)
     nodes = reps.select(F.col("rep").alias("id"))
     classes = cut_lineage(connected_components(nodes, found))
-    members = drawn.select("doc_id", "words_key").distinct().join(reps, "words_key").join(classes.withColumnRenamed("id", "rep"), "rep")
-    sizes = members.groupBy("component").agg(F.count("*").alias("class_size"))
+    members = cut_lineage(drawn.select("doc_id", "words_key").distinct().join(reps, "words_key").join(classes.withColumnRenamed("id", "rep"), "rep"))
+    sizes = cut_lineage(members.groupBy("component").agg(F.count("*").alias("class_size")))
     return members.join(sizes, "component").select(
         "doc_id", F.col("component").alias("class_id"), "class_size", (F.col("doc_id") != F.col("rep")).alias("is_copy"),
         (F.col("doc_id") == F.col("component")).alias("kept"),
