@@ -33,7 +33,7 @@ SWITCH_PENALTY = 8.0
 #: A language is a candidate in a script that holds this share of its training words.
 SCRIPT_SHARE = 0.005
 #: Numbers in the score table that one Viterbi pass holds.
-PASS_CELLS = 8_000_000
+PASS_CELLS = 4_000_000
 #: First code points of script blocks and the script from there on.
 SCRIPT_STARTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -207,11 +207,11 @@ def label_texts(model: Model, texts: Sequence[str | None], penalty: float = SWIT
         parts = []
         for a, b in chunks(ranked[i:j], CHUNK_BYTES):
             w = split_words(ranked[a + i : b + i])
-            parts.append((word_scores(model, w), w.text + a, w.start - w.base[w.text], w.end - w.base[w.text]))
-        scores, text, start, end = (np.concatenate(x) for x in zip(*parts))
+            known = model.in_script[w.script].any(axis=1)
+            parts.append((word_scores(model, w), w.text + a, w.start - w.base[w.text], w.end - w.base[w.text], known))
+        scores, text, start, end, counted = (np.concatenate(x) for x in zip(*parts))
         offsets = np.searchsorted(text, np.arange(j - i + 1))
         label = best_path(scores, offsets, penalty)
-        counted = scores.any(axis=1)
         letters = np.zeros((j - i, len(model.languages)))
         np.add.at(letters, (text[counted], label[counted]), (end - start)[counted])
         total = np.bincount(text, weights=end - start, minlength=j - i)
@@ -252,6 +252,18 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(label, ddl)
 
 
+def predicted(df: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> Column:
+    """(lang_pred, score) of each row of ``df`` as a column; only the text goes to Python and back come two values."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(texts: pd.Series) -> pd.DataFrame:
+        got = label_texts(shared.value, [t if isinstance(t, str) else None for t in texts], penalty)
+        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+
+    return label(df[text_col])
+
+
 def fold(doc_id: Column) -> Column:
     """Fold 0 to 3 of a document, from its id alone."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

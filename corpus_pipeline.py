@@ -14,11 +14,8 @@ LEAST_LANGUAGE = 0.2
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter and those of no learned language go. Learns from all rows with one."""
-    model = language.fit(docs)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    labelled = language.identify(whole, model, id_col="row")
-    kept = labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.select(*[F.col("doc_id")[c].alias(c) for c in docs.columns])
+    labelled = docs.withColumn("__label", language.predicted(docs, language.fit(docs)))
+    return labelled.filter((F.col("__label.lang_pred") != "und") & (F.col("__label.score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
