@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxtally.llm.filters import maybe_in
 from boxtally.llm.text import mix, powers, signed
 from boxtally.session import cut_lineage
 
@@ -38,7 +39,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def normal_form(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+    """Lower case, trimmed, each run of white space one space; most lines have single spaces only and skip the pattern."""
+    plain = ~(F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b")))
+    return F.lower(F.trim(F.when(plain, line).otherwise(F.regexp_replace(line, r"\s+", " "))))
 
 
 def _half(n: Column) -> Column:
@@ -55,24 +58,29 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line, key) of the lines that are not blank."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text <> ''")
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return lines.select("doc_id", "line_no", normal_form("raw").alias("line")).filter("line <> ''").withColumn("key", F.xxhash64("line", F.lit(1)))
+    return lines.select("doc_id", "line_no", normal_form(F.col("raw")).alias("line")).filter("line <> ''").withColumn("key", F.xxhash64("line", F.lit(1)))
 
 
-def near_earlier(firsts: DataFrame) -> DataFrame:
-    """Keys of lines with an earlier line one edit away: (key, seen_doc, seen_line).
-
-    ``firsts`` has (key, line, doc_id, line_no), one row per distinct line with its first place.
-    """
+def near_earlier(all_lines: DataFrame) -> DataFrame:
+    """Keys of lines with an earlier line one edit away: (key, seen_doc, seen_line). ``all_lines`` comes from ``document_lines``."""
     n = F.char_length("line")
     # a line one character longer may use the next larger half, which this line then offers as well
-    halves = firsts.filter(n >= NEAR_CHARS).select("key", "line", F.explode(F.array_distinct(F.array(_half(n), _half(n + 1)))).alias("p"))
+    halves = all_lines.filter(n >= NEAR_CHARS).select("key", "line", F.explode(F.array_distinct(F.array(_half(n), _half(n + 1)))).alias("p"))
     halves = halves.select("key", F.explode(F.array(
         F.xxhash64(F.lit(0), "p", F.substring(F.col("line"), F.lit(1), F.col("p"))),
         F.xxhash64(F.lit(1), "p", F.substring(F.col("line"), -F.col("p"), F.col("p"))),
     )).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    wanted = halves.join(shared, "half").select("key").distinct()
-    lines = cut_lineage(firsts.join(wanted, "key").select("key", "line", F.struct("doc_id", "line_no", "key").alias("place")))
+    shared = cut_lineage(_held_by_two(halves, "half"))
+    may_share, _ = maybe_in(halves, shared, ("half",))
+    wanted = cut_lineage(may_share.join(shared, "half").select("key").distinct())
+    some, _ = maybe_in(all_lines, wanted, ("key",))
+    lines = some.join(wanted, "key").groupBy("key").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("place"))
+    # one number per line in order of its first place, so that variants carry a number instead of a place
+    lines = cut_lineage(
+        lines.repartitionByRange("place").sortWithinPartitions("place").select(
+            F.monotonically_increasing_id().alias("turn"), "key", "line", "place.doc_id", "place.line_no"
+        )
+    )
     rest = F.lit(STRETCHES - 1) - F.col("i")
     open_at = (
         lines.select("key", "line", F.explode(F.array_distinct(F.array(_stretch(n), _stretch(n + 1)))).alias("q"))
@@ -82,7 +90,7 @@ def near_earlier(firsts: DataFrame) -> DataFrame:
             F.substring(F.col("line"), n - rest * F.col("q") + 1, rest * F.col("q")),
         ).alias("others"))
     )
-    shared = open_at.groupBy("others").agg(F.count("*").alias("n")).filter("n > 1").select("others")
+    shared = _held_by_two(open_at, "others")
     gaps = open_at.join(shared, "others").groupBy("key").agg(F.collect_set(F.struct("i", "q")).alias("gaps"))
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,29 +100,29 @@ def near_earlier(firsts: DataFrame) -> DataFrame:
                 wanted = place < 0
                 for gap in own:
                     wanted[gap["i"] * gap["q"] : len(line) - (STRETCHES - 1 - gap["i"]) * gap["q"]] = True
-                source = batch.column("place").take(pa.array(np.full(int(wanted.sum()), at)))
-                yield pa.RecordBatch.from_arrays([source, pa.array(signed(value[wanted])), pa.array(place[wanted])], ["place", "variant", "at"])
+                source = batch.column("turn").take(pa.array(np.full(int(wanted.sum()), at)))
+                yield pa.RecordBatch.from_arrays([source, pa.array(signed(value[wanted])), pa.array(place[wanted])], ["turn", "variant", "at"])
 
-    made = lines.join(gaps, "key").select("place", "line", "gaps").mapInArrow(
-        variants, "place struct<doc_id:bigint,line_no:int,key:bigint>, variant bigint, at int"
-    )
-    made = cut_lineage(made)
-    first = F.min("place").alias("first")
+    made = cut_lineage(lines.join(gaps, "key").select("turn", "line", "gaps").mapInArrow(variants, "turn bigint, variant bigint, at int"))
+    first = F.min("turn").alias("first")
     # one character replaced: equal variants with the same place deleted
-    replaced = made.filter("at >= 0").groupBy("variant", "at").agg(first, F.count("*").alias("n")).filter("n > 1").select("variant", "at", "first")
-    by_replacing = made.join(replaced, ["variant", "at"]).select("place", "first")
+    replaced = made.filter("at >= 0").groupBy("variant", "at").agg(first, F.max("turn").alias("last")).filter("first < last").select("variant", "at", "first")
+    by_replacing = made.join(replaced, ["variant", "at"]).select("turn", "first")
     # one character inserted: the whole line (at -1) equals a variant of the longer one
     longer = made.filter("at >= 0").groupBy("variant").agg(first)
-    whole = made.filter("at = -1").select("variant", F.col("place").alias("shorter"))
-    by_deleting = whole.join(longer, "variant").select(F.col("shorter").alias("place"), "first")
-    by_inserting = made.filter("at >= 0").join(whole, "variant").select("place", F.col("shorter").alias("first"))
-    found = by_replacing.unionByName(by_deleting).unionByName(by_inserting).filter(F.col("first") < F.col("place"))
-    best = found.groupBy(F.col("place.key").alias("key")).agg(F.min("first").alias("first"))
-    text = lines.select("key", "line")
-    pairs = best.join(text, "key").join(text.select(F.col("key").alias("other"), F.col("line").alias("earlier")), F.col("first.key") == F.col("other"))
-    return pairs.filter(F.levenshtein("line", "earlier", 1) >= 0).select(
-        "key", F.col("first.doc_id").alias("seen_doc"), F.col("first.line_no").alias("seen_line")
-    )
+    whole = made.filter("at = -1").select("variant", F.col("turn").alias("shorter"))
+    by_deleting = whole.join(longer, "variant").select(F.col("shorter").alias("turn"), "first")
+    by_inserting = made.filter("at >= 0").join(whole, "variant").select("turn", F.col("shorter").alias("first"))
+    found = by_replacing.unionByName(by_deleting).unionByName(by_inserting).filter("first < turn")
+    best = found.groupBy("turn").agg(F.min("first").alias("first"))
+    earlier = lines.select(F.col("turn").alias("first"), F.col("line").alias("earlier"), F.col("doc_id").alias("seen_doc"), F.col("line_no").alias("seen_line"))
+    pairs = best.join(lines.select("turn", "key", "line"), "turn").join(earlier, "first")
+    return pairs.filter(F.levenshtein("line", "earlier", 1) >= 0).select("key", "seen_doc", "seen_line")
+
+
+def _held_by_two(rows: DataFrame, column: str) -> DataFrame:
+    """Values of a column that rows of two different lines have; combined before the shuffle."""
+    return rows.groupBy(column).agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select(column)
 
 
 def line_variants(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +148,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A line meets the first place of its key in a join that AQE can split when one line holds a third of all rows.
     """
-    lines = document_lines(docs, id_col, text_col)
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("line").alias("line")).select(
-        "key", "line", "place.doc_id", "place.line_no"
-    )
-    near = cut_lineage(near_earlier(firsts))
+    lines = cut_lineage(document_lines(docs, id_col, text_col))
+    near = cut_lineage(near_earlier(lines))
     # written, so that the lines meet a plain table and AQE can split a key that a third of them share
     seen = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place")).join(near.select("key", F.lit(True).alias("near")), "key", "left")
     seen = cut_lineage(seen)
@@ -154,18 +159,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the lines that go taken out of their texts; all rows and columns stay, and ``n_lines_dropped`` is added."""
-    gone = dropped_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    keyed = docs.withColumn("__doc", F.col(id_col).cast("long"))
-    joined = keyed.join(gone.withColumnRenamed("doc_id", "__doc"), "__doc", "left")
+    gone = dropped_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    # the row travels as one column, so that its own columns may have any name
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     kept = F.transform(
-        F.array(F.split(text_col, "\n")),
+        F.array(F.split(F.col("row")[text_col], "\n")),
         lambda all_lines: F.array_join(
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__gone")), lambda i: F.element_at(all_lines, i + 1)), "\n"
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone")), lambda i: F.element_at(all_lines, i + 1)), "\n"
         ),
     )[0]
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    others = [F.col(c) for c in docs.columns if c != text_col]
-    return joined.select(*others, text.alias(text_col), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_lines_dropped"))
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(kept)
+    own = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
+    return keyed.join(gone, "doc_id", "left").select(*own, F.coalesce(F.size("gone"), F.lit(0)).alias("n_lines_dropped"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
