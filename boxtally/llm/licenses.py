@@ -1,25 +1,30 @@
 """Licence notices in documents, by native expressions.
 
-A paragraph is a line of a text. The words and word pairs of a paragraph with a cue word are looked up in the weights
-of a multinomial logistic regression over licence families and an unknown class; probabilities are calibrated with a
-temperature fitted on training rows that were held out. A predicted family is confirmed when the paragraph shares
-enough word pairs with one of the family's templates, in proportion to the shorter of the two.
+Candidates are the lines of a text and its paragraphs of several lines, which blank lines separate. The words and
+word pairs of a candidate are looked up in the weights of a multinomial logistic regression over licence families
+and an unknown class; probabilities are calibrated with a temperature fitted on training rows that were held out.
+Hyphens and dots separate words, so that GPL-2.0-only has the words of GPL 2.0. A predicted family is confirmed when
+the candidate shares enough word pairs with one of the family's templates, in proportion to the shorter of the two.
 
-A paragraph without a cue word has no features and is unknown by definition, so texts without any cue are passed
-over before they are split. Equal paragraphs are judged once and joined back to their places.
+A candidate is passed over only if it is unknown for certain: the n-grams outside ``decisive`` together cannot lift
+any family to the unknown class, so a text without a decisive n-gram names no family. Equal candidates are judged
+once and joined back to their places.
 
 The classifier is trained on the driver from the templates below, shortened and embedded in other words, against at
 most ``MAX_OTHERS`` paragraphs of the corpus that share no word triple with a template. The weights are a table of a
 few thousand rows whatever the corpus, and are broadcast.
 
-Defined results: null, empty and blank texts have no paragraphs. Repeated rows and ids give rows each. A row is
-returned for each paragraph with a cue word; ``family`` is ``unknown`` where no family reaches ``LEAST``. Of equal
+Defined results: null, empty and blank texts have no candidates. Repeated rows and ids give rows each. A row is
+returned for each line that names a family, and for each line with a cue word, whose ``family`` is ``unknown`` where
+no family reaches ``LEAST``. A paragraph of several lines has a row, numbered by its first line and with its line
+breaks, when it names a family that none of its lines names, or confirms one that none of them confirms. Of equal
 probabilities the family first by name wins. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,7 +40,7 @@ LEAST = 0.5
 CONFIRM = 0.6
 #: Paragraphs of the corpus that stand for other text in training, at most.
 MAX_OTHERS = 2000
-#: Words one of which every licence notice holds.
+#: Words with which a line has a row even if it names no family.
 CUES = (
     "license licence licensed licenced licensing licenses licences sublicense copyright copyrighted copyleft apache gnu gpl gplv2 gplv3 lgpl agpl mozilla mpl "
     "cc0 cc-by cc-by-sa cc-by-nc by-sa by-nc by-nd by-nc-sa by-nc-nd unlicense spdx-license-identifier redistribution redistributions warranty warranties "
@@ -49,6 +54,7 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "This project is released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Available under Apache-2.0.",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -56,6 +62,8 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction, including the rights to use, copy, modify, merge, publish, distribute, sublicense, and sell copies.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        "MIT-licensed code.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -64,6 +72,8 @@ TEMPLATES = {
         "Distributed under the terms of the GPL version 2 license.",
         "Released under the GNU GPL v3 license.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Available under GPL-2.0-only.",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -76,6 +86,7 @@ TEMPLATES = {
         "You should have received a copy of the GNU Affero General Public License along with this program.",
         "Released under the AGPL license.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "Available under AGPL-3.0-only.",
     ],
     "BSD": [
         "Licensed under the BSD 3-Clause License.",
@@ -84,11 +95,13 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Available under BSD-3-Clause.",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, Version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Available under MPL-2.0.",
     ],
     "ISC": [
         "Released under the ISC License.",
@@ -114,6 +127,7 @@ TEMPLATES = {
         "Dedicated to the public domain under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0.",
         "This is free and unencumbered software dedicated to the public domain under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
     ],
 }
 #: Sentences with cue words that name no family.
@@ -125,18 +139,16 @@ OTHERS = [
     "You may need a license for this area.", "The terms of the license were not disclosed.", "A copy of the licence is kept at the office.",
     "Released under license from the owner.", "This product is sold under a commercial license.", "Licensed to the company under contract.",
 ]
-_TOKEN = r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*"
+_TOKEN = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: str) -> list[str]:
     """The words of a paragraph, as ``_words`` finds them."""
-    return re.findall(r"[^\W_]+(?:[.'-][^\W_]+)*", text.lower())
+    return re.findall(r"[^\W_]+", text.lower())
 
 
 def ngrams(words: Sequence[str]) -> list[str]:
-    """Distinct words and word pairs of a paragraph with a cue word; none of others."""
-    if not set(words) & set(CUES):
-        return []
+    """Distinct words and word pairs of a paragraph."""
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
 
 
@@ -144,13 +156,24 @@ def _words(paragraph: Column) -> Column:
     return F.regexp_extract_all(F.lower(paragraph), F.lit(_TOKEN), F.lit(0))
 
 
-def _cue_array() -> Column:
-    return F.array(*[F.lit(c) for c in CUES])
+def _any_of(phrases: Sequence[str]) -> str:
+    """A pattern for lower-case text that holds one of the phrases as whole words; a tree of letters, so that a place costs few steps."""
+    tree: dict = {}
+    for phrase in phrases:
+        at = tree
+        for letter in [*" ".join(tokens(phrase)), ""]:
+            at = at.setdefault(letter, {})
+
+    def pattern(node: dict) -> str:
+        ways = [r"(?![\p{L}\p{N}])" if not c else (r"[^\p{L}\p{N}]+" if c == " " else re.escape(c)) + pattern(below) for c, below in sorted(node.items())]
+        return "" if not node else ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return r"(?<![\p{L}\p{N}])" + pattern(tree)
 
 
 def _pairs(words: Column) -> Column:
     """Word pairs in order; none for fewer than two words."""
-    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
 @dataclass
@@ -230,12 +253,42 @@ def fit(others: Sequence[str], penalty: float = 0.02, steps: int = 400) -> Model
     return Model(families, grams, w, b, float(temperature))
 
 
-def cue_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph_no, paragraph) of the paragraphs that hold a cue word."""
-    any_cue = "(?i)" + "|".join(sorted({c if len(c) < 5 else c[:5] for c in CUES}))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(any_cue))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph")).filter(F.col("paragraph").rlike(any_cue))
-    return lines.filter(F.arrays_overlap(_words(F.col("paragraph")), _cue_array()))
+def decisive(model: Model, others: Sequence[str] = ()) -> list[str]:
+    """N-grams one of which every paragraph that names a family holds.
+
+    A family needs as much as the unknown class, so its n-grams have to make up for the difference of the
+    intercepts. Those left out are chosen so that all of them together, each counted once, fall short of that for every
+    family; the most frequent ones in ``others`` come first, because they are in most texts.
+    """
+    margin = np.maximum(model.weights[:, :-1] - model.weights[:, -1:], 0)
+    gap = model.intercept[-1] - model.intercept[:-1] - 1e-6
+    often = Counter(g for o in others for g in ngrams(tokens(o)))
+    left, out = np.zeros(len(gap)), set()
+    for i in sorted(range(len(model.grams)), key=lambda i: (-often[model.grams[i]], margin[i].max(), model.grams[i])):
+        if (left + margin[i] < gap).all():
+            left += margin[i]
+            out.add(model.grams[i])
+    kept = [g for g in model.grams if g not in out]
+    words = {g for g in kept if " " not in g}
+    return [g for g in kept if g in words or not words & set(g.split())]
+
+
+def candidates(docs: DataFrame, grams: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, paragraph_no, paragraph) of the lines and of the paragraphs of several lines that hold a cue word or one of ``grams``."""
+    wanted = _any_of([*CUES, *grams])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.lower("text").rlike(wanted))
+    rows = rows.select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = F.transform("lines", lambda line, i: F.struct(i.alias("no"), line.alias("paragraph")))
+    # the first line of a paragraph carries its number through the split at blank lines
+    blank = lambda line: ~line.rlike(r"\S")
+    opens = lambda i: (i == 0) | blank(F.get(F.col("lines"), i - 1))
+    marked = F.transform("lines", lambda line, i: F.when(blank(line), "").when(opens(i), F.concat(i.cast("string"), F.lit("\0"), line)).otherwise(line))
+    blocks = F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda b: F.btrim(b, F.lit("\n")))
+    several = F.transform(F.filter(blocks, lambda b: F.contains(b, F.lit("\n"))), lambda b: F.struct(
+        F.substring_index(b, "\0", 1).cast("int").alias("no"), F.substr(b, F.instr(b, "\0") + 1).alias("paragraph")
+    ))
+    each = rows.select("doc_id", F.explode(F.concat(lines, several)).alias("c")).select("doc_id", F.col("c.no").alias("paragraph_no"), "c.paragraph")
+    return each.filter(F.lower("paragraph").rlike(wanted))
 
 
 def other_paragraphs(docs: DataFrame, text_col: str = "text", most: int = MAX_OTHERS) -> list[str]:
@@ -254,10 +307,12 @@ def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
     spark = paragraphs.sparkSession
     names = [f"s{i}" for i in range(len(model.families))]
     weights = spark.createDataFrame([(g, *map(float, row)) for g, row in zip(model.grams, model.weights)], "gram string, " + ", ".join(f"{n} double" for n in names))
-    words = paragraphs.select("paragraph", _words(F.col("paragraph")).alias("words"))
-    grams = F.array_distinct(F.concat("words", F.transform(_pairs(F.col("words")), lambda p: F.concat_ws(" ", p["a"], p["b"]))))
-    found = words.select("paragraph", F.explode_outer(grams).alias("gram")).join(F.broadcast(weights), "gram", "left")
-    summed = found.groupBy("paragraph").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
+    # n-grams travel with a digest: a paragraph may be a whole document
+    keyed = paragraphs.select("paragraph", F.md5("paragraph").alias("digest"))
+    words = keyed.select("digest", _words(F.col("paragraph")).alias("words"))
+    grams = F.array_distinct(F.concat("words", _pairs(F.col("words"))))
+    found = words.select("digest", F.explode(grams).alias("gram")).join(F.broadcast(weights), "gram")
+    summed = keyed.join(found.groupBy("digest").agg(*[F.sum(n).alias(n) for n in names]), "digest", "left").na.fill(0.0, names)
     z = F.array(*[((F.col(n) + F.lit(float(b))) / F.lit(model.temperature)) for n, b in zip(names, model.intercept)])
     scored = summed.select("paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
@@ -266,7 +321,9 @@ def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
     named = named.select("paragraph", "probability", F.when(F.col("probability") >= LEAST, F.col("best")).otherwise(UNKNOWN).alias("family"))
     notices = [(f, n) for f, own in TEMPLATES.items() for n in own]
     templates = spark.createDataFrame(notices, "family string, notice string").select("family", F.array_distinct(_pairs(_words(F.col("notice")))).alias("wanted"))
-    pairs = named.join(F.broadcast(templates), "family", "left").withColumn("own", F.array_distinct(_pairs(_words(F.col("paragraph")))))
+    # pairs as text, which Spark compares by hash: a paragraph may be a whole document
+    own = F.when(F.col("family") != UNKNOWN, F.array_distinct(_pairs(_words(F.col("paragraph")))))
+    pairs = named.withColumn("own", own).join(F.broadcast(templates), "family", "left")
     shared = F.size(F.array_intersect("own", "wanted")) / F.greatest(F.least(F.size("own"), F.size("wanted")), F.lit(1))
     return pairs.groupBy("paragraph", "family", "probability").agg(F.max(F.when(F.col("wanted").isNotNull(), shared)).alias("s")).select(
         "paragraph", "family", F.round("probability", 6).alias("probability"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("similarity"),
@@ -275,8 +332,17 @@ def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph_no, paragraph, family, probability, similarity, confirmed) of all paragraphs with a cue word."""
-    model = fit(other_paragraphs(docs, text_col))
-    found = cut_lineage(cue_paragraphs(docs, id_col, text_col))
+    """(doc_id, paragraph_no, paragraph, family, probability, similarity, confirmed) of all notices and of the lines with a cue word."""
+    others = other_paragraphs(docs, text_col)
+    model = fit(others)
+    found = cut_lineage(candidates(docs, decisive(model, others), id_col, text_col))
     judged = cut_lineage(classify(found.select("paragraph").distinct(), model))
-    return found.join(judged, "paragraph").select("doc_id", "paragraph_no", "paragraph", "family", "probability", "similarity", "confirmed")
+    several = F.contains("paragraph", F.lit("\n"))
+    named = judged.filter(F.col("family") != UNKNOWN)
+    whole = named.filter(several)
+    # a paragraph that says no more than one of its lines
+    own = whole.select("family", "confirmed", F.col("paragraph").alias("whole"), F.explode(F.array_distinct(F.split("paragraph", "\n"))).alias("paragraph"))
+    lines = named.filter(~several).select("paragraph", "family", F.col("confirmed").alias("by_line"))
+    said = own.join(lines, ["paragraph", "family"]).filter("by_line or not confirmed").select(F.col("whole").alias("paragraph")).distinct()
+    rows = judged.filter(~several & ((F.col("family") != UNKNOWN) | F.lower("paragraph").rlike(_any_of(CUES)))).unionByName(whole.join(said, "paragraph", "left_anti"))
+    return found.join(cut_lineage(rows), "paragraph").select("doc_id", "paragraph_no", "paragraph", "family", "probability", "similarity", "confirmed")

@@ -395,6 +395,39 @@ def test_license_classifier_equals_its_numpy_form(spark):
     assert right >= 0.95 * len(got)
 
 
+def test_license_scan_of_identifiers_and_wrapped_notices(spark):
+    rng = random.Random(21)
+    lines = {
+        "Available under Apache-2.0": "Apache", "GPL-2.0-only": "GPL", "BSD-3-Clause": "BSD", "MIT-licensed code": "MIT", "CC BY 4.0": "CC-BY",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+        "This is free and unencumbered software released into the public domain.": "CC0",
+    }
+    # a notice cut into lines that name nothing, behind blank lines
+    wrapped = "Use of this\nsource code is\ngoverned by a\nBSD-style\nlicense that can\nbe found in the\nLICENSE file."
+    bodies = [f"{sentence(rng, 9)}\n{n}\n\n{sentence(rng, 9)}" for n in lines]
+    bodies.append(f"\n{sentence(rng, 9)}\n{sentence(rng, 9)}\n \t\n\n{wrapped}\n\n{sentence(rng, 5)}\n")
+    bodies += [sentence(rng, 40) for _ in range(50)]
+    docs = spark.createDataFrame([(i, b, None, None) for i, b in enumerate(bodies)], DOCS)
+    got = {(r.doc_id, r.paragraph_no, r.paragraph): r for r in licenses.scan(docs).collect()}
+    for i, (n, family) in enumerate(lines.items()):
+        assert got[i, 1, n].family == family
+    assert got[len(lines), 5, wrapped].family == "BSD" and got[len(lines), 5, wrapped].confirmed
+
+
+def test_licenses_without_decisive_ngrams_are_unknown():
+    rng = random.Random(22)
+    model = licenses.fit([sentence(rng, 12) for _ in range(60)])
+    kept = set(licenses.decisive(model))
+    assert kept < set(model.grams)
+    weak = [g for g in model.grams if g not in kept and " " not in g]
+    for n in (1, 3, len(weak)):
+        for _ in range(200):
+            words = rng.sample(weak, n)
+            if not kept & set(licenses.ngrams(words)):
+                p = model.probabilities(" ".join(words))
+                assert model.families[p.argmax()] == "unknown" or p.max() < licenses.LEAST
+
+
 # quality
 
 def test_quality_posteriors_follow_the_formula(spark):
