@@ -12,7 +12,8 @@ Documents are read once per block of items, without a shuffle; a block's signatu
 and are broadcast. Only the texts of candidates travel.
 
 Defined results: null or empty documents and items match nothing; texts of one to four words have one
-shingle of all their words. Repeated rows and ids give a result row each. Empty tables give no rows.
+shingle of all their words. With ``within`` an item of one to four words is also found as a run of its words
+anywhere in a document; without, only in a document of just those words. Repeated rows and ids give a result row each. Empty tables give no rows.
 Extra columns are ignored. Ties cannot occur.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtally.llm.text import by_text, chunks, shingles
+from boxtally.llm.text import by_text, chunks, runs_of, spelt_words, words
 
 WORDS = 5
 LEAST = 0.8
@@ -60,10 +61,12 @@ class Block:
     needed: np.ndarray
     least_size: np.ndarray
     ids: list
+    short: list
 
 
-def _block(rows: list, k: int, least: float) -> Block:
-    value, offsets = shingles([r["text"] for r in rows], WORDS)
+def _block(rows: list, k: int, least: float, within: bool = False) -> Block:
+    own, places = words([r["text"] for r in rows])
+    value, offsets = runs_of(own, places, WORDS)
     owner, h, _ = by_text(value, offsets)
     size = np.bincount(owner, minlength=len(rows))
     rank = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
@@ -74,19 +77,23 @@ def _block(rows: list, k: int, least: float) -> Block:
     return Block(
         hashes, np.append(first, signed.sum()), owner[signed][order], np.array([by_size.get(int(n), 1) for n in size]),
         np.ceil(least * size - 1e-9), [r["item_id"] for r in rows],
+        [int(n) for n in np.unique(np.diff(places)) if within and 0 < n < WORDS],
     )
 
 
 def _candidates(block: Block, texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(text number, item number) of the pairs that share enough of the item's signature."""
-    value, offsets = shingles(texts, WORDS)
-    if not len(value) or not len(block.hashes):
+    own, places = words(texts)
+    if not len(own) or not len(block.hashes):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.searchsorted(block.hashes, value)
-    at[at == len(block.hashes)] = 0
-    hit = np.flatnonzero(block.hashes[at] == value)
-    pair = np.unique(np.stack([np.searchsorted(offsets, hit, side="right") - 1, at[hit]]), axis=1)
-    text, place = pair
+    pairs = []
+    for size in [*block.short, WORDS]:
+        value, offsets = runs_of(own, places, size)
+        at = np.searchsorted(block.hashes, value)
+        at[at == len(block.hashes)] = 0
+        hit = np.flatnonzero(block.hashes[at] == value)
+        pairs.append(np.unique(np.stack([np.searchsorted(offsets, hit, side="right") - 1, at[hit]]), axis=1))
+    text, place = np.unique(np.concatenate(pairs, axis=1), axis=1) if len(pairs) > 1 else pairs[0]
     many = block.first[place + 1] - block.first[place]
     text = np.repeat(text, many)
     item = block.item[np.repeat(block.first[place + 1] - np.cumsum(many), many) + np.arange(many.sum())]
@@ -96,19 +103,19 @@ def _candidates(block: Block, texts: list) -> tuple[np.ndarray, np.ndarray]:
     return text[good], item[good]
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, k: int = SIGNATURE) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, k: int = SIGNATURE, within: bool = False) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment), a row per document and item it contains."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).filter("text is not null")
     kinds = [own.schema["doc_id"].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()]
     id_type = "long" if kinds[1] == "bigint" else kinds[1]
-    total = bench.agg(F.sum(F.least(F.size(F.split("text", " ")), F.lit(k)))).first()[0] or 0
+    total = bench.agg(F.sum(F.least(F.char_length("text"), F.lit(k)))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_HASHES))
     candidates = None
     for b in range(blocks):
         part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(_block(part.collect(), k, least))
+        shared = spark.sparkContext.broadcast(_block(part.collect(), k, least, within))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -131,7 +138,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             rows = []
             for doc, item in zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist()):
                 wanted = word_shingles(item)
-                rows.append((len(wanted), len(wanted & word_shingles(doc))))
+                size = max(map(len, wanted), default=WORDS) if within else WORDS
+                rows.append((len(wanted), len(wanted & word_shingles(doc, size))))
             n, shared = (pa.array(x, pa.int64()) for x in zip(*rows)) if rows else (pa.array([], pa.int64()),) * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), n, shared], ["doc_id", "item_id", "n_item", "n_shared"])
 
@@ -142,16 +150,14 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return checked.filter(share >= least).select("*", F.round(share, 6).alias("containment"))
 
 
-def word_shingles(text: str | None, size: int = WORDS) -> set[tuple[bytes, ...]]:
+def word_shingles(text: str | None, size: int = WORDS) -> set[tuple[str, ...]]:
     """Distinct runs of words of a text, as they are spelt."""
-    import re
+    own = spelt_words(text)
+    if 0 < len(own) < size:
+        return {tuple(own)}
+    return set(zip(*(own[k:] for k in range(size)))) if own else set()
 
-    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode("utf-8", "replace"))
-    if 0 < len(words) < size:
-        return {tuple(words)}
-    return set(zip(*(words[k:] for k in range(size)))) if words else set()
 
-
-def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def remove_contaminated(docs: DataFrame, items: DataFrame, within: bool = False) -> DataFrame:
     """The documents that hold no item, with all their columns. Documents without an id stay."""
-    return docs.join(find_items(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(find_items(docs, items, within=within).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

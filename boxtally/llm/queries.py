@@ -83,7 +83,7 @@ SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS contain
 FROM j JOIN n USING (item_id) WHERE n_shared / n_item >= 0.8
 """)
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), within=True)
 
 
 @_query("op4_line_dedup", r"""

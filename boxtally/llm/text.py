@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 
@@ -23,8 +25,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+#: Scripts without spaces, whose letters are words of their own (Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Bopomofo, Han, Yi, Tangut).
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007),
+    (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9D), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+_APART, _SPACED, _ALONE, _MARK = range(4)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -54,20 +61,61 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tu
         yield start, len(texts)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point is to a word: apart from it, part of it, a word alone, or a mark on what stands before."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    for c in [*range(0x40000), *range(0xE0000, 0xE0200)]:  # the planes between are unassigned or private
+        kind = unicodedata.category(chr(c))[0]
+        kinds[c] = _MARK if kind == "M" else _SPACED if kind in "LN" else _APART
+    for low, high in UNSPACED:
+        part = kinds[low : high + 1]
+        letter = np.array([unicodedata.category(chr(c)) in ("Lo", "Lm", "Nl") for c in range(low, high + 1)])
+        part[letter] = _ALONE
+    return kinds
+
+
+@cache
+def _values() -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, 0x110001, dtype=np.uint64) * _BASE)
+
+
+def _spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-case code points, which end with a line break, begin and end."""
+    kind = _kinds()[data]
+    if not len(kind) or kind.max() <= _SPACED:
+        edge = np.flatnonzero(np.diff(kind.astype(np.int8), prepend=np.int8(0)))
+        return edge[0::2], edge[1::2]
+    base = kind[np.maximum.accumulate(np.where(kind == _MARK, 0, np.arange(len(kind))))]
+    base[base == _MARK] = _APART  # marks on nothing, at the very beginning
+    before = np.concatenate([np.zeros(1, dtype=base.dtype), base[:-1]])
+    begins = (kind == _ALONE) | ((kind == _SPACED) & (before != _SPACED))
+    return np.flatnonzero(begins), np.flatnonzero((before != _APART) & ((base == _APART) | begins))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+
+
+def spelt_words(text: str | None) -> list[str]:
+    """The words of one text as they are spelt, in lower case."""
+    low = (text or "").lower() + "\n"
+    return [low[a:b] for a, b in zip(*(x.tolist() for x in _spans(_code_points(low))))]
+
+
 def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the offsets of each text's words.
 
-    A word is a run of ASCII letters and digits and of bytes above 127 in the lower-cased text; null
-    counts as empty.
+    A word is a run of letters, marks and digits in the lower-cased text, by Unicode class; a letter of a script
+    without spaces is a word of its own, with the marks behind it. Null counts as empty.
     """
-    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    inside = _WORD_BYTE[data]
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
-    start, end = edge[0::2], edge[1::2]
+    raw = [(t or "").lower() for t in texts]
+    data = _code_points("\n".join(raw) + "\n")
+    start, end = _spans(data)
     with np.errstate(over="ignore"):
         prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * powers(_BASE, len(data)), out=prefix[1:])
+        np.cumsum(_values()[data] * powers(_BASE, len(data)), out=prefix[1:])
         value = (prefix[end] - prefix[start]) * powers(_BASE_INVERSE, len(data))[start]
         value = mix(value + (end - start).astype(np.uint64))
     bound = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, dtype=np.int64)
@@ -81,10 +129,14 @@ def shingles(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np
 
     A text of fewer words but at least one has a single run of all its words.
     """
-    value, offsets = words(texts)
+    return runs_of(*words(texts), size)
+
+
+def runs_of(value: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of texts whose ``words`` are at hand."""
     count = np.diff(offsets)
     runs = np.where(count >= size, count - size + 1, np.minimum(count, 1))
-    out = np.zeros(len(texts) + 1, dtype=np.int64)
+    out = np.zeros(len(offsets), dtype=np.int64)
     np.cumsum(runs, out=out[1:])
     first = np.repeat(offsets[:-1] - out[:-1], runs) + np.arange(out[-1])
     width = np.repeat(np.minimum(count, size), runs)

@@ -49,6 +49,16 @@ def test_shingles_match_words():
     assert len(set(again[:7].tolist())) == 7
 
 
+def test_words_end_by_unicode_class():
+    texts = ["a\u00a0b\u2014c \u201cd\u201d\u3000e f\u2026g", "cafe\u0301 \u0939\u093f\u0928\u094d\u0926\u0940", "\u7b2c12\u7ae0abc\u6211\u3002", "\u0e17\u0e35\u0e48\u0e19\u0e35\u0e48", "\u2764\ufe0f x"]
+    want = [["a", "b", "c", "d", "e", "f", "g"], texts[1].split(), ["\u7b2c", "12", "\u7ae0", "abc", "\u6211"], ["\u0e17\u0e35\u0e48", "\u0e19\u0e35\u0e48"], ["x"]]
+    assert [text.spelt_words(t) for t in texts] == want
+    value, offsets = text.words(texts)
+    assert np.diff(offsets).tolist() == [len(w) for w in want]
+    alone, _ = text.words([w for own in want for w in own])
+    assert alone.tolist() == value.tolist()
+
+
 # WARC
 
 def test_warc_round_trip_and_files(spark):
@@ -273,6 +283,30 @@ def test_decontaminate_odd_rows(spark, odd):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_items(odd, bench).collect()) == [(4, 2), (7, 1)]
 
 
+def test_decontaminate_short_items_and_unspaced_scripts(spark):
+    rng = random.Random(31)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    quoted = sentence(rng, 20)
+    items = [(1, "zulu yard"), (2, han[100:140]), (3, quoted), (4, "solo"), (5, han[10:13])]
+    docs = [
+        (1, f"{sentence(rng, 300)} Zulu\u00a0yard, {sentence(rng, 9)}"), (2, han), (3, f"{sentence(rng, 50)} \u201c{quoted.replace(' ', chr(0xA0))}\u201d\u2014{sentence(rng, 9)}"),
+        (4, "zulu and yard solos"), (5, f"{sentence(rng, 3)} solo"), (6, "yard zulu"),
+    ]
+    df = spark.createDataFrame([(a, b, None, None) for a, b in docs], DOCS)
+    got = decontaminate.find_items(df, spark.createDataFrame(items, "item_id long, text string"), within=True).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (2, 5), (3, 3), (5, 4)]
+    assert all(r.containment == 1 for r in got)
+
+
+def test_near_dedup_of_an_unspaced_script(spark):
+    rng = random.Random(32)
+    lines = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)) for _ in range(20)]
+    changed = [x if k % 2 else x[:30] + "\u3042" + x[31:] for k, x in enumerate(lines)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(changed)), (3, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(900)))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame([(a, b, None, None) for a, b in rows], DOCS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 # languages
 
 def test_language_spans_and_held_out(spark):
