@@ -17,8 +17,9 @@ Within a block registers are compared first; a pair that agrees in fewer than ``
 those of all links, and what a block gives out is no more than it needs to connect them.
 
 Defined results: null and empty texts have no shingles and are copies of each other; a text of one to four
-words has one shingle of all its words. Repeated ids are one document. A row without an id is not compared:
-it is in no class. Empty tables give no rows. Extra columns are ignored.
+words has one shingle of all its words. Rows with equal ids and equal texts are one document; where ids may repeat
+with different texts the caller numbers the rows and passes the number, as the pipeline does. A row without an id is
+not compared: it is in no class. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -228,7 +229,7 @@ def _block_links(rows: list, least: float) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, class_id, class_size, is_copy, kept): a row per distinct id; a class is named by its smallest id, which is kept."""
+    """(doc_id, class_id, class_size, is_copy, kept): a row per distinct id and text; a class is named by its smallest id, which is kept."""
     drawn = cut_lineage(sketch(docs, id_col, text_col))
     # tables that hot keys meet are written first, so that both sides of those joins are plain exchanges AQE can split
     reps = cut_lineage(drawn.groupBy("words_key").agg(F.min("doc_id").alias("rep")))

@@ -12,6 +12,16 @@ from boxtally.session import cut_lineage
 LEAST_LANGUAGE = 0.2
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written once with a number ``__row`` each, in order of id (rows without one last) and of a digest of the text.
+
+    Decisions about rows go by this number: ids may repeat, with equal or with different texts, or be missing.
+    """
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.sha2("text", 256)]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(ranged.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter and those of no learned language go. Learns from all rows with one."""
     labelled = docs.withColumn("__label", language.predicted(docs, language.fit(docs)))
@@ -19,20 +29,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat an earlier line; ``n_chars`` follows the text."""
-    cleaned = line_dedup.clean(docs)
+    """All rows, without the lines that repeat an earlier line; ``n_chars`` follows the text."""
+    cleaned = line_dedup.clean(numbered(docs), "__row")
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest id; rows without an id stay."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates, the first in the order of ``numbered``."""
+    rows = numbered(docs)
+    gone = near_dedup.near_duplicates(rows, "__row").filter("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), within=True)
+    """Rows that hold no item of the benchmark."""
+    rows = numbered(docs)
+    found = decontaminate.find_items(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row", within=True)
+    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

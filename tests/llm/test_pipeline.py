@@ -49,3 +49,21 @@ def test_stages_one_by_one(spark):
 def test_run_over_the_smallest_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < out.count() <= 200 and out.filter("not exact").count() == 0
+
+
+def test_rows_with_equal_or_missing_ids_are_judged_apart(spark):
+    rng = random.Random(12)
+    first, other, third, item = sentence(rng, 60), sentence(rng, 60), sentence(rng, 60), sentence(rng, 30)
+    rows = [(1, first), (2, first), (2, other), (3, third), (3, third), (None, third), (None, other), (4, f"{sentence(rng, 60)} {item}"), (4, sentence(rng, 60)), (None, item)]
+    docs = spark.createDataFrame([(d, t, "en", "a") for d, t in rows], DOCS).selectExpr("*", "cast(length(text) as bigint) AS n_chars")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, first), (2, other), (3, third), *rows[7:]], key=str)
+    folder = fresh_path(spark)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_benchmarks(spark, docs, folder).collect()]
+    assert sorted(kept, key=str) == sorted([*rows[:7], rows[8]], key=str)
+    lines = [(1, "a line that comes twice"), (2, "a line that comes twice\nits own line"), (2, "another text\nwith its lines"), (None, "its own line"), (5, "x"), (5, "x")]
+    docs = spark.createDataFrame([(d, t, "en", "a") for d, t in lines], DOCS).selectExpr("*", "cast(length(text) as bigint) AS n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.distinct_lines(spark, docs, "").collect()]
+    want = [lines[0], (2, "its own line"), lines[2], (None, ""), (5, "x"), (5, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
