@@ -8,7 +8,7 @@ Keys are cut into ranges by value, so that a first turn that a third of all conv
 many tasks as its keys need. A task reads its range in blocks of bounded size and builds an adaptive radix tree of
 each (``radix_tree``). What lies between the first and the last key of a block is finished there; the nodes on these
 two paths may go on in the next block, so they leave as one row a path with what has been counted below them, and
-are joined in the next pass, where one block takes in many. Passes go on until one block holds all paths.
+are joined in the next pass, where a block takes in many neighbouring paths. Passes go on until one block holds all.
 
 Which turns a ``rebuilt`` conversation has: its own from turn ``h`` on, after the first ``h`` of another.
 
@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxtally.llm.ordering import numbered
 from boxtally.llm.radix_tree import RadixTree
 from boxtally.session import cut_lineage
 
 LENGTH_BYTES = 4
 #: Bytes of a turn's id: the length of the text and a digest of 16 bytes.
 WIDTH = LENGTH_BYTES + 16
-#: Bytes of keys in a block, and the least number of rows, so that every pass has fewer rows than the one before.
+#: Bytes in a block of keys or paths, and the least number of paths in one: more than the two that a block leaves, so that passes end.
 BLOCK_BYTES = 1 << 18
-BLOCK_ROWS = 16
+BLOCK_PATHS = 8
 #: Bytes that a task reads, in blocks, where the input needs more tasks than a shuffle has.
 TASK_BYTES = 256 << 20
 #: Bytes of a list of ids that travel as one row.
@@ -142,10 +143,36 @@ def as_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield path
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    held = list(as_paths(batches))
+    if held:
+        yield held
+
+
+def _key_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    held, size = [], 0
+    for p in as_paths(batches):
+        held.append(p)
+        size += len(p["key"]) + 100
+        if size > BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _path_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows that follow each other with one number of a block."""
+    held: list[dict] = []
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            p = batch.slice(i, 1).to_pylist()[0]
+            if held and held[0]["block"] != p["block"]:
+                yield held
+                held = []
+            held.append(p)
+    if held:
+        yield held
 
 
 class _Block:
@@ -242,24 +269,12 @@ _SCHEMA = pa.schema(_FIELDS)
 NODE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 
 
-def _blocks(paths: Iterator[dict]) -> Iterator[list[dict]]:
-    held, size = [], 0
-    for p in paths:
-        held.append(p)
-        size += len(p["key"]) + 48 * len(p["n"])
-        if size > BLOCK_BYTES and len(held) >= BLOCK_ROWS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _pass(paths: Iterator[dict], later: bool, top: bool) -> Iterator[pa.RecordBatch]:
+def _pass(blocks: Iterator[list[dict]], later: bool, top: bool) -> Iterator[pa.RecordBatch]:
     """Finished nodes and open paths of each block; in the top pass the only block leaves nothing open.
 
     A node whose parent is open says by ``up`` whose child it is; in later passes, whose nodes were open before, a node gives its ``own``.
     """
-    for held in _blocks(paths):
+    for held in blocks:
         block = _Block(held)
         digests = block.prefix_digests() if not top else {}
         if not top:
@@ -300,19 +315,26 @@ def _own_digests(block: _Block) -> list[bytes]:
 def trie(conversations: DataFrame) -> DataFrame:
     """One row a node of the trie of (conv_id, ids): see ``NODES``."""
     by_key = cut_lineage(keys(conversations))
-    size, rows = by_key.agg(F.coalesce(F.sum(F.length("key") + 28), F.lit(0)), F.count("*")).first()
-    left, order, read = cut_lineage(listed(by_key, size)), ["key", "first_id"], as_paths
-    parts = []
+    size = by_key.agg(F.coalesce(F.sum(F.length("key") + 28), F.lit(0))).first()[0]
+    lists = cut_lineage(listed(by_key, size))
+    top = size <= BLOCK_BYTES
+    order = ["key", "first_id"]
+    source = lists.coalesce(1).sortWithinPartitions(*order) if top else _sorted_ranges(lists, order, size, ["key"])
+    parts, read = [], _one_block if top else _key_blocks
     while True:
-        top = size <= BLOCK_BYTES or rows <= BLOCK_ROWS
-        # one block of bounded size needs one task; else every range goes on by itself
-        source = left.coalesce(1).sortWithinPartitions(*order) if top else _sorted_ranges(left, order, size, ["key"])
         out = cut_lineage(source.mapInArrow(lambda batches, read=read, later=bool(parts), top=top: _pass(read(batches), later, top), _STEP))
         parts.append(out.filter("kind = 'node'").select(*NODE_COLUMNS, "own", "up"))
         if top:
             break
-        left, order, read = out.filter("kind = 'path'").select(*[c.split()[0] for c in PATHS.split(", ")]), ["key"], _paths
-        size, rows = left.agg(F.coalesce(F.sum(F.length("key") + 48 * F.size("n")), F.lit(0)), F.count("*")).first()
+        paths, read = out.filter("kind = 'path'").select(*[c.split()[0] for c in PATHS.split(", ")]), _path_blocks
+        size, rows = paths.agg(F.coalesce(F.sum(F.length("key") + 48 * F.size("n")), F.lit(0)), F.count("*")).first()
+        top = size <= BLOCK_BYTES or rows <= BLOCK_PATHS
+        if top:
+            source = paths.withColumn("block", F.lit(0).cast("long")).coalesce(1)
+        else:
+            # neighbours in the order of the keys share a block, however the rows are dealt out
+            many = max(BLOCK_PATHS, BLOCK_BYTES * rows // size)
+            source = numbered(paths, [F.col("key")], "place").withColumn("block", F.floor(F.col("place") / many)).repartition("block").sortWithinPartitions("block", "place")
     nodes = parts[0]
     for p in parts[1:]:
         nodes = nodes.unionByName(p)
