@@ -134,8 +134,8 @@ def test_shards_of_a_group_larger_than_a_shard(spark):
 
 
 def test_shards_without_free_rows(spark):
-    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 5}") for i in range(800)]
-    homes = placed(spark, rows)
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 5}") for i in range(800)]  # rounds are limited to spare time
+    homes = placed(spark, rows, rounds=5)
     start = defaultdict(set)
     for k, (_, t) in enumerate(rows):
         start[t].add(k % 8)
