@@ -107,35 +107,6 @@ def nearest_k(
     return union_all(parts)
 
 
-def nearest_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, cell: float, coords: Sequence[str] = ("cx", "cy", "cz")) -> DataFrame:
-    """The nearest row of ``right`` for each row of ``left`` in its group: (keys, ids, dist).
-
-    Branch and bound on the boxes of occupied cells: a cell of ``left`` meets a cell of ``right`` only if
-    their boxes are no farther apart than the farthest that some box of the group can be. Points are then
-    compared within these pairs of cells, so far groups cost no more than near ones. Ties go to the lower
-    ``right_id``.
-    """
-    ks, cs = list(keys), list(coords)
-
-    def side(df: DataFrame, row_id: str, s: str) -> tuple[DataFrame, DataFrame]:
-        grid = F.xxhash64(*[F.floor(F.col(c) / cell) for c in cs]).alias(f"{s}cell")
-        points = df.select(*ks, row_id, *[F.col(c).alias(f"{s}{c}") for c in cs], grid)
-        ends = [f(f"{s}{c}").alias(f"{s}{n}{c}") for c in cs for n, f in (("min", F.min), ("max", F.max))]
-        return points, points.groupBy(*ks, f"{s}cell").agg(*ends)
-
-    a, a_boxes = side(left, left_id, "l")
-    b, b_boxes = side(right, right_id, "r")
-    gap = sum([F.pow(F.greatest(F.lit(0.0), F.col(f"rmin{c}") - F.col(f"lmax{c}"), F.col(f"lmin{c}") - F.col(f"rmax{c}")), 2.0) for c in cs], F.lit(0.0))
-    span = sum([F.pow(F.greatest(F.col(f"rmax{c}") - F.col(f"lmin{c}"), F.col(f"lmax{c}") - F.col(f"rmin{c}")), 2.0) for c in cs], F.lit(0.0))
-    pairs = cut_lineage(a_boxes.join(b_boxes, ks).select(*ks, "lcell", "rcell", gap.alias("gap"), span.alias("span")))
-    best = pairs.groupBy(*ks, "lcell").agg(F.min("span").alias("best"))
-    open_cells = pairs.join(best, [*ks, "lcell"]).filter(F.col("gap") <= F.col("best") * (1 + 1e-9)).select(*ks, "lcell", "rcell")
-    dist = F.sqrt(sum([F.pow(F.col(f"l{c}") - F.col(f"r{c}"), 2.0) for c in cs], F.lit(0.0)))
-    near = a.join(open_cells, [*ks, "lcell"]).join(b, [*ks, "rcell"]).select(*ks, left_id, right_id, dist.alias("dist"))
-    first = near.groupBy(*ks, left_id).agg(F.min(F.struct("dist", right_id)).alias("m"))
-    return first.select(*ks, left_id, f"m.{right_id}", "m.dist")
-
-
 def adaptive_assign(
     cands: DataFrame, gts: DataFrame, num_candidates: int, per_location: int = 1, level: str = "level",
     keys: Sequence[str] = ("case_id",), eps: float = 0.01, center_in_gt: bool = True, radius: float = 16.0,

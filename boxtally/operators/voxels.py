@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxtally.operators.assign import nearest_one
 from boxtally.operators.curves import number_rows, running_totals
+from boxtally.operators.distance import distance_to_mask
 from boxtally.operators.graph import connected_components
 from boxtally.session import cut_lineage
 
@@ -264,19 +264,10 @@ def erode(voxels: DataFrame, steps: int = 1) -> DataFrame:
     return out
 
 
-def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str], cell_mm: float = 8.0) -> DataFrame:
-    """Voxels outside the gland with the distance in mm to its nearest voxel.
-
-    The nearest gland voxel lies on its surface, so only surface voxels take part; cells of ``cell_mm``
-    bound which of them are compared.
-    """
-    sp = cases.select("case_id", *spacing)
-    mm = [(F.col(a) * F.col(s)).alias(f"c{a}") for a, s in zip("xyz", spacing)]
-    out = lesion.join(gland.select(*VOXEL).distinct(), list(VOXEL), "left_anti").withColumn("_id", _packed(F.col("z"), F.col("y"), F.col("x")))
-    left = out.select("case_id", "_id", *AXES).distinct().join(sp, "case_id").select("case_id", "_id", *mm)
-    rim = surface(gland).withColumn("_rid", _packed(F.col("z"), F.col("y"), F.col("x"))).join(sp, "case_id").select("case_id", "_rid", *mm)
-    near = nearest_one(cut_lineage(left), cut_lineage(rim), ["case_id"], "_id", "_rid", cell_mm)
-    return out.join(near.select("case_id", "_id", "dist"), ["case_id", "_id"], "left").drop("_id")
+def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str]) -> DataFrame:
+    """Voxels outside the gland with the distance in mm to its nearest voxel, null where a case has no gland."""
+    out = lesion.join(gland.select(*VOXEL).distinct(), list(VOXEL), "left_anti")
+    return out.join(distance_to_mask(out, gland, cases, spacing), list(VOXEL), "left")
 
 
 def distance_summary(distances: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -176,12 +176,18 @@ def test_excluded_cases_leave_every_fold(spark):
 
 
 def test_patient_leak(spark):
-    s = spark.createDataFrame([(0, "train", "10000_1000000", "10000"), (0, "val", "10000_1000001", "10000")], "fold long, role string, case_id string, patient_id string")
-    rules = {r["rule"] for r in Q.check_splits(s, s.select("case_id")).collect()}
-    assert "patient_in_both_roles" in rules and "case_in_both_roles" not in rules
+    """Fold 4 has one patient on both sides with different studies, fold 5 the same study twice, fold 6 nothing in common."""
+    rows = [(4, "train", "n3_left", "n3"), (4, "train", "n5", "n5"), (4, "val", "n3_right", "n3"), (5, "train", "n5", "n5"), (5, "val", "n5", "n5"), (6, "train", "n3_left", "n3"), (6, "val", "n5", "n5")]
+    s = spark.createDataFrame(rows, "fold long, role string, case_id string, patient_id string")
 
+    def broken(fold):
+        one = s.filter(f"fold = {fold}")
+        return {r["rule"] for r in Q.check_splits(one, one.select("case_id").distinct()).collect()} & {"patient_in_both_roles", "case_in_both_roles"}
 
-@pytest.mark.parametrize("voxels, status", [((30, 30, 0, 0), "excluded_no_retained_voxels"), ((20, 20, 20, 20), "fully_retained"), ((0, 0, 0, 0), "negative"), ((20, 20, 15, 15), "partially_clipped")])
+    assert [broken(f) for f in (4, 5, 6)] == [{"patient_in_both_roles"}, {"patient_in_both_roles", "case_in_both_roles"}, set()]
+
+
+@pytest.mark.parametrize("voxels, status", [((0, 0, 0, 0), "negative"), ((7, 7, 7, 7), "fully_retained"), ((112, 90, 41, 3), "partially_clipped"), ((5, 4, 1, 0), "excluded_no_retained_voxels")])
 def test_retention_status(spark, voxels, status):
     names = ", ".join(f"{s}_{m} int" for m in ("voxels", "components") for s in Q.STAGES)
     row = spark.createDataFrame([("a", *voxels, *(1 if v else 0 for v in voxels))], f"case_id string, {names}")
@@ -189,10 +195,13 @@ def test_retention_status(spark, voxels, status):
 
 
 def test_feature_readout(spark):
-    rows = [(0, "a", 8, 0.2, 2, [1.0, 0.0]), (1, "a", 8, 0.9, 2, [3.0, 0.0]), (2, "a", 9, 0.8, 3, [5.0, 2.0]), (3, "a", 9, 0.4, 3, [7.0, 2.0])]
+    """Three anchors of one instance, whose mean is (2, 0, 1), and an instance with a single poor one."""
+    rows = [
+        (31, "q", 70, 0.35, 4, [1.5, 1.0, 0.0]), (32, "q", 70, 0.55, 4, [0.5, -1.0, 2.0]), (33, "q", 70, 0.45, 4, [4.0, 0.0, 1.0]), (40, "r", 71, 0.05, 5, [9.0, 8.0, 7.0]),
+    ]
     f = spark.createDataFrame(rows, "row_id long, case_id string, instance_id long, anchor_iou double, grade long, f array<double>")
-    assert [r["f"] for r in ST.best_anchor_readout(f).orderBy("instance_id").collect()] == [[3.0, 0.0], [5.0, 2.0]]
-    assert [r["f"] for r in ST.pooled_readout(f).orderBy("instance_id").collect()] == [[2.0, 0.0], [6.0, 2.0]]
+    assert {r["instance_id"]: r["f"] for r in ST.best_anchor_readout(f).collect()} == {70: [0.5, -1.0, 2.0], 71: [9.0, 8.0, 7.0]}
+    assert {r["instance_id"]: r["f"] for r in ST.pooled_readout(f).collect()} == {70: [2.0, 0.0, 1.0], 71: [9.0, 8.0, 7.0]}
 
 
 def test_stratified_split_is_disjoint_and_complete(spark):
