@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxtally.operators.curves import number_rows, union_all
+from boxtally.operators.order_stats import column_quantiles, with_quantiles
 
 GRADES = (2, 3, 4, 5)
 STAGES = ("source", "resampled", "inplane", "final")
@@ -266,13 +267,10 @@ def repair_store(canonical: DataFrame, store: DataFrame, keys: Sequence[str], va
 
 def unit_class_audit(values: DataFrame, keys: Sequence[str], value: str, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Distribution per group and the one unit range its median falls in, else ``unrecognized``."""
-    q = F.percentile(value, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    agg = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    hits = F.filter(F.array(*[F.when(F.col("q")[1].between(lo, hi), F.lit(u)) for u, (lo, hi) in ranges.items()]), lambda v: v.isNotNull())
-    return agg.select(
-        *keys, "n", "min", F.col("q")[0].alias("p1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p99"), "max",
-        F.when(F.size(hits) == 1, hits[0]).otherwise("unrecognized").alias("unit"),
-    )
+    ends = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    agg = with_quantiles(ends, values, keys, value, {"p1": 0.01, "median": 0.5, "p99": 0.99})
+    hits = F.filter(F.array(*[F.when(F.col("median").between(lo, hi), F.lit(u)) for u, (lo, hi) in ranges.items()]), lambda v: v.isNotNull())
+    return agg.select(*keys, "n", "min", "p1", "median", "p99", "max", F.when(F.size(hits) == 1, hits[0]).otherwise("unrecognized").alias("unit"))
 
 
 def mixed_units(audit: DataFrame, expected: str) -> DataFrame:
@@ -280,10 +278,8 @@ def mixed_units(audit: DataFrame, expected: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.min(value).alias("min"), F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.05)).alias("p05"), F.max(value).alias("max"),
-    )
+    ends = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_quantiles(ends, df, keys, value, {"median": 0.5, "p05": 0.05}).select(*keys, "n", "min", "median", "p05", "max")
 
 
 def containment_gate(cases: DataFrame, min_each: float = 0.5, min_median: float = 0.9, max_distance: float = 2.0) -> DataFrame:
@@ -294,16 +290,16 @@ def containment_gate(cases: DataFrame, min_each: float = 0.5, min_median: float
     """
     out = (F.col("containment") < min_each) & F.coalesce(F.col("p95_mm") > max_distance, F.lit(False))
     kept = F.when(~out, F.col("containment"))
-    agg = cases.agg(
-        F.count(F.lit(1)).alias("cases"), F.count(F.when(out, 1)).alias("excluded"), F.count(kept).alias("gated"),
-        F.min(kept).alias("min"), F.percentile(kept, F.lit(0.5)).alias("median"), F.percentile(kept, F.lit(0.05)).alias("p05"), F.max(kept).alias("max"),
+    ends = cases.agg(
+        F.count(F.lit(1)).alias("cases"), F.count(F.when(out, 1)).alias("excluded"), F.count(kept).alias("gated"), F.min(kept).alias("min"), F.max(kept).alias("max")
     )
+    agg = with_quantiles(ends, cases, [], kept, {"median": 0.5, "p05": 0.05}).select("cases", "excluded", "gated", "min", "median", "p05", "max")
     return agg.withColumn("passed", (F.col("median") >= min_median) & (F.col("min") >= min_each))
 
 
 def containment_tail(cases: DataFrame, limit: float = 0.5) -> DataFrame:
     """Cases below the limit or at or below the 5th percentile."""
-    p = cases.agg(F.percentile("containment", F.lit(0.05)).alias("_p"))
+    p = column_quantiles(cases, {"_p": (F.col("containment"), 0.05)})
     return cases.join(F.broadcast(p)).filter((F.col("containment") < limit) | (F.col("containment") <= F.col("_p"))).drop("_p")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxtally.functions.geometry import box, box_size
+from boxtally.operators.order_stats import column_quantiles, with_quantiles
 
 GRADES = (2, 3, 4, 5)
 
@@ -76,11 +77,11 @@ def spacing_plan(cases: DataFrame, spacing: Sequence[str], size: Sequence[str],
     ``ratio`` stays below the smallest other size takes its 10th percentile, but not below the
     smallest other spacing.
     """
-    agg = cases.agg(
-        *[F.percentile(c, F.lit(percentile)).alias(f"s{i}") for i, c in enumerate(spacing)],
-        *[F.percentile(c, F.lit(percentile)).alias(f"n{i}") for i, c in enumerate(size)],
-        *[F.percentile(c, F.lit(0.1)).alias(f"low{i}") for i, c in enumerate(spacing)],
-    )
+    agg = column_quantiles(cases, {
+        **{f"s{i}": (F.col(c), percentile) for i, c in enumerate(spacing)},
+        **{f"n{i}": (F.col(c), percentile) for i, c in enumerate(size)},
+        **{f"low{i}": (F.col(c), 0.1) for i, c in enumerate(spacing)},
+    })
     dims = range(len(spacing))
     worst = F.greatest(*[F.col(f"s{i}") for i in dims])
     out, earlier = [], F.lit(False)
@@ -100,12 +101,14 @@ def shape_stats(cases: DataFrame, spacing: Sequence[str], size: Sequence[str], t
     """Median, minimum and maximum of the resampled size per axis."""
     shape = [F.col(n) * F.col(s) / F.lit(t) for n, s, t in zip(size, spacing, target)]
     rows = cases.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("axis"), v.alias("v")) for i, v in enumerate(shape)])).alias("e"))
-    return rows.groupBy("e.axis").agg(F.percentile("e.v", F.lit(0.5)).alias("median"), F.min("e.v").alias("min"), F.max("e.v").alias("max"))
+    rows = rows.select("e.*")
+    ends = rows.groupBy("axis").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    return with_quantiles(ends, rows, ["axis"], "v", {"median": 0.5}).select("axis", "median", "min", "max")
 
 
 def large_object_trigger(boxes: DataFrame, patch: Sequence[float], percentile: float = 0.995) -> DataFrame:
     """Size percentile per axis and whether any exceeds the patch."""
-    agg = boxes.agg(*[F.percentile(s, F.lit(percentile)).alias(f"size_{i}") for i, s in enumerate(box_size(box(dim=len(patch))))])
+    agg = column_quantiles(boxes, {f"size_{i}": (s, percentile) for i, s in enumerate(box_size(box(dim=len(patch))))})
     over = [F.col(f"size_{i}") > F.lit(float(p)) for i, p in enumerate(patch)]
     cond = over[0]
     for o in over[1:]:
@@ -116,16 +119,16 @@ def large_object_trigger(boxes: DataFrame, patch: Sequence[float], percentile: f
 def percentile_trim(boxes: DataFrame, low: float = 0.005, high: float = 0.995, dim: int = 3) -> DataFrame:
     """Boxes strictly inside both percentiles on every axis, thresholds taken from all boxes."""
     sizes = box_size(box(dim=dim))
-    limits = boxes.agg(*[F.percentile(s, F.array(F.lit(low), F.lit(high))).alias(f"_p{i}") for i, s in enumerate(sizes)])
+    limits = column_quantiles(boxes, {f"_{end}{i}": (s, p) for i, s in enumerate(sizes) for end, p in (("low", low), ("high", high))})
     out = boxes.join(F.broadcast(limits))  # one row
     for i, s in enumerate(sizes):
-        out = out.filter((s > F.col(f"_p{i}")[0]) & (s < F.col(f"_p{i}")[1]))
+        out = out.filter((s > F.col(f"_low{i}")) & (s < F.col(f"_high{i}")))
     return out.select(*boxes.columns)
 
 
 def normalisation_rule(cases: DataFrame, crop_volume: Column, volume: Column, modalities: Mapping[int, str], limit: float = 0.75) -> DataFrame:
     """Median share kept by cropping, and per modality whether statistics are masked to non-zero voxels."""
-    agg = cases.agg(F.percentile(crop_volume / volume, F.lit(0.5)).alias("median_reduction"))
+    agg = column_quantiles(cases, {"median_reduction": (crop_volume / volume, 0.5)})
     rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("modality"), F.lit(n).alias("kind")) for i, n in modalities.items()])).alias("m")
     small = F.col("median_reduction") < limit
     return agg.select("median_reduction", rows).select(

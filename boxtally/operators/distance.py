@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxtally.session import cut_lineage
+
 #: Columns of voxels (x by y) that are answered together.
 TILE_X, TILE_Y = 16, 64
 #: Rows that a task works on at a time.
@@ -136,10 +138,13 @@ def distance_to_mask(voxels: DataFrame, mask: DataFrame, cases: DataFrame, spaci
     asked = voxels.select("case_id", *whole).distinct().withColumn("tx", F.floor(F.col("x") / TILE_X)).withColumn("ty", F.floor(F.col("y") / TILE_Y))
     column = F.sort_array(F.collect_set(F.struct("x", "y"))).alias("columns")
     tiles = asked.groupBy(*tile).agg(column, F.collect_list(F.struct("x", "y", "z")).alias("voxels")).join(sp, "case_id")
+    tiles = cut_lineage(tiles)
     slices = mask.select("case_id", *whole).groupBy("case_id", "z").agg(F.collect_list(F.struct("y", "x")).alias("g"))
     met = tiles.select(*tile, "columns", "sx", "sy").join(slices, "case_id").select(
         *tile, "z", "sx", "sy", F.col("g.y").alias("gy"), F.col("g.x").alias("gx"), F.col("columns.x").alias("cx"), F.col("columns.y").alias("cy")
     )
-    inside = met.mapInArrow(_in_slices, f"case_id {kind}, tx bigint, ty bigint, z bigint, d array<double>")
-    gathered = inside.groupBy(*tile).agg(F.collect_list(F.struct("z", "d")).alias("slices")).join(tiles.select(*tile, "columns", "voxels", "sz"), tile)
+    # work per byte is high here, so partitions are set by number and not merged by size; tiles of a large case are dealt out
+    parts = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = met.repartition(parts, *tile, "z").mapInArrow(_in_slices, f"case_id {kind}, tx bigint, ty bigint, z bigint, d array<double>")
+    gathered = inside.repartition(parts, *tile).groupBy(*tile).agg(F.collect_list(F.struct("z", "d")).alias("slices")).join(tiles.select(*tile, "columns", "voxels", "sz"), tile)
     return gathered.select("case_id", "sz", "slices", "columns", "voxels").mapInArrow(_across_slices, f"case_id {kind}, z bigint, y bigint, x bigint, dist double")

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from boxtally.operators.curves import number_rows, running_totals
 from boxtally.operators.distance import distance_to_mask
 from boxtally.operators.graph import connected_components
+from boxtally.operators.order_stats import with_quantiles
 from boxtally.session import cut_lineage
 
 AXES = ("z", "y", "x")
 VOXEL = ("case_id", *AXES)
+#: The percentiles of intensity statistics.
+INTENSITY_LEVELS = {"median": 0.5, "p005": 0.005, "p995": 0.995}
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
 
@@ -62,11 +65,16 @@ def intensity_stats(
     The deviation is the population one. Percentiles are exact unless ``approximate``.
     """
     rows = every_nth(voxels, ["case_id", modality], step, large) if step > 1 else voxels
-    pct = (lambda p: f"percentile_approx({value}, {p}, 100000)") if approximate else (lambda p: f"percentile({value}, {p})")
-    return rows.sparkSession.sql(f"""
-        SELECT case_id, {modality}, count(*) AS n, {pct(0.5)} AS median, avg({value}) AS mean, stddev_pop({value}) AS std,
-               min({value}) AS min, max({value}) AS max, {pct(0.005)} AS p005, {pct(0.995)} AS p995
-        FROM {{rows}} GROUP BY GROUPING SETS ((case_id, {modality}), ({modality}))""", rows=rows)
+    sets = f"GROUPING SETS ((case_id, {modality}), ({modality}))"
+    known = f"count(*) AS n, avg({value}) AS mean, stddev_pop({value}) AS std, min({value}) AS min, max({value}) AS max"
+    if approximate:
+        near = ", ".join(f"percentile_approx({value}, {p}, 100000) AS {n}" for n, p in INTENSITY_LEVELS.items())
+        return rows.sparkSession.sql(f"SELECT case_id, {modality}, {known}, {near} FROM {{rows}} GROUP BY {sets}", rows=rows)
+    rows = cut_lineage(rows.select("case_id", modality, value))
+    stats = rows.sparkSession.sql(f"SELECT case_id, {modality}, {known} FROM {{rows}} GROUP BY {sets}", rows=rows)
+    pooled = rows.withColumn("case_id", F.lit(None).cast(dict(rows.dtypes)["case_id"]))
+    # a pooled value counts once for its case and once for all
+    return with_quantiles(stats, rows.unionByName(pooled), ["case_id", modality], value, INTENSITY_LEVELS)
 
 
 def _positive(std: Column, what: str) -> Column:
@@ -107,8 +115,9 @@ def normalise_gland_group(voxels: DataFrame, adc: Mapping[str, float], hbv: Mapp
     gt = F.when(F.col("gland") & F.col("fov_t2w"), F.col("t2w"))
     gh = F.when(F.col("gland") & F.col("fov_hbv"), F.col("hbv"))
     per = voxels.groupBy("case_id").agg(
-        F.avg(gt).alias("_m"), F.stddev_pop(gt).alias("_s"), F.percentile(gh, F.lit(0.5)).alias("_h")
+        F.avg(gt).alias("_m"), F.stddev_pop(gt).alias("_s")
     )
+    per = with_quantiles(per, voxels, ["case_id"], gh, {"_h": 0.5})
     clip = lambda v, c: F.greatest(F.lit(c["low"]), F.least(v, F.lit(c["high"])))
     lin = lambda v, c: (clip(v, c) - c["offset"]) / c["scale"]
     keep = lambda flag, v: F.when(F.col(flag), v).otherwise(F.lit(fill))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,60 @@ def test_matching_does_not_depend_on_layout(scene):
     d, g = scene
     one = rows(greedy_match(d.repartition(1), g.repartition(1), 0.1))
     assert one == rows(greedy_match(d.repartition(16), g.repartition(16, "gt_id"), 0.1))
+
+
+@pytest.mark.parametrize("far", [0, 5000])
+def test_distance_to_mask_is_exact(spark, monkeypatch, far):
+    """Against all pairs, with rows, slices and tiles of every size, negative coordinates and a case without a mask."""
+    from boxtally.operators import distance
+
+    monkeypatch.setattr(distance, "ROWS", 3)
+    rng = np.random.default_rng(far)
+    spacing = {"a": (0.5, 0.7, 3.0), "b": (1.0, 1.0, 1.0), "c": (2.0, 0.3, 0.9), "none": (1.0, 1.0, 1.0)}
+    ask, mask = [], []
+    for k, c in enumerate(("a", "b", "c")):
+        ask += [(c, *map(int, v)) for v in rng.integers(-40, 60, (80, 3))] * 2
+        mask += [(c, *map(int, v)) for v in rng.integers(-20, 30, (1 + 150 * k, 3)) + far]
+    ask.append(("none", 1, 2, 3))
+    ddl = "case_id string, z int, y int, x int"
+    cases = spark.createDataFrame([(c, *s) for c, s in spacing.items()], "case_id string, sx double, sy double, sz double")
+    got = distance.distance_to_mask(spark.createDataFrame(ask, ddl), spark.createDataFrame(mask + mask[:5], ddl), cases, ("sx", "sy", "sz"))
+    found = {(r.case_id, r.z, r.y, r.x): r.dist for r in got.collect()}
+    assert set(found) == {v for v in ask if v[0] != "none"}
+    for (c, z, y, x), d in found.items():
+        points = np.array([m[1:] for m in mask if m[0] == c])
+        steps = (points - (z, y, x)) * np.array(spacing[c][::-1])
+        assert d == pytest.approx(np.sqrt((steps**2).sum(axis=1)).min(), rel=1e-12, abs=1e-12)
+
+
+def test_lower_envelope_of_many_lanes():
+    from boxtally.operators.distance import envelope_min
+
+    rng = np.random.default_rng(1)
+    count = rng.integers(1, 30, 200)
+    position = np.sort(rng.choice(1000, (200, 30)), axis=1) + np.arange(30) / 64
+    value = rng.choice([0.0, 1.0, 50.0, 1e4, 1e6], (200, 30)) * rng.random((200, 30))
+    lane, query = rng.integers(0, 200, 5000), rng.uniform(-500, 1500, 5000)
+    every = np.where(np.arange(30) < count[lane][:, None], value[lane] + (query[:, None] - position[lane]) ** 2, np.inf)
+    assert np.allclose(envelope_min(position, value, count, lane, query), every.min(axis=1), rtol=1e-9)
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    """Groups of every size, null keys and values, NaN, equal values, and a group that spans all ranges."""
+    from boxtally.operators.order_stats import column_quantiles, exact_quantiles, with_quantiles
+
+    rng = random.Random(2)
+    data = [("hot", rng.random() * 100) for _ in range(3000)] + [("equal", 4.0)] * 500 + [(f"g{i % 40}", float(rng.randrange(9))) for i in range(400)]
+    data += [(None, float(i)) for i in range(7)] + [("one", -2.5), ("void", None), ("odd", float("nan")), ("odd", 1.0), ("odd", float("inf"))]
+    df = spark.createDataFrame(data, "k string, v double").repartition(7)
+    levels = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
+    want = df.filter("v is not null").groupBy("k").agg(F.percentile("v", F.array(*[F.lit(q) for q in levels])).alias("q"))
+    got = exact_quantiles(df, ["k"], "v", levels)
+    assert repr(rows(got)) == repr(rows(want))  # NaN equals itself in print only
+    numbers = df.filter("not isnan(v)")
+    assert exact_quantiles(numbers, [], "v", levels).first()["q"] == numbers.agg(F.percentile("v", F.array(*[F.lit(q) for q in levels]))).first()[0]
+    assert exact_quantiles(df.limit(0), [], "v", levels).count() == 0
+    each = with_quantiles(df.groupBy("k").agg(F.count("v").alias("n")), df, ["k"], "v", {"median": 0.5})
+    assert {r["k"]: r["median"] for r in each.collect()}["void"] is None and each.count() == want.count() + 1
+    both = column_quantiles(numbers, {"a": (F.col("v"), 0.5), "b": (F.col("v") * 2, 0.9)})
+    assert rows(both) == rows(numbers.agg(F.percentile("v", F.lit(0.5)), F.percentile(F.col("v") * 2, F.lit(0.9))))
