@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,40 +31,122 @@ def fold_lost(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return blockers.groupBy(*keys).agg(turns).select(*keys, F.explode(F.expr(fold)).alias("id"))
 
 
-def rounds_keep(items: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def rounds_keep(items: DataFrame, edges: DataFrame, keys: Sequence[str], max_group: int = MAX_GROUP_EDGES) -> DataFrame:
     """Greedy keep of unbounded groups: ``edges`` has (keys, u, v), ``u`` the better end.
 
-    Every round keeps all items without a live better neighbour and drops the neighbours of what
-    was kept, which is what the one-by-one order would do. Rounds are joins and aggregates keyed
-    by single items, so no group is ever held in one task. A round settles the best live item of
-    every component at least, so the rounds end.
+    Every round keeps all items without a live better neighbour and drops the neighbours of what was kept, which is
+    what the one-by-one order would do. What is still open then is made smaller without waiting for the order: groups
+    and, in larger groups, components of up to ``max_group`` edges are settled in one task each, and in components
+    beyond that chains of single blockers are followed by pointer jumping. So a long chain takes no round per link. A
+    round settles the best live item of every component at least, so the rounds end.
     """
     k = list(keys)
     live = cut_lineage(edges.select(*k, "u", "v"))
-    lost = None
+    lost: list[DataFrame] = []
     while not live.isEmpty():
         dominated = live.select(*k, F.col("v").alias("u")).distinct()
         kept = live.select(*k, "u").distinct().join(dominated, [*k, "u"], "left_anti")
-        dropped = cut_lineage(live.join(kept, [*k, "u"], "left_semi").select(*k, "v").distinct())
-        lost = dropped if lost is None else lost.unionByName(dropped)
-        live = cut_lineage(
-            live.join(dropped, [*k, "v"], "left_anti")
-            .join(dropped.withColumnRenamed("v", "u"), [*k, "u"], "left_anti")
-            .select(*k, "u", "v")
-        )
-    if lost is None:
-        return items
-    return items.join(lost.withColumnRenamed("v", "id"), [*k, "id"], "left_anti")
+        lost.append(cut_lineage(live.join(kept, [*k, "u"], "left_semi").select(*k, F.col("v").alias("id")).distinct()))
+        live = _without(live, lost[-1], k)
+        live = _settle_bounded(live, k, max_group, lost)
+        if live is None:
+            break
+        live = _settle_components(live, k, max_group, lost)
+        if live is None:
+            break
+        lost.append(_odd_chain_ends(live, k))
+        live = _without(live, lost[-1], k)
+    for gone in lost:
+        items = items.join(gone, [*k, "id"], "left_anti")
+    return items
 
 
-def _label_edges(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
-    """Smallest reachable id of every node for the edges (keys, u, v) of some whole groups."""
+def _without(live: DataFrame, gone: DataFrame, k: list[str]) -> DataFrame:
+    """The edges neither of whose ends is ``gone``."""
+    left = live.join(gone.withColumnRenamed("id", "v"), [*k, "v"], "left_anti").join(gone.withColumnRenamed("id", "u"), [*k, "u"], "left_anti")
+    return cut_lineage(left.select(*k, "u", "v"))
+
+
+def _settle_bounded(live: DataFrame, k: list[str], max_group: int, lost: list[DataFrame]) -> DataFrame | None:
+    """Settles the groups of bounded size; what is left, or None."""
+    if not k:
+        return live
+    hot = oversized_groups([live], k, max_group)
+    small, large = (live, None) if hot is None else split_by(live, hot, k)
+    lost.append(cut_lineage(_settled(small, k)))
+    return large
+
+
+def _settle_components(live: DataFrame, k: list[str], max_group: int, lost: list[DataFrame]) -> DataFrame | None:
+    """Settles the components of bounded size; the edges of larger ones, or None."""
+    ids = live.select(*k, F.col("u").alias("id")).distinct()
+    label = connected_components(ids, live, k, max_group).withColumnRenamed("id", "u")
+    tagged = cut_lineage(live.join(label, [*k, "u"]).select(*k, "component", "u", "v"))
+    left = _settle_bounded(tagged, [*k, "component"], max_group, found := [])
+    lost += [f.select(*k, "id") for f in found]
+    return None if left is None else cut_lineage(left.select(*k, "u", "v"))
+
+
+def _odd_chain_ends(live: DataFrame, k: list[str]) -> DataFrame:
+    """Items that go because they lie an odd number of single blockers behind an item that nothing blocks: (keys, id).
+
+    An item with one live blocker stays exactly if the blocker goes. So each points to its blocker, and pointers are
+    doubled until they end at an item with no blocker or with several; of the latter nothing is known yet.
+    """
+    blocked = cut_lineage(live.groupBy(*k, "v").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("a")))
+    way = cut_lineage(blocked.filter("n = 1").select(*k, "v", "a", F.lit(1).alias("odd")))
+    while True:
+        ahead = way.select(*k, F.col("v").alias("a"), F.col("a").alias("a2"), F.col("odd").alias("odd2"))
+        step = cut_lineage(way.join(ahead, [*k, "a"], "left").select(
+            *k, "v", F.coalesce("a2", "a").alias("a"), (F.col("odd") + F.coalesce("odd2", F.lit(0))).bitwiseAND(F.lit(1)).alias("odd"), F.col("a2").isNotNull().alias("moved")
+        ))
+        way = step.select(*k, "v", "a", "odd")
+        if step.filter("moved").isEmpty():
+            break
+    ends = way.join(blocked.select(*k, F.col("v").alias("a")), [*k, "a"], "left_anti")
+    return cut_lineage(ends.filter("odd = 1").select(*k, F.col("v").alias("id")))
+
+
+def _coded(pdf: pd.DataFrame, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends u, ends v, ids, codes) of the edges: nodes of different groups get codes of their own that sort by id inside a group."""
     n = len(pdf)
     group = pdf.groupby(list(keys), sort=False).ngroup().to_numpy()
     ids, at = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
-    # nodes of different groups are told apart by a joint code that sorts by id inside a group
     codes, node = np.unique(np.concatenate([group, group]) * len(ids) + at, return_inverse=True)
-    a, b = node[:n], node[n:]
+    return node[:n], node[n:], ids, codes
+
+
+def _lost_items(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    """Items that go, for the edges (keys, u, v) of some whole groups: each is decided once all its blockers are."""
+    a, b, ids, codes = _coded(pdf, keys)
+    order = np.argsort(a, kind="stable")
+    first = np.searchsorted(a[order], np.arange(len(codes) + 1)).tolist()
+    below, waiting = b[order].tolist(), np.bincount(b, minlength=len(codes)).tolist()
+    stays = [True] * len(codes)
+    ready = [x for x, n in enumerate(waiting) if not n]
+    while ready:
+        x = ready.pop()
+        for y in below[first[x] : first[x + 1]]:
+            stays[y] = stays[y] and not stays[x]
+            waiting[y] -= 1
+            if not waiting[y]:
+                ready.append(y)
+    gone = np.flatnonzero(~np.array(stays, dtype=bool))
+    row = np.empty(len(codes), dtype=np.int64)
+    row[b] = np.arange(len(b))
+    out = pdf[list(keys)].iloc[row[gone]].reset_index(drop=True)
+    out["id"] = ids[codes[gone] % len(ids)]
+    return out
+
+
+def _settled(edges: DataFrame, k: list[str]) -> DataFrame:
+    return _whole_groups(edges, k, _lost_items, "id bigint")
+
+
+def _label_edges(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    """Smallest reachable id of every node for the edges (keys, u, v) of some whole groups."""
+    n = len(pdf)
+    a, b, ids, codes = _coded(pdf, keys)
     label = np.arange(len(codes))
     while True:
         low = label.copy()
@@ -82,8 +164,15 @@ def _label_edges(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
     return out
 
 
-def _fold_components(edges: DataFrame, keys: Sequence[str], batch_rows: int = 200_000) -> DataFrame:
-    """Labels of bounded groups: one shuffle on the group, many whole groups labelled at a time."""
+def _fold_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Labels of bounded groups."""
+    return _whole_groups(edges, keys, _label_edges, "id bigint, component bigint")
+
+
+def _whole_groups(
+    edges: DataFrame, keys: Sequence[str], fold: Callable[[pd.DataFrame, Sequence[str]], pd.DataFrame], adds: str, batch_rows: int = 200_000
+) -> DataFrame:
+    """(keys, ``adds``) of bounded groups: one shuffle on the group, ``fold`` takes the edges of many whole groups at a time."""
     k = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
@@ -99,13 +188,13 @@ def _fold_components(edges: DataFrame, keys: Sequence[str], batch_rows: int = 20
             # rows come sorted by group; the last group may go on in the next batch
             last = (pool[k] == pool[k].iloc[-1]).all(axis=1).to_numpy()
             if not last.all():
-                yield _label_edges(pool[~last], k)
+                yield fold(pool[~last], k)
                 pool = pool[last]
             held, rows = [pool], len(pool)
         if rows:
-            yield _label_edges(pd.concat(held, ignore_index=True), k)
+            yield fold(pd.concat(held, ignore_index=True), k)
 
-    ddl = ", ".join([f"{c} {kinds[c]}" for c in k] + ["id bigint", "component bigint"])
+    ddl = ", ".join([*[f"{c} {kinds[c]}" for c in k], adds])
     # work per byte is high here, so the partitions are not merged by size
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = edges.select(*k, "u", "v").repartition(parts, *k).sortWithinPartitions(*k)

@@ -268,3 +268,51 @@ def test_exact_quantiles_equal_percentile(spark):
     assert {r["k"]: r["median"] for r in each.collect()}["void"] is None and each.count() == want.count() + 1
     both = column_quantiles(numbers, {"a": (F.col("v"), 0.5), "b": (F.col("v") * 2, 0.9)})
     assert rows(both) == rows(numbers.agg(F.percentile("v", F.lit(0.5)), F.percentile(F.col("v") * 2, F.lit(0.9))))
+
+
+def kept_in_order(n, edges):
+    """One by one: an item stays unless a better neighbour stayed."""
+    blockers, stays = {}, {}
+    for u, v in edges:
+        blockers.setdefault(v, []).append(u)
+    for i in range(n):
+        stays[i] = not any(stays[u] for u in blockers.get(i, ()))
+    return [i for i in range(n) if stays[i]]
+
+
+def in_rounds(spark, monkeypatch, groups, limit, components):
+    """Kept ids of each group, and how often edges were taken away."""
+    from boxtally.operators import graph
+
+    rounds, real = [], graph._without
+    monkeypatch.setattr(graph, "_without", lambda *args: rounds.append(1) or real(*args))
+    if not components:
+        monkeypatch.setattr(graph, "_settle_components", lambda live, *rest: live)
+    items = spark.createDataFrame([(k, i) for k, (n, _) in groups.items() for i in range(n)], "k string, id long")
+    edges = spark.createDataFrame([(k, u, v) for k, (_, e) in groups.items() for u, v in e], "k string, u long, v long")
+    kept = graph.rounds_keep(items, edges, ["k"], limit).collect()
+    return {k: sorted(r["id"] for r in kept if r["k"] == k) for k in groups}, len(rounds)
+
+
+def chain(n, extra=()):
+    return n, [(i, i + 1) for i in range(n - 1)] + list(extra)
+
+
+def test_long_chains_are_settled_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    groups = {"plain": chain(3000), "branches": chain(3000, [(i, i + 5) for i in range(0, 2900, 37)])}
+    groups["any"] = 60, sorted({(u, v) for u, v in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if u < v})
+    got, rounds = in_rounds(spark, monkeypatch, groups, 100_000, True)
+    assert got == {k: kept_in_order(*g) for k, g in groups.items()} and rounds == 1
+
+
+def test_long_chains_beyond_a_task_are_jumped_along(spark, monkeypatch):
+    groups = {"plain": chain(3000), "branches": chain(400, [(100, 150), (200, 260)])}
+    got, rounds = in_rounds(spark, monkeypatch, groups, 20, False)
+    assert got == {k: kept_in_order(*g) for k, g in groups.items()} and rounds <= 20
+
+
+def test_components_of_a_large_group_are_settled(spark, monkeypatch):
+    parts = [(i, i + 1) for i in range(60) if i % 15 != 14] + [(i, i + 1) for i in range(100, 140)]
+    got, _ = in_rounds(spark, monkeypatch, {"x": (150, parts)}, 30, True)
+    assert got == {"x": kept_in_order(150, parts)}
