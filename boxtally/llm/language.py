@@ -64,6 +64,11 @@ def _letters() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _alphabetic() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
 @dataclass
 class Words:
     """Words of some texts: place, length and script of each, and the n-gram buckets of all letters."""
@@ -79,11 +84,15 @@ class Words:
 
 
 def split_words(texts: Sequence[str | None]) -> Words:
-    """``start`` and ``end`` are code points in the joined texts, of which text i begins at ``base[i]``."""
+    """``start`` and ``end`` are code points in the joined texts, of which text i begins at ``base[i]``. Marks without a letter are no word."""
     joined = "\n".join(t or "" for t in texts) + "\n"
-    low = _letters()[np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)]
+    points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
+    low = _letters()[points]
     edge = np.flatnonzero(np.diff((low > 0).astype(np.int8), prepend=np.int8(0)))
     start, end = edge[0::2], edge[1::2]
+    if len(start):
+        spelt = np.logical_or.reduceat(_alphabetic()[points], edge)[0::2]
+        start, end = start[spelt], end[spelt]
     base = np.zeros(len(texts), dtype=np.int64)
     np.cumsum([len(t or "") + 1 for t in texts[:-1]], out=base[1:])
     # every letter of a word and the place behind it end a pair; a triple needs two places before it in the word

@@ -337,6 +337,15 @@ def test_best_path_is_the_best():
         assert value(got[a:b]) == pytest.approx(max(map(value, itertools.product(range(3), repeat=b - a))))
 
 
+def test_marks_without_a_letter_are_no_language(spark):
+    rows = [(i, "some words of one kind", "en", None) for i in range(6)] + [(i, "einige andere Wörter", "de", None) for i in range(6, 12)]
+    model = language.fit(spark.createDataFrame(rows, DOCS))
+    texts = ["\u2600\ufe0f \u2764\ufe0f 12", "\u0301 \u0300", "", None, "\u2764\ufe0f words", "Wo\u0308rter \u0301"]
+    got = language.label_texts(model, texts)
+    assert [g[:2] for g in got[:4]] == [("und", 0.0)] * 4 and [len(g[2]) for g in got] == [0, 0, 0, 0, 1, 1]
+    assert [g[0] for g in got[4:]] == ["en", "de"] and got[5][2] == [(0, 7, "de")]
+
+
 def test_language_odd_rows(spark, odd):
     got = language.identify_held_out(odd).collect()
     assert len(got) == odd.count()
