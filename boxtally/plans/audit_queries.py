@@ -8,7 +8,7 @@ from boxtally.operators import audit as Q
 from boxtally.operators import voxels as V
 from boxtally.plans.metric_queries import FOLDS_SQL, fold_table
 from boxtally.plans.registry import big, query, r6
-from boxtally.plans.sqlparts import R
+from boxtally.plans.sqlparts import R, CRC_STEPS, crc32_sql
 from boxtally.plans.voxel_queries import GLAND, SP, _V13, gland, lesion
 from boxtally.sources.readers import explode_marksheet
 
@@ -305,3 +305,16 @@ def _(t):
 @query("q12_id_fingerprint_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang", views="")
 def _(t):
     return Q.id_fingerprint(t("documents"), ["lang"], "doc_id").select("lang", big("n").alias("n"))
+
+
+@query("q12_id_fingerprint", f"""{CRC_STEPS}, b AS (SELECT lang, {crc32_sql("doc_id::VARCHAR")} % 1024 AS b, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS h
+   FROM documents, crc_steps GROUP BY 1, 2)
+   SELECT lang, sum(n)::BIGINT AS n, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS fingerprint FROM b GROUP BY lang""", views="")
+def _(t):
+    return Q.id_fingerprint(t("documents"), ["lang"], "doc_id")
+
+
+@query("q17_completeness_both_sides", """w AS (SELECT DISTINCT case_id FROM gt WHERE grade>=3), f AS (SELECT DISTINCT case_id FROM det WHERE score>0.9)
+   SELECT case_id, 'missing' AS only_in FROM w WHERE case_id NOT IN (SELECT case_id FROM f) UNION ALL SELECT case_id, 'unexpected' FROM f WHERE case_id NOT IN (SELECT case_id FROM w)""")
+def _(t):
+    return Q.completeness(t.gt.filter("grade >= 3"), t.det.filter("score > 0.9"), ["case_id"])

@@ -301,6 +301,14 @@ def _(t):
     return CM.dice_per_case(predicted(t), segmentation(t), t.cases, [1, 2], skip_nan=True).select("class", r6("dice"))
 
 
+@query("a12_seg_dice_per_case_nan", SEG_SQL + _CNT + f""", one AS (SELECT case_id FROM ct WHERE class=1 AND tp+fn>0), nc AS (SELECT count(*) AS n FROM one)
+   SELECT class, CASE WHEN count(*) FILTER (WHERE tp+fn>0) < any_value(n) THEN 'nan'::DOUBLE ELSE {R('avg(2.0*tp/(2*tp+fp+fn))')} END AS dice
+   FROM ct JOIN one USING (case_id), nc GROUP BY class""", views="gt det cases voxels")
+def _(t):
+    with_one = t.cases.join(segmentation(t).filter("class = 1").select("case_id").distinct(), "case_id", "left_semi")
+    return CM.dice_per_case(predicted(t), segmentation(t), with_one, [1, 2]).select("class", r6("dice"))
+
+
 _LD = match_sql("m", thr="0.1") + "," + SEG_SQL + f""", ld AS (SELECT g.case_id, g.gt_id,
     (SELECT count(*) FROM seg s WHERE s.gt_id=g.gt_id) AS ng FROM gt g WHERE gt_id IN (SELECT gt_id FROM m WHERE gt_id IS NOT NULL)),
    pc AS (SELECT g.gt_id, count(*) AS np, count(*) FILTER (WHERE s.gt_id=g.gt_id) AS nb FROM ld g JOIN gt b USING (gt_id) JOIN prd p ON p.case_id=g.case_id AND p.x>=b.x1 AND p.x<b.x2 AND p.y>=b.y1 AND p.y<b.y2 AND p.z>=b.z1 AND p.z<b.z2

@@ -87,3 +87,15 @@ def keep_sql(
                r.det_id, NOT list_has_any(s.kept, r.better)
         FROM {name}_s s JOIN {name}_e r ON {sr} AND r.rn = s.rn + 1),
     {name} AS (SELECT {keys}, det_id FROM {name}_s WHERE keep)"""
+
+
+#: The table of 256 steps of CRC-32 as one list ``steps``, a common table expression.
+CRC_STEPS = """crc_steps AS (SELECT list(v ORDER BY i) AS steps FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of the bytes of ``text``, beside a row of ``crc_steps``."""
+    byte = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])))"
