@@ -41,7 +41,7 @@ WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Share of registers in which a pair has to agree to be verified.
 SCREEN = 0.6
 #: Documents in one block of a comparison; a task holds two.

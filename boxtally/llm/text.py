@@ -43,7 +43,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.ones(size, dtype=np.uint64)
         have[1:] = base
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _POWERS[int(base)] = have
     return have[:n]
 
