@@ -146,19 +146,35 @@ def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "leader bigint, member bigint, distance double")
 
 
-def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v) links of similarity ``least`` or more that connect all classes of candidates.
+def _star_classes(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(id, component) of all ``nodes``; ``stars`` has a row (member, leaders) per member, its smaller ids, at most one a band.
+
+    Members hang on their smallest leader, so only leaders go through the rounds: linked when a member has both.
+    """
+    low = cut_lineage(stars.select("member", F.array_min("leaders").alias("p"), "leaders"))
+    leaders = cut_lineage(low.select(F.explode("leaders").alias("id")).distinct())
+    among = low.select(F.col("p").alias("u"), F.explode("leaders").alias("v")).filter("u <> v").distinct()
+    own = low.select(F.col("p").alias("u"), F.col("member").alias("v")).join(leaders.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
+    labels = cut_lineage(connected_components(leaders, among.unionByName(own)).withColumnRenamed("id", "at"))
+    at = cut_lineage(nodes.join(low.select(F.col("member").alias("id"), "p"), "id", "left").select("id", F.coalesce("p", "id").alias("at")))
+    return at.join(labels, "at", "left").select("id", F.coalesce("component", "at").alias("component"))
+
+
+def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, component) by the links to leaders, and further links (u, v) between those classes.
 
     ``buckets`` has (bucket, id) with at least two members each, ``texts`` (id, text, registers).
     """
     far = 1.0 - least + 1e-9
     leader = cut_lineage(buckets.groupBy("bucket").agg(F.min("id").alias("leader")))
     stars = cut_lineage(buckets.join(leader, "bucket").filter("id <> leader").select("leader", F.col("id").alias("member")).distinct())
-    measured = cut_lineage(_distances(stars, texts))
-    found = measured.filter(F.col("distance") <= far).select(F.col("leader").alias("u"), F.col("member").alias("v"))
+    measured = _distances(stars, texts)
+    seen = cut_lineage(measured.groupBy("member").agg(
+        F.collect_set("leader").alias("leaders"), F.collect_set(F.when(F.col("distance") <= far, F.col("leader"))).alias("near")
+    ))
     nodes = texts.select("id")
-    groups = connected_components(nodes, stars.select(F.col("leader").alias("u"), F.col("member").alias("v"))).withColumnRenamed("component", "grp")
-    classes = connected_components(nodes, found)
+    groups = _star_classes(nodes, seen.select("member", "leaders")).withColumnRenamed("component", "grp")
+    classes = _star_classes(nodes, seen.filter(F.size("near") > 0).select("member", F.col("near").alias("leaders")))
     rows = cut_lineage(groups.join(classes, "id"))
     sizes = rows.groupBy("grp", "component").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("grp").agg(
@@ -193,11 +209,11 @@ def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST, block_rows
             yield _block_links(held, least)
 
     compared = whole.select("block", "id", "component", "first", "alone", "registers", "text").mapInArrow(run, "u bigint, v bigint")
-    return cut_lineage(found.unionByName(compared))
+    return rows.select("id", "component"), cut_lineage(compared)
 
 
 def _block_links(rows: list, least: float) -> pa.RecordBatch:
-    """Links between the two sides of a block, or within a block alone, that connect its classes."""
+    """Links between the classes of the two sides of a block, or of a block alone, that connect them."""
     registers = np.array([np.frombuffer(r[5], dtype=np.uint16) for r in rows])
     first = np.array([r[3] for r in rows])
     alone = rows[0][4]
@@ -224,7 +240,7 @@ def _block_links(rows: list, least: float) -> pa.RecordBatch:
             a, b = top(rows[i][2]), top(rows[j][2])
             if a != b and probability_jaccard(own(i), own(j)) >= least - 1e-9:
                 root[max(a, b)] = min(a, b)
-                found.append((rows[i][1], rows[j][1]))
+                found.append((rows[i][2], rows[j][2]))
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
 
 
@@ -242,9 +258,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     may, _ = maybe_in(own, wanted, ("id",))
     texts = may.join(wanted, "id").dropDuplicates(["id"]).join(drawn.select(F.col("doc_id").alias("id"), "registers").dropDuplicates(["id"]), "id")
     texts = cut_lineage(texts)
-    found = texts.sparkSession.createDataFrame([], "u long, v long") if buckets.isEmpty() else links(buckets, texts, least)
-    nodes = reps.select(F.col("rep").alias("id"))
-    classes = cut_lineage(connected_components(nodes, found))
+    classes = reps.select(F.col("rep").alias("id"), F.col("rep").alias("component"))
+    if not buckets.isEmpty():
+        by_leader, between = links(buckets, texts, least)
+        merged = cut_lineage(connected_components(by_leader.select(F.col("component").alias("id")).distinct(), between).withColumnRenamed("component", "whole"))
+        found = cut_lineage(by_leader.join(merged.withColumnRenamed("id", "component"), "component").select("id", "whole"))
+        classes = classes.join(found, "id", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    classes = cut_lineage(classes)
     members = cut_lineage(drawn.select("doc_id", "words_key").distinct().join(reps, "words_key").join(classes.withColumnRenamed("id", "rep"), "rep"))
     sizes = cut_lineage(members.groupBy("component").agg(F.count("*").alias("class_size")))
     return members.join(sizes, "component").select(
