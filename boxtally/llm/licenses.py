@@ -7,8 +7,8 @@ Hyphens and dots separate words, so that GPL-2.0-only has the words of GPL 2.0.
 the candidate shares enough word pairs with one of the family's templates, in proportion to the shorter of the two.
 
 A candidate is passed over only if it is unknown for certain: the n-grams outside ``decisive`` together cannot lift
-any family to the unknown class, so a text without a decisive n-gram names no family. Equal candidates are judged
-once and joined back to their places.
+any family to the unknown class, so a text without a decisive n-gram names no family. Equal notices are compared
+with the templates once and joined back to their places.
 
 The classifier is trained on the driver from the templates below, shortened and embedded in other words, against at
 most ``MAX_OTHERS`` paragraphs of the corpus that share no word triple with a template. The weights are a table of a
@@ -302,47 +302,73 @@ def other_paragraphs(docs: DataFrame, text_col: str = "text", most: int = MAX_OT
     return [r["p"] for r in rows if not any(tuple(w[i : i + 3]) in known for w in [tokens(r["p"])] for i in range(len(w) - 2))]
 
 
-def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
-    """(paragraph, family, probability, similarity, confirmed) of distinct paragraphs."""
-    spark = paragraphs.sparkSession
+def judge(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """(row, ``keep``, family, probability) of rows (row, paragraph, ``keep``), whose numbers are unique; no paragraph is shuffled."""
+    spark = rows.sparkSession
     names = [f"s{i}" for i in range(len(model.families))]
-    weights = spark.createDataFrame([(g, *map(float, row)) for g, row in zip(model.grams, model.weights)], "gram string, " + ", ".join(f"{n} double" for n in names))
-    # n-grams travel with a digest: a paragraph may be a whole document
-    keyed = paragraphs.select("paragraph", F.md5("paragraph").alias("digest"))
-    words = keyed.select("digest", _words(F.col("paragraph")).alias("words"))
-    grams = F.array_distinct(F.concat("words", _pairs(F.col("words"))))
-    found = words.select("digest", F.explode(grams).alias("gram")).join(F.broadcast(weights), "gram")
-    summed = keyed.join(found.groupBy("digest").agg(*[F.sum(n).alias(n) for n in names]), "digest", "left").na.fill(0.0, names)
+    # the empty n-gram, which no text has, stands in each row, so that rows without a known n-gram stay
+    known = [(g, *map(float, row)) for g, row in zip(model.grams, model.weights)] + [("", *[0.0] * len(names))]
+    weights = spark.createDataFrame(known, "gram string, " + ", ".join(f"{n} double" for n in names))
+    words = rows.select("row", *keep, _words(F.col("paragraph")).alias("words"))
+    grams = F.array_distinct(F.concat("words", _pairs(F.col("words")), F.array(F.lit(""))))
+    found = words.select("row", *keep, F.explode(grams).alias("gram")).join(F.broadcast(weights), "gram")
+    summed = found.groupBy("row", *keep).agg(*[F.sum(n).alias(n) for n in names])
     z = F.array(*[((F.col(n) + F.lit(float(b))) / F.lit(model.temperature)) for n, b in zip(names, model.intercept)])
-    scored = summed.select("paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
+    scored = summed.select("row", *keep, z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
     families = F.array(*[F.lit(f) for f in model.families])
-    named = scored.select("paragraph", F.element_at(families, F.array_position("z", F.col("top")).cast("int")).alias("best"), (1 / total).alias("probability"))
-    named = named.select("paragraph", "probability", F.when(F.col("probability") >= LEAST, F.col("best")).otherwise(UNKNOWN).alias("family"))
+    named = scored.select("row", *keep, F.element_at(families, F.array_position("z", F.col("top")).cast("int")).alias("best"), (1 / total).alias("probability"))
+    return named.select("row", *keep, F.when(F.col("probability") >= LEAST, F.col("best")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"))
+
+
+def compare(named: DataFrame) -> DataFrame:
+    """(digest, family, similarity, confirmed) of distinct named paragraphs (digest, family, paragraph)."""
     notices = [(f, n) for f, own in TEMPLATES.items() for n in own]
-    templates = spark.createDataFrame(notices, "family string, notice string").select("family", F.array_distinct(_pairs(_words(F.col("notice")))).alias("wanted"))
+    templates = named.sparkSession.createDataFrame(notices, "family string, notice string").select("family", F.array_distinct(_pairs(_words(F.col("notice")))).alias("wanted"))
     # pairs as text, which Spark compares by hash: a paragraph may be a whole document
-    own = F.when(F.col("family") != UNKNOWN, F.array_distinct(_pairs(_words(F.col("paragraph")))))
-    pairs = named.withColumn("own", own).join(F.broadcast(templates), "family", "left")
+    pairs = named.select("digest", "family", F.array_distinct(_pairs(_words(F.col("paragraph")))).alias("own")).join(F.broadcast(templates), "family")
     shared = F.size(F.array_intersect("own", "wanted")) / F.greatest(F.least(F.size("own"), F.size("wanted")), F.lit(1))
-    return pairs.groupBy("paragraph", "family", "probability").agg(F.max(F.when(F.col("wanted").isNotNull(), shared)).alias("s")).select(
-        "paragraph", "family", F.round("probability", 6).alias("probability"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("similarity"),
-        (F.coalesce("s", F.lit(0.0)) >= CONFIRM).alias("confirmed"),
+    return pairs.groupBy("digest", "family").agg(F.max(shared).alias("s")).select(
+        "digest", "family", F.round("s", 6).alias("similarity"), (F.col("s") >= CONFIRM).alias("confirmed")
     )
 
 
+def _distinct_named(rows: DataFrame) -> DataFrame:
+    """(digest, family, paragraph) of the named rows; copies meet in each task before the shuffle."""
+    return rows.filter(F.col("family") != UNKNOWN).groupBy("digest", "family").agg(F.first("paragraph").alias("paragraph"))
+
+
+def _with_comparison(rows: DataFrame, compared: DataFrame) -> DataFrame:
+    """Rows with similarity and confirmed: 0 and false where no family is named."""
+    return rows.join(compared, ["digest", "family"], "left").na.fill({"similarity": 0.0, "confirmed": False})
+
+
+def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
+    """(paragraph, family, probability, similarity, confirmed) of distinct paragraphs."""
+    rows = cut_lineage(paragraphs.select(F.monotonically_increasing_id().alias("row"), "paragraph", F.md5("paragraph").alias("digest")))
+    judged = rows.join(judge(rows, model), "row")
+    return _with_comparison(judged, compare(_distinct_named(judged))).select("paragraph", "family", "probability", "similarity", "confirmed")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph_no, paragraph, family, probability, similarity, confirmed) of all notices and of the lines with a cue word."""
+    """(doc_id, paragraph_no, paragraph, family, probability, similarity, confirmed) of all notices and of the lines with a cue word.
+
+    Candidates are written once under a number and judged by it; their texts travel only to the numbers that give a row.
+    """
     others = other_paragraphs(docs, text_col)
     model = fit(others)
-    found = cut_lineage(candidates(docs, decisive(model, others), id_col, text_col))
-    judged = cut_lineage(classify(found.select("paragraph").distinct(), model))
     several = F.contains("paragraph", F.lit("\n"))
-    named = judged.filter(F.col("family") != UNKNOWN)
-    whole = named.filter(several)
+    found = cut_lineage(candidates(docs, decisive(model, others), id_col, text_col).select(
+        F.monotonically_increasing_id().alias("row"), "*", several.alias("several"), (~several & F.lower("paragraph").rlike(_any_of(CUES))).alias("cue")
+    ))
+    judged = judge(found, model, "cue").filter((F.col("family") != UNKNOWN) | F.col("cue")).select("row", "family", "probability")
+    rows = cut_lineage(found.drop("cue").join(cut_lineage(judged), "row").withColumn("digest", F.md5("paragraph")))
+    compared = cut_lineage(compare(_distinct_named(rows)))
     # a paragraph that says no more than one of its lines
-    own = whole.select("family", "confirmed", F.col("paragraph").alias("whole"), F.explode(F.array_distinct(F.split("paragraph", "\n"))).alias("paragraph"))
-    lines = named.filter(~several).select("paragraph", "family", F.col("confirmed").alias("by_line"))
-    said = own.join(lines, ["paragraph", "family"]).filter("by_line or not confirmed").select(F.col("whole").alias("paragraph")).distinct()
-    rows = judged.filter(~several & ((F.col("family") != UNKNOWN) | F.lower("paragraph").rlike(_any_of(CUES)))).unionByName(whole.join(said, "paragraph", "left_anti"))
-    return found.join(cut_lineage(rows), "paragraph").select("doc_id", "paragraph_no", "paragraph", "family", "probability", "similarity", "confirmed")
+    whole = _distinct_named(rows.filter("several")).join(compared, ["digest", "family"])
+    own = whole.select("family", "confirmed", F.col("digest").alias("whole"), F.explode(F.array_distinct(F.split("paragraph", "\n"))).alias("line"))
+    own = own.select("family", "confirmed", "whole", F.md5("line").alias("digest"))
+    lines = rows.filter("not several").select("digest", "family").distinct().join(compared, ["digest", "family"]).select("digest", "family", F.col("confirmed").alias("by_line"))
+    said = own.join(lines, ["digest", "family"]).filter("by_line or not confirmed").select(F.col("whole").alias("digest")).distinct()
+    kept = rows.join(cut_lineage(said.withColumn("said", F.lit(True))), "digest", "left").filter("said is null")
+    return _with_comparison(kept, compared).select("doc_id", "paragraph_no", "paragraph", "family", "probability", "similarity", "confirmed")
