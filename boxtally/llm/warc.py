@@ -1,9 +1,10 @@
 """A content-addressed web archive.
 
 An archive is two Parquet data sets. ``payloads`` holds every payload once, under its SHA-256;
-``headers`` holds the exact header bytes of each record with the digest it points to. Records are
-put together again by a join on the digest, and the payload is digested again on the way, so damaged
-bytes are found. ``export_warc`` writes ordinary WARC files from the same parts and ``import_warc``
+``headers`` holds the exact header bytes of each record with the digest it points to. Both are bucketed
+and sorted by the digest. Records are put together again by a join on the digest, bucket by bucket where
+the reader knows the number of buckets, so payloads are shuffled once, on their way into the archive. The
+payload is digested again on the way, so damaged bytes are found. ``export_warc`` writes ordinary WARC files from the same parts and ``import_warc``
 reads such files.
 
 Defined results: a null payload is empty; a null url is written as an empty target; rows with equal
@@ -13,6 +14,7 @@ a response; an empty table makes an empty archive. Extra columns are ignored, wh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,33 +72,58 @@ def page_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", p
     )
 
 
-def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
-    """Writes ``headers`` and ``payloads`` below ``path``; each payload is stored once.
+def _write_bucketed(rows: DataFrame, path: str, buckets: int) -> None:
+    """Files by buckets of the digest; the catalog's entry is only needed to write them."""
+    table = f"archive_{uuid.uuid4().hex}"
+    rows.write.format("parquet").bucketBy(buckets, "payload_key").sortBy("payload_key").option("path", path).saveAsTable(table)
+    rows.sparkSession.sql(f"DROP TABLE {table}")
 
-    Equal payloads meet in each task before the shuffle, so a hot payload travels once per task.
+
+def _open_bucketed(spark: SparkSession, path: str, buckets: int, columns: str) -> DataFrame:
+    table = f"archive_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (payload_key) SORTED BY (payload_key) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # external, so the files stay, and the frame knows them and their buckets
+    return rows
+
+
+def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> int:
+    """Writes ``headers`` and ``payloads`` below ``path`` and returns the number of buckets; each payload is stored once.
+
+    Equal payloads meet in each task before the shuffle, so a hot payload travels once per task. There are as many
+    buckets as shuffle partitions, so what the shuffle brings together is written as it is.
     """
-    page_records(df, id_col, url_col, payload_col, least_bytes).write.parquet(f"{path}/headers")
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _write_bucketed(page_records(df, id_col, url_col, payload_col, least_bytes), f"{path}/headers", buckets)
     payload = _utf8(F.col(payload_col))
     stored = df.select(F.sha2(payload, 256).alias("payload_key"), payload.alias("payload")).groupBy("payload_key").agg(
         F.count("*").alias("copies"), F.first("payload").alias("payload")
     )
-    stored.write.parquet(f"{path}/payloads")
+    _write_bucketed(stored, f"{path}/payloads", buckets)
+    return buckets
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Original records: (record_id, header, payload, verified).
+def read_archive(spark: SparkSession, path: str, buckets: int | None = None) -> DataFrame:
+    """Original records: (record_id, header, payload, verified); ``buckets`` as ``write_archive`` returned it, else payloads are shuffled.
 
-    A payload that many records share is copied per ``RECORDS_A_COPY`` of them and the copies are
-    joined apart, so no task holds all records of one digest.
+    A payload that more than ``RECORDS_A_COPY`` records share is copied once for each so many of them and the
+    copies are joined apart, so no task holds all records of one digest; the others meet in their buckets.
     """
-    headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads")
+    if buckets:
+        headers = _open_bucketed(spark, f"{path}/headers", buckets, "record_id bigint, header binary, payload_key string, copies bigint")
+        payloads = _open_bucketed(spark, f"{path}/payloads", buckets, "payload_key string, copies bigint, payload binary")
+    else:
+        headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    payloads = payloads.withColumn("verified", F.sha2("payload", 256) == F.col("payload_key"))
+    hot = F.col("copies") > RECORDS_A_COPY
+    whole = headers.filter(~hot).drop("copies").join(payloads.filter(~hot).drop("copies"), "payload_key")
     ways = F.ceil(F.col("copies") / F.lit(RECORDS_A_COPY)).cast("int")
-    parts = headers.withColumn("part", F.pmod(F.xxhash64("record_id"), ways).cast("int")).drop("copies")
-    stored = payloads.withColumn("verified", F.sha2("payload", 256) == F.col("payload_key")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), ways - 1))
-    )
-    return parts.join(stored.drop("copies"), ["payload_key", "part"]).select("record_id", "header", "payload", "verified")
+    parts = headers.filter(hot).withColumn("part", F.pmod(F.xxhash64("record_id", "header"), ways).cast("int")).drop("copies")
+    stored = payloads.filter(hot).withColumn("part", F.explode(F.sequence(F.lit(0), ways - 1))).drop("copies")
+    out = ("record_id", "header", "payload", "verified")
+    return whole.select(*out).unionByName(parts.join(stored, ["payload_key", "part"]).select(*out))
 
 
 def field(header: Column, name: str) -> Column:
@@ -157,5 +184,5 @@ def round_trip(df: DataFrame, **columns: str) -> DataFrame:
     """Archives ``df`` below the shared checkpoint folder and describes what comes back."""
     spark = df.sparkSession
     path = fresh_path(spark)
-    write_archive(df, path, **columns)
-    return describe(read_archive(spark, path))
+    buckets = write_archive(df, path, **columns)
+    return describe(read_archive(spark, path, buckets))

@@ -85,8 +85,11 @@ def test_warc_finds_damage_and_hot_payloads(spark, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS_A_COPY", 3)
     pages = spark.createDataFrame([(i, "u", "same" if i < 20 else f"own {i}") for i in range(30)], "page_id long, url string, html string")
     path = fresh_path(spark)
-    warc.write_archive(pages, path)
+    buckets = warc.write_archive(pages, path)
     assert warc.describe(warc.read_archive(spark, path)).filter("verified").count() == 30
+    whole = sorted((r.record_id, bytes(r.header), bytes(r.payload)) for r in warc.read_archive(spark, path, buckets).collect())
+    assert whole == sorted((r.record_id, bytes(r.header), bytes(r.payload)) for r in warc.read_archive(spark, path).collect()) and len(whole) == 30
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("archive_")]
     from pyspark.sql import functions as F
     spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(f"{path}/bad/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}/bad/headers")
