@@ -104,6 +104,11 @@ def near_earlier(all_lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([source, pa.array(signed(value[wanted])), pa.array(place[wanted])], ["turn", "variant", "at"])
 
     made = cut_lineage(lines.join(gaps, "key").select("turn", "line", "gaps").mapInArrow(variants, "turn bigint, variant bigint, at int"))
+    # what follows needs only the variants of two different lines, a small part of all
+    met = made.groupBy("variant").agg(F.min("turn").alias("a"), F.max("turn").alias("b")).filter("a < b").select("variant")
+    met = cut_lineage(met)
+    may_meet, _ = maybe_in(made, met, ("variant",))
+    made = cut_lineage(may_meet.join(met, "variant"))
     first = F.min("turn").alias("first")
     # one character replaced: equal variants with the same place deleted
     replaced = made.filter("at >= 0").groupBy("variant", "at").agg(first, F.max("turn").alias("last")).filter("first < last").select("variant", "at", "first")
