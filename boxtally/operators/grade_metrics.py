@@ -107,6 +107,11 @@ def grade_auroc(pairs: DataFrame, keys: Sequence[str] = (), large: bool = False)
 
 def calibration(pairs: DataFrame, keys: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """Brier score, NLL, ECE over equal bins (last one closed) and mean confidences."""
+    return calibration_summary(calibration_bins(pairs, keys, bins), keys)
+
+
+def calibration_bins(pairs: DataFrame, keys: Sequence[str] = (), bins: int = 10) -> DataFrame:
+    """Sums per confidence bin: all that :func:`calibration_summary` needs; sums of parts may be added up."""
     probs = F.array(*PROBS)
     own = F.get(probs, (F.col("true") - 2).cast("int"))
     brier = F.aggregate(probs, F.lit(0.0), lambda a, v: a + v * v) - 2 * own + 1
@@ -115,10 +120,13 @@ def calibration(pairs: DataFrame, keys: Sequence[str] = (), bins: int = 10) -> D
         *keys, brier.alias("brier"), (-F.log(F.greatest(own, F.lit(1e-7)))).alias("nll"), conf.alias("conf"),
         (F.col("true") == F.col("predicted")).alias("right"),
     ).withColumn("bin", F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1)))
-    per_bin = rows.groupBy(*keys, "bin").agg(
+    return rows.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum("brier").alias("brier"), F.sum("nll").alias("nll"), F.sum("conf").alias("conf"),
         F.sum(F.col("right").cast("long")).alias("right"), F.sum(F.when(F.col("right"), F.col("conf"))).alias("conf_right"),
     )
+
+
+def calibration_summary(per_bin: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     total = F.sum("n")
     return per_bin.groupBy(*keys).agg(
         total.alias("n"), (F.sum("brier") / total).alias("brier"), (F.sum("nll") / total).alias("nll"),

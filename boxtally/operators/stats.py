@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxtally.functions.values import draw
 from boxtally.operators.curves import union_all
+from boxtally.operators.grade_metrics import calibration_bins, calibration_summary
 from boxtally.operators.sampling import dense_index
 
 GRADES = (2, 3, 4, 5)
@@ -35,6 +38,167 @@ def bootstrap_weights(patients: DataFrame, samples: int, point: bool = False) ->
     return drawn.unionByName(index.select(F.lit(POINT).cast("long").alias("b"), "patient_id", F.lit(1).cast("long").alias("w")))
 
 
+def bootstrap_hits(patients: DataFrame, samples: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The resamples that draw each patient, one entry per draw: (keys, patient_id, hits).
+
+    The draws are those of :func:`bootstrap_weights`, made anew within every group of ``keys``. A patient is one row
+    with about ``samples`` entries, however many patients there are.
+    """
+    k = list(keys)
+    index = dense_index(patients.select(*k, "patient_id").distinct(), [F.asc("patient_id")], k)
+    total = index.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    sized = index.join(F.broadcast(total), k) if k else index.join(F.broadcast(total))
+    draws = sized.select(*k, F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    hit = draws.select(*k, "b", (draw(F.col("b"), F.col("j")) % F.col("_n")).alias("idx"))
+    per = hit.groupBy(*k, "idx").agg(F.collect_list("b").alias("hits"))
+    return index.join(per, [*k, "idx"], "left").select(*k, "patient_id", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
+
+
+def _draws(batch: pa.RecordBatch, samples: int) -> Iterator[np.ndarray]:
+    """Per row how often it counts in the full set (place 0) and in every resample."""
+    hits = batch.column("hits")
+    flat, at = hits.values.to_numpy(zero_copy_only=False), hits.offsets.to_numpy()
+    for a, b in zip(at[:-1], at[1:]):
+        w = np.bincount(flat[a:b] + 1, minlength=samples + 1).astype(np.float64)
+        w[0] = 1.0
+        yield w
+
+
+def _per_resample(key: Sequence, names: Sequence[str], vectors: Sequence[np.ndarray], out: Sequence[str]) -> pa.RecordBatch:
+    """One row per resample of the vectors of one key; the full set is resample ``POINT``."""
+    n = len(vectors[0])
+    return pa.RecordBatch.from_arrays([*[pa.array([v] * n) for v in key], pa.array(np.arange(n) + POINT), *map(pa.array, vectors)], [*names, "b", *out])
+
+
+def _ddl(df: DataFrame, names: Sequence[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join(f"{c} {kinds[c]}" for c in names)
+
+
+def resampled_sums(sums: DataFrame, hits: DataFrame, samples: int, cells: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Sums of every resample and of the full set: (keys, cells, b, and the other columns of ``sums`` as doubles).
+
+    ``sums`` has a row per (keys, patient_id, cells), the cells of a patient being few. Each task adds its patients up
+    for all resamples at once, so what is shuffled is a row per task, cell and resample and none per patient.
+    """
+    k, names = list(keys), [*keys, *cells]
+    values = [c for c in sums.columns if c not in (*names, "patient_id")]
+    own = sums.groupBy(*k, "patient_id").agg(F.collect_list(F.struct(*cells, *[F.col(v).cast("double").alias(v) for v in values])).alias("own"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row, w in zip(batch.select([*k, "own"]).to_pylist(), _draws(batch, samples)):
+                for cell in row["own"]:
+                    name = (*[row[c] for c in k], *[cell[c] for c in cells])
+                    if name not in held:
+                        held[name] = np.zeros((len(values), samples + 1))
+                    held[name] += np.array([cell[v] or 0.0 for v in values])[:, None] * w
+        for name, vectors in held.items():
+            yield _per_resample(name, names, list(vectors), values)
+
+    ddl = ", ".join([_ddl(sums, names), "b bigint", *[f"{v} double" for v in values]])
+    parts = own.join(hits, [*k, "patient_id"]).select(*k, "own", "hits").mapInArrow(add, ddl)
+    return parts.groupBy(*names, "b").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def resampled_confusion(pairs: DataFrame, hits: DataFrame, samples: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts of every resample: (keys, b, true, predicted, n), cells that occur only."""
+    per = pairs.groupBy(*keys, "patient_id", "true", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return resampled_sums(per, hits, samples, ["true", "predicted"], keys).withColumn("n", F.col("n").cast("long")).filter("n > 0")
+
+
+def resampled_calibration(pairs: DataFrame, hits: DataFrame, samples: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The calibration figures of every resample that holds a row: (keys, b, n, brier, nll, ece, ...)."""
+    per = calibration_bins(pairs, [*keys, "patient_id"])
+    return calibration_summary(resampled_sums(per, hits, samples, ["bin"], keys).filter("n > 0"), [*keys, "b"])
+
+
+def resampled_macro_auroc(pairs: DataFrame, hits: DataFrame, samples: int, models: dict[str, Sequence[str]], keys: Sequence[str] = ()) -> DataFrame:
+    """Macro one-vs-rest AUROC of every resample and model: (keys, b, model, auroc); null where no grade is defined.
+
+    Scores are cut into ranges. Inside a range the wins of all resamples are counted in one pass in order of score; the
+    first and the last score of a range may go on in the next one and are handed out on their own. So the ordering of
+    the ranges, and not of the rows, is all that is left for a window.
+    """
+    entries = [
+        F.struct(F.lit(m).alias("model"), F.lit(g).cast("long").alias("g"), F.col(c).alias("p"))
+        for m, cols in models.items() for g, c in zip(GRADES, cols)
+    ]
+    names = [*keys, "model", "g"]
+    long = pairs.select(*keys, "patient_id", "true", F.explode(F.array(*entries)).alias("e")).select(*keys, "patient_id", "true", "e.*")
+    scored = long.groupBy(*names, "p", "patient_id").agg(
+        F.sum((F.col("true") == F.col("g")).cast("double")).alias("pos"), F.sum((F.col("true") != F.col("g")).cast("double")).alias("neg")
+    )
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scored.join(hits, [*keys, "patient_id"]).repartitionByRange(parts, *names, "p", "patient_id").sortWithinPartitions(*names, "p")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tie_row(name, p, pos, neg):
+            return _per_resample((*name, p, True), [*names, "at", "tie"], (pos, neg, np.zeros(samples + 1)), ("pos", "neg", "wins"))
+
+        name, tie, first, inner = None, None, True, None
+
+        def close():
+            if inner is not None:
+                yield _per_resample((*name, inner[0], False), [*names, "at", "tie"], inner[1:], ("pos", "neg", "wins"))
+            if tie is not None:
+                yield tie_row(name, *tie)
+
+        for batch in batches:
+            for row, w in zip(batch.select([*names, "p", "pos", "neg"]).to_pylist(), _draws(batch, samples)):
+                here, p = tuple(row[c] for c in names), row["p"]
+                if here != name:
+                    if name is not None:
+                        yield from close()
+                    name, tie, first, inner = here, None, True, None
+                if tie is not None and p != tie[0]:
+                    if first:
+                        yield tie_row(name, *tie)
+                        first = False
+                    elif inner is None:
+                        inner = (tie[0], tie[1], tie[2], tie[1] * tie[2] / 2.0)
+                    else:
+                        wins = inner[3] + tie[1] * (inner[2] + tie[2] / 2.0)
+                        inner = (inner[0], inner[1] + tie[1], inner[2] + tie[2], wins)
+                    tie = None
+                pos, neg = row["pos"] * w, row["neg"] * w
+                tie = (p, pos, neg) if tie is None else (p, tie[1] + pos, tie[2] + neg)
+        if name is not None:
+            yield from close()
+
+    ddl = f"{_ddl(scored, names)}, at double, tie boolean, b bigint, pos double, neg double, wins double"
+    segments = placed.select(*names, "p", "pos", "neg", "hits").mapInArrow(count, ddl)
+    whole = segments.groupBy(*names, "b", "at", "tie").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
+    before = Window.partitionBy(*names, "b").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    below = whole.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    inside = F.when(F.col("tie"), F.col("pos") * F.col("neg") / 2.0).otherwise(F.col("wins"))
+    pairs_n = F.sum("pos") * F.sum("neg")
+    auc = F.when(pairs_n > 0, F.sum(inside + F.col("pos") * F.col("below")) / pairs_n)
+    return below.groupBy(*names, "b").agg(auc.alias("auroc")).groupBy(*keys, "b", "model").agg(F.avg("auroc").alias("auroc"))
+
+
+def subgroup_delta(rows: DataFrame, members: dict[str, Column], a: Sequence[str], b: Sequence[str], samples: int) -> DataFrame:
+    """Per subgroup the macro AUROC of two models, their difference with its interval, and what it rests on.
+
+    Patients are drawn among those of the subgroup. ``status`` says when a subgroup holds no row or no difference is
+    defined on the full set or in any resample; the figures that are not defined are null.
+    """
+    tagged = subgroups(rows, members)
+    hits = bootstrap_hits(tagged, samples, ["subgroup"])
+    aurocs = resampled_macro_auroc(tagged, hits, samples, {"a": a, "b": b}, ["subgroup"])
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("auroc")))
+    per = aurocs.groupBy("subgroup", "b").agg(pick("a").alias("a"), pick("b").alias("b2")).withColumn("delta", F.col("a") - F.col("b2"))
+    ends = interval(per, "delta", ["subgroup"])
+    points = per.filter(F.col("b") == POINT).select("subgroup", F.col("a").alias("auroc_a"), F.col("b2").alias("auroc_b"))
+    sizes = tagged.groupBy("subgroup").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("patient_id").alias("patients"))
+    frame = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in members])).alias("subgroup"))
+    out = frame.join(sizes, "subgroup", "left").join(points, "subgroup", "left").join(ends, "subgroup", "left").na.fill(0, ["n", "patients", "valid", "undefined"])
+    status = F.when(F.col("n") == 0, "empty").when(F.col("point").isNull() | (F.col("valid") == 0), "undefined").otherwise("defined")
+    known = lambda c: F.when(status == "defined", F.col(c)).alias(c)
+    return out.select("subgroup", "n", "patients", "auroc_a", "auroc_b", known("point"), known("lower"), known("upper"), "valid", "undefined", status.alias("status"))
+
+
 def weighted_confusion(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Confusion counts of every resample: (b, true, predicted, n)."""
     per = pairs.groupBy("patient_id", "true", "predicted").agg(F.count(F.lit(1)).alias("c"))

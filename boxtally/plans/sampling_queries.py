@@ -10,7 +10,7 @@ from boxtally.operators import sampling as SA
 from boxtally.operators import splits as SP
 from boxtally.operators import stats as ST
 from boxtally.operators.voxels import containment, mask_to_boxes
-from boxtally.plans.metric_queries import _GP, graded
+from boxtally.plans.metric_queries import _GP, _OWN, graded
 from boxtally.plans.registry import big, query, r6
 from boxtally.plans.sqlparts import R
 from boxtally.plans.voxel_queries import GLAND, SHAPE, gland, lesion
@@ -237,16 +237,40 @@ def _graded_patients(t):
 
 
 def _aurocs(t):
-    weights = ST.bootstrap_weights(t.cases, B, point=True)
-    return ST.weighted_macro_auroc(_graded_patients(t), weights, {"a": ["p2", "p3", "p4", "p5"], "b": ["p3", "p4", "p5", "p2"]})
+    return ST.resampled_macro_auroc(_graded_patients(t), ST.bootstrap_hits(t.cases, B), B, {"a": ["p2", "p3", "p4", "p5"], "b": ["p3", "p4", "p5", "p2"]})
 
 
 @query("p12_cluster_bootstrap", _GPP + f" SELECT b, tr AS \"true\", pr AS predicted, CAST(sum(w) AS BIGINT) AS n FROM gq JOIN wt USING (patient_id) WHERE b>=0 GROUP BY ALL")
 def _(t):
-    c = ST.weighted_confusion(_graded_patients(t), ST.bootstrap_weights(t.cases, B))
+    c = ST.resampled_confusion(_graded_patients(t), ST.bootstrap_hits(t.cases, B), B).filter(F.col("b") != ST.POINT)
     return c.select("b", "true", big("predicted").alias("predicted"), "n")
 
 
+_ENDS = f"SELECT metric, {R('max(v) FILTER (WHERE b=-1)')} AS point, {R('quantile_cont(v,0.025) FILTER (WHERE b>=0)')} AS lower, {R('quantile_cont(v,0.975) FILTER (WHERE b>=0)')} AS upper, count(v) FILTER (WHERE b>=0) AS valid FROM lv GROUP BY metric"
+
+
+def _ends(t, per, names):
+    flat = per.select("b", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])).alias("e"))
+    return ST.interval(flat.select("b", "e.*"), "v", ["metric"]).select("metric", r6("point"), r6("lower"), r6("upper"), "valid")
+
+
+@query("p12_bootstrap_summary", _GPP + f""", cb AS (SELECT b, tr, pr, sum(w)::DOUBLE AS n FROM gq JOIN wt USING (patient_id) GROUP BY ALL), ta AS (SELECT b, tr, sum(n) AS n FROM cb GROUP BY ALL), tp AS (SELECT b, pr, sum(n) AS n FROM cb GROUP BY ALL),
+   ob AS (SELECT b, sum(n) AS n, sum(CASE WHEN tr=pr THEN n ELSE 0 END) AS hits, sum(n*abs(tr-pr)) AS err, sum(n*(tr-pr)*(tr-pr)) AS sq FROM cb GROUP BY b), ex AS (SELECT b, sum(ta.n*tp.n*(tr-pr)*(tr-pr)) AS e FROM ta JOIN tp USING (b) GROUP BY b),
+   lv AS (SELECT b, 'accuracy' AS metric, hits/n AS v FROM ob UNION ALL SELECT b, 'mae', err/n FROM ob UNION ALL SELECT b, 'quadratic_kappa', CASE WHEN e>0 THEN 1-sq/(e/n) END FROM ob JOIN ex USING (b)) {_ENDS}""")
+def _(t):
+    c = ST.resampled_confusion(_graded_patients(t), ST.bootstrap_hits(t.cases, B), B)
+    return _ends(t, GM.grade_summary(c, ["b"]), ["accuracy", "mae", "quadratic_kappa"])
+
+
+@query("p12_bootstrap_calibration", _GPP + f""", c AS (SELECT patient_id, {_OWN} AS own, greatest(p2,p3,p4,p5) AS conf, tr=pr AS ok, p2*p2+p3*p3+p4*p4+p5*p5-2*({_OWN})+1 AS brier FROM gq),
+   bb AS (SELECT b, least(floor(conf*10),9) AS bin, sum(w) AS n, sum(w*brier) AS brier, sum(w*-ln(greatest(own,1e-7))) AS nll, sum(w*conf) AS sc, sum(w*ok::INT) AS so FROM c JOIN wt USING (patient_id) GROUP BY ALL),
+   fb AS (SELECT b, sum(brier)/sum(n) AS brier, sum(nll)/sum(n) AS nll, sum(abs(so-sc))/sum(n) AS ece, sum(sc)/sum(n) AS conf FROM bb GROUP BY b),
+   lv AS (SELECT b, 'brier' AS metric, brier AS v FROM fb UNION ALL SELECT b, 'nll', nll FROM fb UNION ALL SELECT b, 'ece', ece FROM fb UNION ALL SELECT b, 'mean_confidence', conf FROM fb) {_ENDS}""")
+def _(t):
+    c = ST.resampled_calibration(_graded_patients(t), ST.bootstrap_hits(t.cases, B), B)
+    return _ends(t, c, ["brier", "nll", "ece", "mean_confidence"])
+
+
 @query("p12_bootstrap_auroc", _GPP + _AUCS + f" SELECT b, {R('auroc')} AS auroc FROM au_a")
 def _(t):
     return _aurocs(t).filter("model = 'a'").select("b", r6("auroc"))
@@ -331,6 +355,28 @@ def _(t):
     return GM.grade_auroc(rows, ["subgroup"]).filter("grade > 0").select("subgroup", "grade", r6("auroc"))
 
 
+_SUBS = """sg AS (SELECT 'all' AS subgroup, * FROM gq UNION ALL SELECT 'even', * FROM gq WHERE det_id%2=0 UNION ALL SELECT 'top', * FROM gq WHERE tr=5),
+   sx AS (SELECT subgroup, patient_id, row_number() OVER (PARTITION BY subgroup ORDER BY patient_id)-1 AS idx, count(*) OVER (PARTITION BY subgroup) AS n FROM (SELECT DISTINCT subgroup, patient_id FROM sg)),
+   sd AS (SELECT subgroup, b, """ + draw_sql("b", "idx") + f"""%n AS idx FROM sx, (SELECT unnest(range(0,{B})) AS b)),
+   sw AS (SELECT subgroup, b, patient_id, count(*) AS w FROM sd JOIN sx USING (subgroup, idx) GROUP BY ALL UNION ALL SELECT subgroup, -1, patient_id, 1 FROM sx)""" + "".join(
+    f""", {m} AS (SELECT subgroup, b, avg(a) AS auroc FROM (SELECT subgroup, b, g, CASE WHEN sum(pw)>0 AND sum(nw)>0 THEN sum(pw*(cum-nw/2.0))/(sum(pw)*sum(nw)) END AS a FROM
+       (SELECT *, sum(nw) OVER (PARTITION BY subgroup, b, g ORDER BY p) AS cum FROM (SELECT subgroup, b, g, p, sum(CASE WHEN tr=g THEN w ELSE 0 END) AS pw, sum(CASE WHEN tr<>g THEN w ELSE 0 END) AS nw FROM
+         ({' UNION ALL '.join(f"SELECT subgroup, patient_id, tr, {g} AS g, p{q} AS p FROM sg" for g, q in zip((2, 3, 4, 5), cols))}) JOIN sw USING (subgroup, patient_id) GROUP BY ALL)) GROUP BY subgroup, b, g) GROUP BY subgroup, b)"""
+    for m, cols in (("sa", (2, 3, 4, 5)), ("sb", (3, 4, 5, 2)))) + f""", dl AS (SELECT subgroup, b, sa.auroc AS a, sb.auroc AS b2, sa.auroc-sb.auroc AS d FROM sa JOIN sb USING (subgroup, b)),
+   iv AS (SELECT subgroup, max(a) FILTER (WHERE b=-1) AS a, max(b2) FILTER (WHERE b=-1) AS b2, max(d) FILTER (WHERE b=-1) AS point, quantile_cont(d,0.025) FILTER (WHERE b>=0) AS lo, quantile_cont(d,0.975) FILTER (WHERE b>=0) AS hi, count(d) FILTER (WHERE b>=0) AS valid, count(*) FILTER (WHERE b>=0 AND d IS NULL) AS undefined FROM dl GROUP BY subgroup),
+   sz AS (SELECT subgroup, count(*) AS n, count(DISTINCT patient_id) AS patients FROM sg GROUP BY subgroup)
+   SELECT m.subgroup, coalesce(n,0) AS n, coalesce(patients,0) AS patients, {R('a')} AS auroc_a, {R('b2')} AS auroc_b, {R('CASE WHEN valid>0 THEN point END')} AS point, {R('CASE WHEN point IS NOT NULL THEN lo END')} AS lower, {R('CASE WHEN point IS NOT NULL THEN hi END')} AS upper,
+   coalesce(valid,0) AS valid, coalesce(undefined,0) AS undefined, CASE WHEN n IS NULL THEN 'empty' WHEN point IS NULL OR valid=0 THEN 'undefined' ELSE 'defined' END AS status
+   FROM (VALUES ('all'),('even'),('top'),('none')) m(subgroup) LEFT JOIN sz USING (subgroup) LEFT JOIN iv USING (subgroup)"""
+
+
+@query("p18_paired_delta", _GPP + ", " + _SUBS)
+def _(t):
+    members = {"all": F.lit(True), "even": F.col("det_id") % 2 == 0, "top": F.col("true") == 5, "none": F.col("true") > 5}
+    d = ST.subgroup_delta(_graded_patients(t), members, ["p2", "p3", "p4", "p5"], ["p3", "p4", "p5", "p2"], B)
+    return d.select("subgroup", "n", "patients", *[r6(c) for c in ("auroc_a", "auroc_b", "point", "lower", "upper")], "valid", "undefined", "status")
+
+
 @query("p19_one_per_grade", "SELECT grade, case_id, gt_id FROM (SELECT *, row_number() OVER (PARTITION BY grade ORDER BY case_id, gt_id) AS r FROM gt WHERE supervised) WHERE r=1")
 def _(t):
     return SP.one_per_grade(t.gt, ["case_id", "gt_id"]).select("grade", "case_id", "gt_id")

@@ -316,3 +316,32 @@ def test_components_of_a_large_group_are_settled(spark, monkeypatch):
     parts = [(i, i + 1) for i in range(60) if i % 15 != 14] + [(i, i + 1) for i in range(100, 140)]
     got, _ = in_rounds(spark, monkeypatch, {"x": (150, parts)}, 30, True)
     assert got == {"x": kept_in_order(150, parts)}
+
+
+@pytest.mark.parametrize("scores", [7, 1])
+def test_resamples_in_one_pass_equal_rows_per_patient(spark, scores):
+    """Few scores, so that ties go over the ends of ranges; one hot patient; a patient without rows."""
+    from boxtally.operators import stats as ST
+
+    n = 12
+    base = spark.range(400).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11).cast("long").alias("patient_id"), (2 + F.col("id") % 4).alias("true"),
+        (2 + F.expr("id * 7 % 13 % 4")).alias("predicted"), *[(F.expr(f"id * {k} % 31 % {scores}") / 8.0).alias(f"p{g}") for g, k in zip((2, 3, 4, 5), (3, 5, 7, 11))],
+    )
+    patients = spark.range(12).select(F.col("id").alias("patient_id"))
+    weights, hits = ST.bootstrap_weights(patients, n, point=True), ST.bootstrap_hits(patients, n)
+    cells = ["b", "true", "predicted", "n"]
+    assert rows(ST.resampled_confusion(base, hits, n).select(*cells)) == rows(ST.weighted_confusion(base, weights).select(*cells))
+    models = {"a": ["p2", "p3", "p4", "p5"], "b": ["p5", "p4", "p3", "p2"]}
+    value = lambda df: {(r["b"], r["model"]): r["auroc"] for r in df.collect()}
+    assert value(ST.resampled_macro_auroc(base, hits, n, models)) == pytest.approx(value(ST.weighted_macro_auroc(base, weights, models)))
+    from boxtally.operators.grade_metrics import calibration
+
+    drawn = {(r["b"], r["patient_id"]): r["w"] for r in weights.collect()}
+    per = {r["b"]: r for r in ST.resampled_calibration(base, hits, n).collect()}
+    for b in (ST.POINT, 0, 5):
+        copies = base.crossJoin(F.broadcast(spark.range(n * 4).select(F.col("id").alias("copy"))))
+        w = spark.createDataFrame([(p, c) for (x, p), c in drawn.items() if x == b], "patient_id long, w long")
+        want = calibration(copies.join(w, "patient_id").filter("copy < w")).first()
+        for name in ("n", "brier", "nll", "ece", "mean_confidence"):
+            assert per[b][name] == pytest.approx(want[name]), name
