@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from boxtally.operators.audit import retention_records
@@ -30,7 +32,11 @@ _BOX6 = ("x1", "y1", "x2", "y2", "z1", "z2")
 
 @query("s1_read_detections", f"SELECT (det_id//20)::VARCHAR AS case_id, row_number() OVER (PARTITION BY det_id//20 ORDER BY det_id)-1 AS det_id, label, {R('score')} AS score, x1, z2, {R('p3')} AS p3 FROM det")
 def _(t):
-    rows = _packed(t.det.withColumn("probs", F.array("p2", "p3", "p4", "p5")), "det_id DIV 20", "det_id", ["label", "score", *_BOX6, "probs"])
+    # scores of the tables may exceed 1, those of a prediction file may not: they are stored divided by a power of two, which loses no digit
+    top = t.det.agg(F.max(F.when(F.abs("score") < float("inf"), F.col("score")))).first()[0]
+    unit = 2.0 ** max(0, math.ceil(math.log2(top))) if top and top > 1 else 1.0
+    det = t.det.withColumn("probs", F.array("p2", "p3", "p4", "p5")).withColumn("score", F.col("score") / unit)
+    rows = _packed(det, "det_id DIV 20", "det_id", ["label", "score", *_BOX6, "probs"])
     files = rows.select(
         "case_id", F.transform("r", lambda e: F.array(*[e[c] for c in _BOX6])).alias("pred_boxes"), F.col("r.score").alias("pred_scores"),
         F.col("r.label").alias("pred_labels"), F.col("r.probs").alias("pred_grade_probs"),
@@ -38,7 +44,7 @@ def _(t):
     path = fresh_path(t.spark)
     WR.write_once(files, path, "json")
     d = RD.read_detections(t.spark, path)
-    return d.select("case_id", "det_id", "label", r6("score"), "x1", "z2", r6(F.col("grade_probs")[1], "p3"))
+    return d.select("case_id", "det_id", "label", r6(F.col("score") * unit, "score"), "x1", "z2", r6(F.col("grade_probs")[1], "p3"))
 
 
 @query("s1_detection_violations", "SELECT (det_id//20)::VARCHAR AS case_id, 'bad_score' AS rule FROM det GROUP BY det_id//20 HAVING max(score)*2>1 UNION ALL SELECT (det_id//20)::VARCHAR, 'length_mismatch' FROM det WHERE (det_id//20)%3=0 GROUP BY det_id//20")
@@ -185,10 +191,12 @@ def event_stream(t, parts=4):
     """The events in order of time as a stream of several files, one to a micro-batch."""
     events = t("events")
     path = fresh_path(t.spark)
-    cut = F.percentile_approx("ts", F.array(*[F.lit(i / parts) for i in range(1, parts)]))
-    cuts = events.agg(cut.alias("c"))
-    part = F.size(F.filter("c", lambda c: c < F.col("ts")))
-    cut_up = events.join(F.broadcast(cuts)).withColumn("part", part).drop("c")
+    at = F.col("ts").cast("timestamp").cast("double")
+    cut = F.percentile_approx(at, F.array(*[F.lit(i / parts) for i in range(1, parts)]))
+    cuts = events.agg(cut.alias("c")).first().c or []  # three numbers
+    # as literals: a filter on a column made from a joined row of cuts is pushed to the wrong side of the join on larger tables
+    part = sum([F.when(at > c, 1).otherwise(0) for c in cuts], F.lit(0))
+    cut_up = events.withColumn("part", part)
     for i in range(parts):  # one write per file, so that the files are as old as their rows are in order
         cut_up.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
