@@ -141,11 +141,11 @@ def _packed(z: Column, y: Column, x: Column) -> Column:
 
 
 def _runs(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Voxels with the id of the unbroken run along x they belong to, named by its first voxel."""
+    """The unbroken runs along x from ``a`` to ``b``, with an id named by the first voxel."""
     row = Window.partitionBy(*keys, "z", "y").orderBy("x")
     island = voxels.withColumn("_i", F.col("x") - F.row_number().over(row))
-    whole = Window.partitionBy(*keys, "z", "y", "_i")
-    return island.withColumn("x1", F.min("x").over(whole)).withColumn("run", _packed(F.col("z"), F.col("y"), F.col("x1"))).drop("_i")
+    runs = island.groupBy(*keys, "z", "y", "_i").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_i")
+    return runs.withColumn("run", _packed(F.col("z"), F.col("y"), F.col("a")))
 
 
 def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class"), min_voxels: int = 0) -> DataFrame:
@@ -157,8 +157,8 @@ def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class
     """
     k = list(keys)
     thin = voxels.select(*k, *AXES).distinct()
-    tagged = cut_lineage(_runs(thin, k))
-    runs = tagged.groupBy(*k, "z", "y", "run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    # compressed, a table of runs looks small enough to be broadcast and is not
+    runs = cut_lineage(_runs(thin, k)).hint("merge")
     # half of the neighbouring rows is enough, edges are undirected
     step = F.explode(F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("s")
     up = runs.select(*k, F.col("run").alias("u"), F.col("a").alias("ua"), F.col("b").alias("ub"), "z", "y", step).select(
@@ -172,7 +172,8 @@ def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class
     sizes = runs.join(labels, [*k, "run"]).groupBy(*k, "component").agg(F.sum(F.col("b") - F.col("a") + 1).alias("voxels"))
     sizes = cut_lineage(sizes.filter(F.col("voxels") > min_voxels))
     ids = number_rows(sizes, k, [F.asc("component")], "instance_id")
-    return tagged.select(*k, *AXES, "run").join(labels, [*k, "run"]).join(ids, [*k, "component"]).drop("run")
+    found = runs.select(*k, "z", "y", "a", "b", "run").join(labels, [*k, "run"]).join(ids, [*k, "component"])
+    return found.select(*k, "component", "z", "y", F.explode(F.sequence("a", "b")).alias("x"), "voxels", "instance_id")
 
 
 def voted_components(voxels: DataFrame, cls: str = "class") -> DataFrame:
@@ -288,19 +289,18 @@ def distance_summary(distances: DataFrame, keys: Sequence[str]) -> DataFrame:
 def dilation_sweep(lesion: DataFrame, gland: DataFrame, steps: int = 3, keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """Containment after 0..steps dilations of the gland with the six-neighbour element.
 
-    A voxel is covered after r dilations iff its city-block distance to the gland is at most r, so
-    each lesion voxel looks at the fixed set of offsets up to ``steps``.
+    A voxel is covered after r dilations iff its city-block distance to the gland is at most r. That distance adds up
+    over the axes, so the gland is widened along one axis after the other, each voxel keeping its least distance.
     """
-    offsets = [(dz, dy, dx) for dz in range(-steps, steps + 1) for dy in range(-steps, steps + 1) for dx in range(-steps, steps + 1) if abs(dz) + abs(dy) + abs(dx) <= steps]
-    axis = lambda i: F.array(*[F.lit(o[i]) for o in offsets])
-    probes = F.arrays_zip(axis(0).alias("dz"), axis(1).alias("dy"), axis(2).alias("dx"))
-    look = lesion.withColumn("_id", _packed(F.col("z"), F.col("y"), F.col("x"))).select(
-        *keys, "_id", *([] if "case_id" in keys else ["case_id"]), *AXES, F.explode(probes).alias("s")
-    )
-    look = look.select(*keys, "_id", *[(F.col(a) + F.col(f"s.d{a}")).alias(a) for a in AXES],
-                       (F.abs("s.dz") + F.abs("s.dy") + F.abs("s.dx")).alias("r"))
-    hit = look.join(gland.select(*VOXEL).distinct().withColumn("_g", F.lit(True)), list(VOXEL), "left")
-    best = hit.groupBy(*keys, "_id").agg(F.min(F.when(F.col("_g"), F.col("r"))).alias("r"))
+    near = gland.select(*VOXEL).distinct().withColumn("r", F.lit(0))
+    moves = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(abs(d)).alias("n")) for d in range(-steps, steps + 1)])).alias("s")
+    for a in AXES:
+        rest = [c for c in VOXEL if c != a]
+        wide = near.select(*VOXEL, "r", moves).filter(F.col("r") + F.col("s.n") <= steps)
+        near = wide.select(*rest, (F.col(a) + F.col("s.d")).alias(a), (F.col("r") + F.col("s.n")).alias("r")).groupBy(*VOXEL).agg(F.min("r").alias("r"))
+    look = lesion.withColumn("_id", _packed(F.col("z"), F.col("y"), F.col("x")))
+    hit = look.select(*keys, "_id", *[c for c in VOXEL if c not in keys]).join(near, list(VOXEL), "left")
+    best = hit.groupBy(*keys, "_id").agg(F.min("r").alias("r"))
     return best.groupBy(*keys).agg(*[F.avg(F.when(F.col("r") <= s, 1.0).otherwise(0.0)).alias(f"containment_{s}") for s in range(steps + 1)])
 
 

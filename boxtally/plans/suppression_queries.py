@@ -122,7 +122,7 @@ def _(t):
 
 @query("d11_tile_overlap_median", _TILES + f", n AS (SELECT v.gt_id, v.z, v.y, v.x, count(t.tile) AS n FROM voxels v LEFT JOIN tl t ON v.x>=t.x1 AND v.x<t.x2 AND v.y>=t.y1 AND v.y<t.y2 AND v.z>=t.z1 AND v.z<t.z2 GROUP BY ALL) SELECT gt_id, {R('quantile_cont(n,0.5)')} AS n_expected FROM n GROUP BY gt_id", views="gt cases voxels")
 def _(t):
-    return D.tile_cover_median(t.voxels, _tiles(t), ["gt_id"]).select("gt_id", r6("n_expected"))
+    return D.tile_cover_median(t.voxels, _tiles(t), ["case_id", "gt_id"]).select("gt_id", r6("n_expected"))
 
 
 _TOUCH = " AND ".join(f"least(a.{c}2,b.{c}2)-greatest(a.{c}1,b.{c}1) >= 0" for c in "xyz")

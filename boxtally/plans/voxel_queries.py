@@ -293,7 +293,7 @@ def _(t):
 
 @query("v24_instances_to_classes", "SELECT case_id, label+1 AS class, count(*) AS n FROM voxels GROUP BY ALL", views="voxels")
 def _(t):
-    mapping = t.gt.select("case_id", F.col("gt_id").alias("instance_id"), F.col("label").alias("class"))
+    mapping = t.boxes.select("case_id", F.col("gt_id").alias("instance_id"), F.col("label").alias("class"))
     v = t.voxels.select("case_id", F.col("gt_id").alias("instance_id"), "z", "y", "x")
     return instance_classes(v, mapping, background=True).groupBy("case_id", "class").agg(F.count(F.lit(1)).alias("n"))
 

@@ -87,6 +87,10 @@ def duck_views(*names: str) -> str:
     return ", ".join(f"{n} AS ({text[n]})" for n in ordered)
 
 
+#: Events whose boxes make one partition of voxels, some 0.7 million.
+EVENTS_A_PARTITION = 20_000
+
+
 class Tables:
     """The supplied tables plus the derived views, loaded lazily."""
 
@@ -116,11 +120,24 @@ class Tables:
     def cases(self) -> DataFrame:
         return self._view("cases", "events", self("events"))
 
+    @cached_property
+    def boxes(self) -> DataFrame:
+        """``gt`` dealt out by case, in partitions whose number grows with the events."""
+        parts = max(
+            int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism,
+            -(-self("events").count() // EVENTS_A_PARTITION),
+        )
+        return self.gt.repartition(parts, "case_id")
+
     @cached_property
     def voxels(self) -> DataFrame:
+        """One row per voxel of each box, dealt out by case like ``boxes``.
+
+        Joins and groups whose keys hold the case need no further shuffle of voxels. Spark takes the table to be as small
+        as the boxes, so the hint keeps it from being broadcast.
+        """
         axis = "explode(sequence(CAST({0}1 AS BIGINT), CAST({0}2 AS BIGINT) - 1)) AS {0}"
-        # one box becomes hundreds of voxels: spread the boxes before exploding them
-        df = self.gt.repartition(self.spark.sparkContext.defaultParallelism, "gt_id")
+        df = self.boxes.hint("merge")
         keep = ["case_id", "gt_id", "label", "grade"]
         df = df.selectExpr(*keep, "x1", "x2", "y1", "y2", axis.format("z"))
         df = df.selectExpr(*keep, "x1", "x2", "z", axis.format("y"))

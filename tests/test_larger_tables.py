@@ -1,10 +1,13 @@
 """Queries on odd and larger tables: own rows, and what used to fail on them."""
 
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from boxtally.operators import stats as ST
+from boxtally.operators import voxels as V
 from boxtally.plans import source_queries as SQ
 from boxtally.plans.catalogue import QUERIES
 from boxtally.sources.derived import Tables
@@ -31,3 +34,35 @@ def test_stream_holds_every_event_in_order_of_time(spark, tmp_path, null_ts):
     SQ.event_stream(Tables(spark, folder))
     counters = QUERIES["t3_running_counters"](spark, folder).agg(F.sum("n")).first()[0]
     assert counters == 40
+
+
+def test_voxels_are_neither_shuffled_nor_broadcast_to_meet_those_of_their_case(spark, tmp_path):
+    t = Tables(spark, events_dir(spark, tmp_path, 400))
+    gland = t.voxels.filter("label = 0").select("case_id", "z", "y", "x").distinct()
+    met = t.voxels.filter("label = 1").join(gland, ["case_id", "z", "y", "x"], "left").groupBy("case_id", "z", "y", "x").count()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM")
+
+
+def test_dilation_sweep_is_the_city_block_distance(spark):
+    gland = {(0, 0, 0), (0, 0, 1), (4, 2, 1)}
+    spots = [(z, y, x) for z in range(6) for y in range(4) for x in range(5)]
+    frame = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "case_id long, z long, y long, x long")
+    got = V.dilation_sweep(frame(spots), frame(gland)).first()
+    near = [min(sum(abs(a - b) for a, b in zip(s, g)) for g in gland) for s in spots]
+    for k in range(4):
+        assert got[f"containment_{k}"] == pytest.approx(sum(r <= k for r in near) / len(near))
+    plan = V.dilation_sweep(frame(spots), frame(gland))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate explode(array(struct(d, -3") == 3
+
+
+def test_temperature_fit_shuffles_sums_only(spark):
+    rows = spark.createDataFrame([(2 + i % 4, 0.4, 0.3, 0.2, 0.1) for i in range(200)], "true long, p2 double, p3 double, p4 double, p5 double")
+    fit = ST.fit_temperature(rows, ["p2", "p3", "p4", "p5"], steps=101)
+    assert "Generate" not in fit._jdf.queryExecution().executedPlan().toString()
+    found = fit.first()
+    mean = lambda t: sum(math.log(sum(p ** (1 / t) for p in (0.4, 0.3, 0.2, 0.1))) - math.log(q) / t for q in (0.4, 0.3, 0.2, 0.1)) / 4
+    grid = [0.05 * 400.0 ** (i / 100) for i in range(101)]
+    assert found.temperature == pytest.approx(min(grid, key=mean)) and found.nll == pytest.approx(min(map(mean, grid)))
+    empty = ST.fit_temperature(rows.filter(F.col("true") == 9), ["p2", "p3", "p4", "p5"])
+    assert empty.first().temperature is None
