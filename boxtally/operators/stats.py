@@ -256,20 +256,32 @@ def verdict(point: Column, lower: Column, floor: float = 0.70) -> Column:
 def fit_temperature(rows: DataFrame, probs: Sequence[str], steps: int = 801, low: float = 0.05, high: float = 20.0, floor: float = 1e-7) -> DataFrame:
     """Temperature of least mean NLL on a log-spaced grid (the first on ties): one row.
 
-    The grid is a fixed-size literal, so each row is evaluated against it inside one task and only
-    per-temperature sums are shuffled.
+    Each task adds up its rows for all temperatures at once, so what is shuffled is a row per task and temperature.
     """
     logs = [F.log(F.greatest(F.lit(floor), F.least(F.col(p), F.lit(1.0)))) for p in probs]
-    ratio = high / low
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.struct(i.alias("i"), (F.lit(low) * F.pow(F.lit(ratio), i / F.lit(steps - 1.0))).alias("t")))
     base = rows.select(F.array(*logs).alias("l"), (F.col("true") - GRADES[0]).cast("int").alias("k"))
-    base = base.withColumn("own", F.col("l")[F.col("k")]).withColumn("top", F.array_max("l"))
-    each = base.select("l", "own", "top", F.explode(grid).alias("g"))
-    t = F.col("g.t")
-    norm = F.aggregate("l", F.lit(0.0), lambda acc, v: acc + F.exp((v - F.col("top")) / t))
-    nll = -((F.col("own") - F.col("top")) / t - F.log(norm))
-    means = each.select("g.i", t.alias("t"), nll.alias("nll")).groupBy("i", "t").agg(F.avg("nll").alias("nll"))
-    return means.agg(F.min_by(F.struct(F.col("t").alias("temperature"), "nll"), F.struct("nll", "i")).alias("m")).select("m.*")
+    base = base.select("l", F.col("l")[F.col("k")].alias("own"))
+    t = low * (high / low) ** (np.arange(steps) / (steps - 1.0))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, seen = np.zeros(steps), 0, False
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                seen = True
+                own = part.column("own").to_numpy(zero_copy_only=False).astype(float)
+                known = ~np.asarray(part.column("own").is_null())
+                l = np.array(part.column("l").to_pylist(), dtype=float)[known]
+                gap = l - l.max(axis=1, keepdims=True)
+                norm = sum(np.exp(gap[:, i, None] / t) for i in range(gap.shape[1]))
+                total += (np.log(norm) - (own[known] - l.max(axis=1))[:, None] / t).sum(axis=0)
+                n += int(known.sum())
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps)), pa.array(total), pa.array(np.full(steps, n))], ["i", "s", "n"])
+
+    sums = base.mapInArrow(add, "i bigint, s double, n bigint").groupBy("i").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("nll"))
+    at = (F.lit(low) * F.pow(F.lit(high / low), F.col("i") / F.lit(steps - 1.0))).alias("temperature")
+    return sums.agg(F.min_by(F.struct(at, "nll"), F.struct("nll", "i")).alias("m")).select("m.*")
 
 
 def conflicting_labels(features: DataFrame, keys: Sequence[str] = ("case_id", "instance_id")) -> DataFrame:
