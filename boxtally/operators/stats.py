@@ -20,6 +20,13 @@ GRADES = (2, 3, 4, 5)
 POINT = -1
 
 
+def _dealt_out(index: DataFrame) -> DataFrame:
+    """The numbered patients over all tasks: the window that numbers them leaves each group in one, where all draws would be made."""
+    spark = index.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return index.repartition(parts, "idx")
+
+
 def bootstrap_weights(patients: DataFrame, samples: int, point: bool = False) -> DataFrame:
     """How often each patient is drawn in each resample: (b, patient_id, w).
 
@@ -29,7 +36,7 @@ def bootstrap_weights(patients: DataFrame, samples: int, point: bool = False) ->
     """
     index = dense_index(patients.select("patient_id").distinct(), [F.asc("patient_id")])
     total = index.agg(F.count(F.lit(1)).alias("_n"))
-    draws = index.join(F.broadcast(total)).select(F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    draws = _dealt_out(index.join(F.broadcast(total))).select(F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
     hit = draws.select(F.col("b").cast("long").alias("b"), (draw(F.col("b"), F.col("j")) % F.col("_n")).alias("idx"))
     counts = hit.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
     drawn = counts.join(index, "idx").select("b", "patient_id", "w")
@@ -48,7 +55,7 @@ def bootstrap_hits(patients: DataFrame, samples: int, keys: Sequence[str] = ())
     index = dense_index(patients.select(*k, "patient_id").distinct(), [F.asc("patient_id")], k)
     total = index.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
     sized = index.join(F.broadcast(total), k) if k else index.join(F.broadcast(total))
-    draws = sized.select(*k, F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    draws = _dealt_out(sized).select(*k, F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
     hit = draws.select(*k, "b", (draw(F.col("b"), F.col("j")) % F.col("_n")).alias("idx"))
     per = hit.groupBy(*k, "idx").agg(F.collect_list("b").alias("hits"))
     return index.join(per, [*k, "idx"], "left").select(*k, "patient_id", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))

@@ -66,3 +66,13 @@ def test_temperature_fit_shuffles_sums_only(spark):
     assert found.temperature == pytest.approx(min(grid, key=mean)) and found.nll == pytest.approx(min(map(mean, grid)))
     empty = ST.fit_temperature(rows.filter(F.col("true") == 9), ["p2", "p3", "p4", "p5"])
     assert empty.first().temperature is None
+
+
+@pytest.mark.parametrize("keys", [[], ["subgroup"]])
+def test_draws_of_the_bootstrap_are_dealt_out_before_they_are_made(spark, keys):
+    patients = spark.range(50).select(F.col("id").alias("patient_id"), F.lit("all").alias("subgroup"))
+    hits = ST.bootstrap_hits(patients, 20, keys)
+    assert hits.select(F.sum(F.size("hits"))).first()[0] == 50 * 20
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    made = plan[plan.index("Generate explode") :]
+    assert made.index("REPARTITION_BY_NUM") < made.index("Window")
