@@ -138,7 +138,8 @@ def distance_to_mask(voxels: DataFrame, mask: DataFrame, cases: DataFrame, spaci
     asked = voxels.select("case_id", *whole).distinct().withColumn("tx", F.floor(F.col("x") / TILE_X)).withColumn("ty", F.floor(F.col("y") / TILE_Y))
     column = F.sort_array(F.collect_set(F.struct("x", "y"))).alias("columns")
     tiles = asked.groupBy(*tile).agg(column, F.collect_list(F.struct("x", "y", "z")).alias("voxels")).join(sp, "case_id")
-    tiles = cut_lineage(tiles)
+    # compressed, a table of tiles looks small enough to be broadcast and is not
+    tiles = cut_lineage(tiles).hint("merge")
     slices = mask.select("case_id", *whole).groupBy("case_id", "z").agg(F.collect_list(F.struct("y", "x")).alias("g"))
     met = tiles.select(*tile, "columns", "sx", "sy").join(slices, "case_id").select(
         *tile, "z", "sx", "sy", F.col("g.y").alias("gy"), F.col("g.x").alias("gx"), F.col("columns.x").alias("cx"), F.col("columns.y").alias("cy")

@@ -24,10 +24,11 @@ def _same(keys: Sequence[str]) -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: Sequence[float], name: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: Sequence[float], name: str = "q", few: bool = False) -> DataFrame:
     """(keys, ``name``): an array with the interpolated ``quantiles`` of every group that has a value.
 
     Equals ``percentile``: nulls don't count, NaN is above all numbers. Without keys there is one row, or none.
+    ``few`` says that the number of groups is bounded, so that the wanted ranks may be broadcast.
     """
     v = F.col(value) if isinstance(value, str) else value
     own = list(keys) or ["_all"]
@@ -43,6 +44,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qua
         wanted += [F.struct(F.lit(i).alias("i"), f(at).cast("long").alias("rank"), F.lit(upper).alias("upper"), at.alias("at")) for upper, f in ((False, F.floor), (True, F.ceil))]
     here = F.filter(F.array(*wanted), lambda w: (w.rank >= F.col("_before")) & (w.rank < F.col("_before") + F.col("_t")))
     asked = parts.select(*_renamed(own), F.col("_part").alias("_at_part"), "_before", here.alias("_asked")).filter(F.size("_asked") > 0)
+    # compressed, a table of values looks small enough to be broadcast and is not
+    asked = F.broadcast(asked) if few or not keys else asked.hint("merge")
     near = placed.join(asked, [*_same(own), F.col("_part") == F.col("_at_part")])
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*own, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     summed = near.select(*own, "_v", "_c", "_asked", upto.alias("_upto"))
@@ -59,7 +62,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qua
 def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: Mapping[str, float]) -> DataFrame:
     """``stats``, which has a row for each group, with a column for each of the named quantiles; null where a group has no value."""
     q = exact_quantiles(df, keys, value, list(quantiles.values()), "_q").select(*_renamed(keys), "_q")
-    joined = stats.join(q, _same(keys), "left") if keys else stats.join(F.broadcast(q), how="left")  # one row
+    joined = stats.join(q.hint("merge"), _same(keys), "left") if keys else stats.join(F.broadcast(q), how="left")  # one row
     return joined.select(*stats.columns, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)])
 
 
@@ -67,5 +70,5 @@ def column_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]])
     """One row with a column for each of ``wanted``, a quantile of a column over all rows."""
     entries = [F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, (c, _) in wanted.items()]
     levels = sorted({q for _, q in wanted.values()})
-    q = exact_quantiles(df.select(F.explode(F.array(*entries)).alias("e")).select("e.*"), ["name"], "v", levels)
+    q = exact_quantiles(df.select(F.explode(F.array(*entries)).alias("e")).select("e.*"), ["name"], "v", levels, few=True)
     return q.agg(*[F.max(F.when(F.col("name") == n, F.col("q")[levels.index(p)])).alias(n) for n, (_, p) in wanted.items()])

@@ -277,7 +277,8 @@ def erode(voxels: DataFrame, steps: int = 1) -> DataFrame:
 def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str]) -> DataFrame:
     """Voxels outside the gland with the distance in mm to its nearest voxel, null where a case has no gland."""
     out = lesion.join(gland.select(*VOXEL).distinct(), list(VOXEL), "left_anti")
-    return out.join(distance_to_mask(out, gland, cases, spacing), list(VOXEL), "left")
+    # a join loses the hint of its sides, and what is left of the voxels looks as small as the boxes they come from
+    return out.join(distance_to_mask(out, gland, cases, spacing).hint("merge"), list(VOXEL), "left")
 
 
 def distance_summary(distances: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -369,7 +370,8 @@ def occupancy(source: DataFrame, anatomy: DataFrame, placements: DataFrame, zone
     moved = placements.join(source, "source_id").select(
         placements["*"], *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES]
     )
-    j = moved.join(anatomy.select(*VOXEL, "anatomy"), list(VOXEL), "left")
+    # a join loses the hint of its sides, and the voxels look as small as the boxes they come from
+    j = moved.join(anatomy.select(*VOXEL, "anatomy").hint("merge"), list(VOXEL), "left")
     gland = F.coalesce(F.col("anatomy") > 0, F.lit(False)).cast("double")
     zone = F.coalesce(F.col("anatomy") == zone_code, F.lit(False)).cast("double")
     return j.groupBy("placement_id").agg(F.avg(gland).alias("gland_fraction"), F.avg(zone).alias("zone_fraction"))
