@@ -105,7 +105,7 @@ def resampled_sums(sums: DataFrame, hits: DataFrame, samples: int, cells: Sequen
             yield _per_resample(name, names, list(vectors), values)
 
     ddl = ", ".join([_ddl(sums, names), "b bigint", *[f"{v} double" for v in values]])
-    parts = own.join(hits, [*k, "patient_id"]).select(*k, "own", "hits").mapInArrow(add, ddl)
+    parts = own.join(hits.hint("merge"), [*k, "patient_id"]).select(*k, "own", "hits").mapInArrow(add, ddl)
     return parts.groupBy(*names, "b").agg(*[F.sum(v).alias(v) for v in values])
 
 
@@ -138,7 +138,7 @@ def resampled_macro_auroc(pairs: DataFrame, hits: DataFrame, samples: int, model
         F.sum((F.col("true") == F.col("g")).cast("double")).alias("pos"), F.sum((F.col("true") != F.col("g")).cast("double")).alias("neg")
     )
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = scored.join(hits, [*keys, "patient_id"]).repartitionByRange(parts, *names, "p", "patient_id").sortWithinPartitions(*names, "p")
+    placed = scored.join(hits.hint("merge"), [*keys, "patient_id"]).repartitionByRange(parts, *names, "p", "patient_id").sortWithinPartitions(*names, "p")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tie_row(name, p, pos, neg):
