@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boxtally.operators.curves import number_rows, union_all
 from boxtally.operators.order_stats import column_quantiles, with_quantiles
+from boxtally.session import cut_lineage
 
 GRADES = (2, 3, 4, 5)
 STAGES = ("source", "resampled", "inplane", "final")
@@ -160,24 +161,43 @@ def retention_exclusions(records: DataFrame) -> DataFrame:
 
 
 def check_retention(audit: DataFrame, manifest: DataFrame, data: DataFrame, splits: DataFrame) -> DataFrame:
-    """The retention audit against itself, the manifest, the kept data and the folds."""
+    """The retention audit against itself, the manifest, the kept data and the folds.
+
+    A case is one row of counts, made in one pass over the four tables, and its broken rules are read from them. Each
+    of its audit rows is held against every status that its own counts give; a null case equals no other.
+    """
     known = ["negative", "excluded_no_retained_voxels", "partially_clipped", "fully_retained"]
-    dup = audit.groupBy("case_id").count().filter("count > 1").select("case_id", F.lit("duplicate_case").alias("rule"))
-    own = retention_records(audit.select("case_id", *[f"{s}_{m}" for s in STAGES for m in ("voxels", "components")]))
-    j = audit.join(own.select("case_id", F.col("status").alias("_s")).distinct(), "case_id")
-    wrong = rule_violations(j, ["case_id"], {
-        "unknown_status": ~F.col("status").isin(known), "status_disagrees": F.col("status").isin(known) & (F.col("status") != F.col("_s")),
-    })
-    only = symmetric_difference(audit, manifest, ["case_id"], ("not_in_manifest", "not_in_audit"))
-    gone = audit.filter(F.col("status") == "excluded_no_retained_voxels").select("case_id").distinct()
-    kept = audit.filter(F.col("status").isin("partially_clipped", "fully_retained")).select("case_id").distinct()
-    tag = lambda df, rule: df.select("case_id", F.lit(rule).alias("rule"))
-    return union_all([
-        dup, wrong, only.select("case_id", F.col("only_in").alias("rule")),
-        tag(gone.join(data, "case_id", "left_semi"), "excluded_but_in_data"),
-        tag(gone.join(splits, "case_id", "left_semi"), "excluded_but_in_folds"),
-        tag(kept.join(data, "case_id", "left_anti"), "retained_but_missing"),
-    ])
+    own = retention_records(audit.select("case_id", F.col("status").alias("_given"), *[f"{s}_{m}" for s in STAGES for m in ("voxels", "components")]))
+    bits = {n: 1 << i for i, n in enumerate(["audit", "manifest", "data", "splits", *known])}
+    right = F.lit(bits["audit"])
+    for s in known:
+        right = right + F.when(F.col("status") == s, bits[s]).otherwise(0)
+    seen = own.select("case_id", "_given", right.alias("_seen"))
+    for name, df in (("manifest", manifest), ("data", data), ("splits", splits)):
+        seen = seen.unionByName(df.select("case_id", F.lit(None).cast("string").alias("_given"), F.lit(bits[name]).alias("_seen")))
+    per = seen.groupBy("case_id").agg(
+        F.bit_or("_seen").alias("_seen"), F.count(F.when(F.col("_seen").bitwiseAND(bits["audit"]) > 0, 1)).alias("_n"),
+        F.count(F.when(~F.col("_given").isin(known), 1)).alias("_odd"), *[F.count(F.when(F.col("_given") == s, 1)).alias(f"_{s}") for s in known],
+    )
+    has = lambda name: F.col("_seen").bitwiseAND(bits[name]) > 0
+    met = lambda name: has(name) & F.col("case_id").isNotNull()
+    once = lambda rule: F.when(rule, 1).otherwise(0)
+    owns = sum([once(has(s)) for s in known[1:]], once(has(known[0])))
+    off = sum([F.col(f"_{s}") * (owns - once(has(s))) for s in known[1:]], F.col(f"_{known[0]}") * (owns - once(has(known[0]))))
+    paired = lambda n: F.when(F.col("case_id").isNotNull(), n).otherwise(0)
+    gone, kept = F.col("_excluded_no_retained_voxels") > 0, F.col("_partially_clipped") + F.col("_fully_retained") > 0
+    counts = {
+        "duplicate_case": once(F.col("_n") > 1), "unknown_status": paired(F.col("_odd") * owns), "status_disagrees": paired(off),
+        "not_in_manifest": once(has("audit") & ~met("manifest")), "not_in_audit": once(has("manifest") & ~met("audit")),
+        "excluded_but_in_data": once(gone & met("data")), "excluded_but_in_folds": once(gone & met("splits")), "retained_but_missing": once(kept & ~met("data")),
+    }
+    broken = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), n.cast("long").alias("n")) for r, n in counts.items()]), lambda c: c.n > 0)
+    rows = per.select("case_id", F.explode(broken).alias("c")).select("case_id", "c.rule", "c.n")
+    # a case that is repeated very often is written in blocks
+    block = 4096
+    blocks = rows.select("case_id", "rule", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))).alias("i"))
+    times = F.least(F.lit(block).cast("long"), F.col("n") - F.col("i") * block).cast("int")
+    return blocks.select("case_id", F.explode(F.array_repeat("rule", times)).alias("rule"))
 
 
 def homogeneity_audit(entries: DataFrame, components: DataFrame) -> DataFrame:
@@ -288,6 +308,8 @@ def containment_gate(cases: DataFrame, min_each: float = 0.5, min_median: float
     A case is left out when it is contained by less than ``min_each`` and displaced by more than
     ``max_distance`` mm; the rest must have a median and a minimum at the limits or above.
     """
+    # read twice below, for the ends and for the quantiles
+    cases = cut_lineage(cases.select("containment", "p95_mm"))
     out = (F.col("containment") < min_each) & F.coalesce(F.col("p95_mm") > max_distance, F.lit(False))
     kept = F.when(~out, F.col("containment"))
     ends = cases.agg(
