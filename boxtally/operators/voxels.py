@@ -141,24 +141,18 @@ def _packed(z: Column, y: Column, x: Column) -> Column:
 
 
 def _runs(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The unbroken runs along x from ``a`` to ``b``, with an id named by the first voxel."""
+    """The unbroken runs along x from ``a`` to ``b``, with an id named by the first voxel; a voxel may be repeated."""
     row = Window.partitionBy(*keys, "z", "y").orderBy("x")
-    island = voxels.withColumn("_i", F.col("x") - F.row_number().over(row))
+    island = voxels.select(*keys, *AXES, (F.col("x") - F.dense_rank().over(row)).alias("_i"))
     runs = island.groupBy(*keys, "z", "y", "_i").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_i")
     return runs.withColumn("run", _packed(F.col("z"), F.col("y"), F.col("a")))
 
 
-def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class"), min_voxels: int = 0) -> DataFrame:
-    """Label connected voxels of a group over the full 26-neighbourhood.
-
-    Adds ``component`` (first voxel in scan order, packed) and the dense ``instance_id`` from 1.
-    Voxels are first reduced to runs along x, so the graph has one node per run; neighbouring rows
-    meet in an equi-join on (group, z, y).
-    """
+def _labelled_runs(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The runs of a group with their component."""
     k = list(keys)
-    thin = voxels.select(*k, *AXES).distinct()
     # compressed, a table of runs looks small enough to be broadcast and is not
-    runs = cut_lineage(_runs(thin, k)).hint("merge")
+    runs = cut_lineage(_runs(voxels, k)).hint("merge")
     # half of the neighbouring rows is enough, edges are undirected
     step = F.explode(F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("s")
     up = runs.select(*k, F.col("run").alias("u"), F.col("a").alias("ua"), F.col("b").alias("ub"), "z", "y", step).select(
@@ -169,10 +163,26 @@ def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class
     ).select(*k, "u", "v")
     nodes = runs.select(*k, F.col("run").alias("id"))
     labels = connected_components(nodes, edges, k).withColumnRenamed("id", "run")
-    sizes = runs.join(labels, [*k, "run"]).groupBy(*k, "component").agg(F.sum(F.col("b") - F.col("a") + 1).alias("voxels"))
-    sizes = cut_lineage(sizes.filter(F.col("voxels") > min_voxels))
+    return runs.join(labels, [*k, "run"])
+
+
+def _component_sizes(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The voxels of each component: (keys, component, voxels)."""
+    return labelled.groupBy(*keys, "component").agg(F.sum(F.col("b") - F.col("a") + 1).alias("voxels"))
+
+
+def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class"), min_voxels: int = 0) -> DataFrame:
+    """Label connected voxels of a group over the full 26-neighbourhood.
+
+    Adds ``component`` (first voxel in scan order, packed) and the dense ``instance_id`` from 1.
+    Voxels are first reduced to runs along x, so the graph has one node per run; neighbouring rows
+    meet in an equi-join on (group, z, y).
+    """
+    k = list(keys)
+    labelled = cut_lineage(_labelled_runs(voxels, k)).hint("merge")
+    sizes = cut_lineage(_component_sizes(labelled, k).filter(F.col("voxels") > min_voxels))
     ids = number_rows(sizes, k, [F.asc("component")], "instance_id")
-    found = runs.select(*k, "z", "y", "a", "b", "run").join(labels, [*k, "run"]).join(ids, [*k, "component"])
+    found = labelled.join(ids, [*k, "component"])
     return found.select(*k, "component", "z", "y", F.explode(F.sequence("a", "b")).alias("x"), "voxels", "instance_id")
 
 
@@ -188,8 +198,8 @@ def voted_components(voxels: DataFrame, cls: str = "class") -> DataFrame:
 
 def region_counts(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class")) -> DataFrame:
     """Number of components per group and whether it is a single one."""
-    comp = connected_voxels(voxels, keys)
-    return comp.groupBy(*keys).agg(F.countDistinct("component").alias("components")).withColumn("single", F.col("components") == 1)
+    sizes = _component_sizes(_labelled_runs(voxels, keys), keys)
+    return sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("components")).withColumn("single", F.col("components") == 1)
 
 
 def min_size_filter(voxels: DataFrame, cases: DataFrame, spacing: Sequence[str], min_size: float, min_voxels: int) -> DataFrame:
@@ -319,8 +329,8 @@ def sample_centres(voxels: DataFrame, per_zone: int, order: Column, keys: Sequen
 
 def retention_stats(voxels: DataFrame, stage: str = "stage") -> DataFrame:
     """Voxel and component counts per case and processing stage."""
-    comp = connected_voxels(voxels, ("case_id", stage))
-    return comp.groupBy("case_id", stage).agg(F.count(F.lit(1)).alias("voxels"), F.countDistinct("component").alias("components"))
+    sizes = _component_sizes(_labelled_runs(voxels, ("case_id", stage)), ("case_id", stage))
+    return sizes.groupBy("case_id", stage).agg(F.sum("voxels").alias("voxels"), F.count(F.lit(1)).alias("components"))
 
 
 def crop_window(gland: DataFrame, cases: DataFrame, shape: Sequence[str], spacing: Sequence[str], fov_mm: float) -> DataFrame:

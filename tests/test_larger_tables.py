@@ -6,8 +6,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from boxtally.operators import audit as Q
 from boxtally.operators import stats as ST
 from boxtally.operators import voxels as V
+from boxtally.operators.distance import distance_to_mask
+from boxtally.operators.order_stats import exact_quantiles
 from boxtally.plans import source_queries as SQ
 from boxtally.plans.catalogue import QUERIES
 from boxtally.sources.derived import Tables
@@ -76,3 +79,70 @@ def test_draws_of_the_bootstrap_are_dealt_out_before_they_are_made(spark, keys):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     made = plan[plan.index("Generate explode") :]
     assert made.index("REPARTITION_BY_NUM") < made.index("Window")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_values_of_many_groups_are_not_broadcast(spark):
+    rows = spark.range(200).select((F.col("id") % 20).alias("k"), F.col("id").cast("double").alias("v"))
+    got = exact_quantiles(rows, ["k"], "v", [0.5])
+    assert "Broadcast" not in plan_of(got)
+    assert {r.k: r.q[0] for r in got.collect()} == {k: k + 90.0 for k in range(20)}
+
+
+def test_voxels_behind_a_join_and_tiles_are_not_broadcast(spark):
+    spots = spark.createDataFrame([(1, z, y, x) for z in range(2) for y in range(3) for x in range(4)], "case_id long, z long, y long, x long")
+    codes = spots.join(spots.filter("x < 2"), ["case_id", "z", "y", "x"], "left").withColumn("anatomy", F.lit(1).cast("long"))
+    source = spots.select(F.lit(7).alias("source_id"), "z", "y", "x")
+    places = spark.createDataFrame([(5, 7, 1, 0, 0, 1)], "placement_id long, source_id int, case_id long, dz int, dy int, dx int")
+    got = V.occupancy(source, codes, places, F.lit(1))
+    joins = [line for line in plan_of(got).splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0] and got.first().gland_fraction == 0.75
+    cases = spark.createDataFrame([(1, 1.0, 1.0, 2.0)], "case_id long, sx double, sy double, sz double")
+    far = distance_to_mask(spots.filter("x = 3"), spots.filter("x = 0"), cases, ("sx", "sy", "sz"))
+    assert "BroadcastHashJoin" not in plan_of(far) and {r.dist for r in far.collect()} == {3.0}
+
+
+def test_draws_of_the_patients_are_not_broadcast(spark):
+    whole = lambda n: F.lit(n).cast("long")
+    pairs = spark.range(90).select((F.col("id") % 30).alias("patient_id"), whole(2).alias("true"), whole(3).alias("predicted"))
+    got = ST.resampled_confusion(pairs, ST.bootstrap_hits(pairs, 20), 20)
+    assert "BroadcastHashJoin" not in plan_of(got) and got.filter("b >= 0").agg(F.sum("n")).first()[0] == 20 * 90
+
+
+def test_containment_is_worked_out_once_for_the_gate(spark):
+    cases = spark.range(9).select(F.when(F.col("id") >= 0, 1 - F.col("id") / 100).alias("containment"), F.lit(None).cast("double").alias("p95_mm"))
+    gate = Q.containment_gate(cases)
+    assert "Range" not in plan_of(gate) and gate.first().median == pytest.approx(0.96)
+
+
+def test_retention_is_checked_in_one_pass_with_repeated_and_null_cases(spark):
+    stages = [f"{s}_{m}" for s in Q.STAGES for m in ("voxels", "components")]
+    full, gone, none = [9, 2] * 4, [9, 2, 9, 2, 9, 2, 0, 0], [0] * 8
+    rows = [(1, "odd", full), (1, "fully_retained", none), (2, "excluded_no_retained_voxels", gone), (3, "negative", full), (4, None, full),
+            (5, "fully_retained", full), (None, "partially_clipped", full), (None, "odd", full)]
+    audit = spark.createDataFrame([(c, s, *v) for c, s, v in rows], "case_id long, status string, " + ", ".join(f"{s} long" for s in stages))
+    ids = lambda *i: spark.createDataFrame([(n,) for n in i], "case_id long")
+    got = Q.check_retention(audit, ids(1, 2, 2, 3, 6, None), ids(1, 2, 2), ids(2, None))
+    want = [(1, "duplicate_case"), (None, "duplicate_case"), (1, "unknown_status"), (1, "unknown_status"), (1, "status_disagrees"), (3, "status_disagrees"),
+            (4, "not_in_manifest"), (5, "not_in_manifest"), (None, "not_in_manifest"), (6, "not_in_audit"), (None, "not_in_audit"),
+            (2, "excluded_but_in_data"), (2, "excluded_but_in_folds"), (5, "retained_but_missing"), (None, "retained_but_missing")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "Join" not in plan_of(got)
+    many = audit.filter("status = 'odd' AND case_id = 1").crossJoin(spark.range(5000)).drop("id")
+    assert Q.check_retention(many, ids(1), ids(), ids()).filter("rule = 'unknown_status'").count() == 5000
+
+
+def test_components_are_counted_in_runs_and_labelled_once(spark):
+    spots = [(1, "a", 0, 0, x) for x in (0, 0, 1, 2, 5, 5)] + [(1, "a", 1, 1, 3), (1, "b", 0, 0, 0), (None, "a", 0, 0, 0)]
+    voxels = spark.createDataFrame(spots, "case_id long, stage string, z long, y long, x long")
+    stats, counts = V.retention_stats(voxels), V.region_counts(voxels, ("case_id", "stage"))
+    assert {tuple(r) for r in stats.collect()} == {(1, "a", 5, 2), (1, "b", 1, 1)}
+    assert {tuple(r) for r in counts.collect()} == {(1, "a", 2, False), (1, "b", 1, True)}
+    assert "explode" not in plan_of(stats) + plan_of(counts)
+    got = V.connected_voxels(voxels, ("case_id", "stage"))
+    assert "MapInPandas" not in plan_of(got)
+    assert sorted((r.stage, r.instance_id, r.z, r.y, r.x, r.voxels) for r in got.collect()) == [
+        ("a", 1, 0, 0, 0, 4), ("a", 1, 0, 0, 1, 4), ("a", 1, 0, 0, 2, 4), ("a", 1, 1, 1, 3, 4), ("a", 2, 0, 0, 5, 1), ("b", 1, 0, 0, 0, 1)]
