@@ -57,7 +57,8 @@ def bootstrap_hits(patients: DataFrame, samples: int, keys: Sequence[str] = ())
     sized = index.join(F.broadcast(total), k) if k else index.join(F.broadcast(total))
     draws = _dealt_out(sized).select(*k, F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
     hit = draws.select(*k, "b", (draw(F.col("b"), F.col("j")) % F.col("_n")).alias("idx"))
-    per = hit.groupBy(*k, "idx").agg(F.collect_list("b").alias("hits"))
+    # Spark takes a list for one entry, so the patients look small enough to be broadcast and are not
+    per = hit.groupBy(*k, "idx").agg(F.collect_list("b").alias("hits")).hint("merge")
     return index.join(per, [*k, "idx"], "left").select(*k, "patient_id", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
 
 
