@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxtally.operators.curves import number_rows, running_totals
-from boxtally.operators.distance import distance_to_mask
+from boxtally.operators.distance import with_distance
 from boxtally.operators.graph import connected_components
 from boxtally.operators.order_stats import with_quantiles
 from boxtally.session import cut_lineage
@@ -287,8 +287,7 @@ def erode(voxels: DataFrame, steps: int = 1) -> DataFrame:
 def outside_distance(lesion: DataFrame, gland: DataFrame, cases: DataFrame, spacing: Sequence[str]) -> DataFrame:
     """Voxels outside the gland with the distance in mm to its nearest voxel, null where a case has no gland."""
     out = lesion.join(gland.select(*VOXEL).distinct(), list(VOXEL), "left_anti")
-    # a join loses the hint of its sides, and what is left of the voxels looks as small as the boxes they come from
-    return out.join(distance_to_mask(out, gland, cases, spacing).hint("merge"), list(VOXEL), "left")
+    return with_distance(out, gland, cases, spacing)
 
 
 def distance_summary(distances: DataFrame, keys: Sequence[str]) -> DataFrame:

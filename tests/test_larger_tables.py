@@ -146,3 +146,18 @@ def test_components_are_counted_in_runs_and_labelled_once(spark):
     assert "MapInPandas" not in plan_of(got)
     assert sorted((r.stage, r.instance_id, r.z, r.y, r.x, r.voxels) for r in got.collect()) == [
         ("a", 1, 0, 0, 0, 4), ("a", 1, 0, 0, 1, 4), ("a", 1, 0, 0, 2, 4), ("a", 1, 1, 1, 3, 4), ("a", 2, 0, 0, 5, 1), ("b", 1, 0, 0, 0, 1)]
+
+
+def test_rows_outside_go_along_with_their_voxels_to_the_distance(spark):
+    ddl = "case_id long, gt_id long, grade long, z long, y long, x long"
+    spots = [(1, g, 2, z, y, x) for g in (1, 2) for z in (-2, 0, 3) for y in (-1, 70) for x in (-17, 0, 40)] + [(1, 1, 2, 0, 0, 0)] * 2 + [(1, 1, 2, 1, 1, 2), (2, 3, None, 0, 0, 0), (None, 4, 2, 0, 0, 0)]
+    gland = [(1, 1, 1, 2), (1, 5, -3, 30), (1, 5, 90, -40), (3, 0, 0, 0), (None, 0, 0, 0)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    cases = frame([(1, 0.5, 0.75, 3.0), (2, 1.0, 1.0, 1.0)], "case_id long, sx double, sy double, sz double")
+    got = V.outside_distance(frame(spots, ddl), frame(gland, "case_id long, z long, y long, x long"), cases, ("sx", "sy", "sz"))
+    assert got.columns == ["case_id", "z", "y", "x", "gt_id", "grade", "dist"]
+    near = lambda z, y, x: min(math.dist((z * 3, y * 0.75, x * 0.5), (c * 3, b * 0.75, a * 0.5)) for k, c, b, a in gland if k == 1)
+    want = [(c, z, y, x, g, r, round(near(z, y, x), 9) if c == 1 else None) for c, g, r, z, y, x in spots if (c, z, y, x) != (1, 1, 1, 2)]
+    assert sorted((tuple(r[:6]) + (r.dist and round(r.dist, 9),) for r in got.collect()), key=str) == sorted(want, key=str)
+    # the voxels outside are found once, and no join brings them together with their distances
+    assert plan_of(got).count("LeftAnti") == 0 and "z#" not in "".join(line for line in plan_of(got).splitlines() if "Join" in line)
