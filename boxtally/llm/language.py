@@ -21,17 +21,18 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxtally.llm.text import CHUNK_BYTES, chunks
+from boxtally.llm.text import blocks, chunks
 
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 8.0
 #: A language is a candidate in a script that holds this share of its training words.
 SCRIPT_SHARE = 0.005
+#: Characters that are split into words at a time, and bytes of text that a task holds as Python's strings.
+PIECE, BLOCK = 1 << 18, 1 << 22
 #: Numbers in the score table that one Viterbi pass holds.
 PASS_CELLS = 4_000_000
 #: First code points of script blocks and the script from there on.
@@ -132,22 +133,25 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     What reaches the driver is one number per language and bucket, and per language and script.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                texts = part["text"].tolist()
-                held = total.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), dtype=np.int64))
-                for i, j in chunks(texts):
-                    w = split_words(texts[i:j])
-                    held[:BUCKETS] += np.bincount(w.pair, minlength=BUCKETS) + np.bincount(w.triple, minlength=BUCKETS)
-                    held[BUCKETS:] += np.bincount(w.script, minlength=len(SCRIPTS))
+        for batch in batches:
+            for i, j in blocks(batch.column("text"), BLOCK):
+                named: dict[str, list[str]] = {}
+                for lang, text in zip(*(batch.column(n).slice(i, j - i).to_pylist() for n in ("lang", "text"))):
+                    named.setdefault(lang, []).append(text)
+                for lang, texts in named.items():
+                    held = total.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), dtype=np.int64))
+                    for k, m in chunks(texts, PIECE):
+                        w = split_words(texts[k:m])
+                        held[:BUCKETS] += np.bincount(w.pair, minlength=BUCKETS) + np.bincount(w.triple, minlength=BUCKETS)
+                        held[BUCKETS:] += np.bincount(w.script, minlength=len(SCRIPTS))
         for lang, held in total.items():
             at = np.flatnonzero(held)
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": held[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(held[at])], ["lang", "bucket", "n"])
 
     rows = training.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    counts = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
     languages = sorted(got["lang"].unique())
     table = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
@@ -214,7 +218,7 @@ def label_texts(model: Model, texts: Sequence[str | None], penalty: float = SWIT
     ranked = [texts[i] for i in order]
     for i, j in chunks(ranked, most):
         parts = []
-        for a, b in chunks(ranked[i:j], CHUNK_BYTES):
+        for a, b in chunks(ranked[i:j], PIECE):
             w = split_words(ranked[a + i : b + i])
             known = model.in_script[w.script].any(axis=1)
             parts.append((word_scores(model, w), w.text + a, w.start - w.base[w.text], w.end - w.base[w.text], known))
@@ -249,7 +253,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = label_texts(shared.value, batch.column("text").to_pylist(), penalty)
+            column = batch.column("text")
+            got = [g for i, j in blocks(column, BLOCK) for g in label_texts(shared.value, column.slice(i, j - i).to_pylist(), penalty)]
             named = [[dict(zip(("start", "end", "lang"), x)) for x in g[2]] for g in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(named, span)],
@@ -265,10 +270,10 @@ def predicted(df: DataFrame, model: Model, text_col: str = "text", penalty: floa
     """(lang_pred, score) of each row of ``df`` as a column; only the text goes to Python and back come two values."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        got = label_texts(shared.value, [t if isinstance(t, str) else None for t in texts], penalty)
-        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+    @F.arrow_udf("lang_pred string, score double")
+    def label(texts: pa.Array) -> pa.Array:
+        got = [g[:2] for i, j in blocks(texts, BLOCK) for g in label_texts(shared.value, texts.slice(i, j - i).to_pylist(), penalty)]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
     return label(df[text_col])
 

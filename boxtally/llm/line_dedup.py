@@ -35,6 +35,8 @@ from boxtally.session import cut_lineage
 #: Below so many characters a line has only equal lines: one edit would be too much of it.
 NEAR_CHARS = 16
 STRETCHES = 8
+#: Lines that a task holds as Python's strings and lists at a time.
+LINES = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -94,7 +96,7 @@ def near_earlier(all_lines: DataFrame) -> DataFrame:
     gaps = open_at.join(shared, "others").groupBy("key").agg(F.collect_set(F.struct("i", "q")).alias("gaps"))
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, LINES) for whole in batches for i in range(0, whole.num_rows, LINES)):
             for at, (line, own) in enumerate(zip(batch.column("line").to_pylist(), batch.column("gaps").to_pylist())):
                 value, place = line_variants(line)
                 wanted = place < 0

@@ -30,14 +30,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxtally.llm.text import blocks
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text whose distinct words are sorted at a time.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Words, and pairs of pieces, that a worker remembers from block to block; beyond, it works others out again.
 REMEMBERED = 200_000
 
@@ -71,7 +72,9 @@ class Codec:
         apart = re.escape("".join(c for c in map(chr, range(128)) if not any(c in p for p in self.own)))
         self.word = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|[{apart}]" if apart else ""))
         self.known: dict[str, bytes] = {}
-        self.stay: dict[tuple[int, int], bool] = {}
+        #: By the ids of two pieces in one number, left times ``many`` and right.
+        self.stay: dict[int, bool] = {}
+        self.many = len(self.pieces)
 
     @classmethod
     def load(cls, path: str = MODEL) -> "Codec":
@@ -159,7 +162,7 @@ class Codec:
         On the stack, by depth: the forward score, the start and the id of the last piece (-1: no piece
         covers the character), and the places in the piece trie that are still open with their starts.
         """
-        root, unknown, merges, stay = self.root, self.unknown, self.merges, self.stay
+        root, unknown, merges, stay, many = self.root, self.unknown, self.merges, self.stay, self.many
         best, start, ids, live = [0.0], [0], [-1], [[]]
         before = ""
         for word in words:
@@ -185,10 +188,10 @@ class Codec:
                     if end is None:
                         continue
                     if merges:
-                        pair = (ids[begin], end[1])
+                        pair = ids[begin] * many + end[1]
                         apart = stay.get(pair)
                         if apart is None:
-                            apart = stay[pair] = self.stay_apart(*pair)
+                            apart = stay[pair] = self.stay_apart(ids[begin], end[1])
                         if apart:
                             top, at, piece = 0.0, begin, end[1]
                             break
@@ -236,16 +239,6 @@ class Codec:
         return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``BLOCK`` bytes; a longer text stands alone."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1)
-    start = 0
-    while start < len(size):
-        end = max(int(np.searchsorted(size, (size[start - 1] if start else 0) + BLOCK, side="right")), start + 1)
-        yield start, end
-        start = end
-
-
 def _encoded(codec: Codec, texts: list) -> tuple[pa.Array, pa.Array]:
     """Numbers of pieces and lists of piece ids of some texts."""
     values, offsets = codec.encode(texts)
@@ -261,7 +254,7 @@ def encode(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            for i, j in _blocks(column):
+            for i, j in blocks(column, BLOCK):
                 count, lists = _encoded(shared.value, column.slice(i, j - i).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), count, lists], ["doc_id", "n_pieces", "piece_ids"])
 
@@ -295,7 +288,7 @@ def encode_and_check(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            for i, j in _blocks(column):
+            for i, j in blocks(column, BLOCK):
                 texts = column.slice(i, j - i).to_pylist()
                 count, lists = _encoded(shared.value, texts)
                 back = [shared.value.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists]

@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -61,6 +63,16 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tu
         yield start, len(texts)
 
 
+def blocks(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes of a column of texts; a longer text stands alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1)
+    start = 0
+    while start < len(size):
+        end = max(int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, side="right")), start + 1)
+        yield start, end
+        start = end
+
+
 @cache
 def _kinds() -> np.ndarray:
     """What each code point is to a word: apart from it, part of it, a word alone, or a mark on what stands before."""

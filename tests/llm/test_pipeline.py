@@ -1,11 +1,15 @@
 """The pipeline's stages one after the other against what brute force says about each stage's own input."""
 
 import random
+import tracemalloc
 
 import corpus_pipeline
+import pandas as pd
+import pyarrow as pa
 from test_text_operators import DOCS, classes_by_force, lines_by_force, sentence
 
-from boxtally.llm import decontaminate
+from boxtally.llm import decontaminate, language
+from boxtally.llm.text import blocks
 from boxtally.session import fresh_path
 
 
@@ -67,3 +71,19 @@ def test_rows_with_equal_or_missing_ids_are_judged_apart(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.distinct_lines(spark, docs, "").collect()]
     want = [lines[0], (2, "its own line"), lines[2], (None, ""), (5, "x"), (5, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_task_holds_a_block_of_texts_and_not_a_whole_batch(spark, monkeypatch):
+    docs = spark.createDataFrame([("some words of a text", "en")], "text string, lang string")
+    held, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, *rest: held.append(run) or plain(df, run, *rest))
+    assert language.fit(docs).languages == ["en"]
+    text = "some words of a text " * 100
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 5000, "text": [text] * 10_000})
+    tracemalloc.start()
+    got = pd.concat(b.to_pandas() for b in held[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and got["lang"].value_counts().nunique() == 1
+    assert got[got["bucket"] >= language.BUCKETS]["n"].tolist() == [500 * 5000] * 2
+    assert list(blocks(pa.array(["a" * 5, None, "b" * 30, "c", ""]), 10)) == [(0, 2), (2, 3), (3, 5)]
