@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxtally.llm.text import by_text, chunks, runs_of, spelt_words, words
+from boxtally.session import cut_lineage
 
 WORDS = 5
 LEAST = 0.8
@@ -131,7 +132,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         found = own.mapInArrow(search, f"doc_id {kinds[0]}, text string, item_id {id_type}")
         candidates = found if candidates is None else candidates.unionByName(found)
-    pairs = candidates.join(bench.distinct().withColumnRenamed("text", "item_text"), "item_id")
+    # written, so that no task holds a Python worker that searches and one that verifies at a time
+    pairs = cut_lineage(candidates).join(bench.distinct().withColumnRenamed("text", "item_text"), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxtally.llm import decontaminate, language, line_dedup, near_dedup, sentencepiece_codec
+from boxtally.llm.filters import maybe_in
 from boxtally.session import cut_lineage
 
 #: A document of which no language holds this share of the letters is rejected.
@@ -22,6 +23,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return cut_lineage(ranged.withColumn("__row", F.monotonically_increasing_id()))
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not in ``gone``; only rows that may go are shuffled, with their texts, to meet it."""
+    gone = cut_lineage(gone)
+    may_go, stay = maybe_in(rows, gone, ("__row",))
+    return stay.unionByName(may_go.join(gone, "__row", "left_anti"))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter and those of no learned language go. Learns from all rows with one."""
     labelled = docs.withColumn("__label", language.predicted(docs, language.fit(docs)))
@@ -38,14 +46,14 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One row of each class of near duplicates, the first in the order of ``numbered``."""
     rows = numbered(docs)
     gone = near_dedup.near_duplicates(rows, "__row").filter("not kept").select(F.col("doc_id").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return without(rows, gone).select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of the benchmark."""
     rows = numbered(docs)
     found = decontaminate.find_items(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row", within=True)
-    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+    return without(rows, found.select(F.col("doc_id").alias("__row")).distinct()).select(*docs.columns)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tracemalloc
 import corpus_pipeline
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 from test_text_operators import DOCS, classes_by_force, lines_by_force, sentence
 
 from boxtally.llm import decontaminate, language
@@ -87,3 +88,19 @@ def test_a_task_holds_a_block_of_texts_and_not_a_whole_batch(spark, monkeypatch)
     assert peak < 60e6 and got["lang"].value_counts().nunique() == 1
     assert got[got["bucket"] >= language.BUCKETS]["n"].tolist() == [500 * 5000] * 2
     assert list(blocks(pa.array(["a" * 5, None, "b" * 30, "c", ""]), 10)) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_only_rows_that_may_go_are_shuffled_with_their_texts(spark):
+    rows = spark.range(500).select(F.col("id").alias("__row"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    left = corpus_pipeline.without(rows, rows.filter("__row % 50 = 3").select("__row"))
+    assert sorted(r.text for r in left.collect()) == sorted(f"text {i}" for i in range(500) if i % 50 != 3)
+    assert left.columns == rows.columns and corpus_pipeline.without(rows, rows.limit(0).select("__row")).count() == 500
+    stays, may_go = left._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")
+    assert "Union" in stays and "pythonUDF" in stays and "pythonUDF" in may_go
+
+
+def test_searching_and_verifying_share_no_task(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "a text of other words altogether")], "doc_id long, text string")
+    found = decontaminate.find_items(docs, spark.createDataFrame([(7, "one two three four five")], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
