@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from boxtally.llm.filters import maybe_in
 from boxtally.llm.text import mix, powers, signed
-from boxtally.session import cut_lineage
+from boxtally.session import cut_lineage, settled
 
 #: Below so many characters a line has only equal lines: one edit would be too much of it.
 NEAR_CHARS = 16
@@ -156,7 +156,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line meets the first place of its key in a join that AQE can split when one line holds a third of all rows.
     """
     lines = cut_lineage(document_lines(docs, id_col, text_col))
-    near = cut_lineage(near_earlier(lines))
+    near = settled(lambda: near_earlier(lines))
     # written, so that the lines meet a plain table and AQE can split a key that a third of them share
     seen = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place")).join(near.select("key", F.lit(True).alias("near")), "key", "left")
     seen = cut_lineage(seen)
@@ -166,7 +166,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the lines that go taken out of their texts; all rows and columns stay, and ``n_lines_dropped`` is added."""
-    gone = dropped_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = settled(lambda: dropped_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")))
     # the row travels as one column, so that its own columns may have any name
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     kept = F.transform(

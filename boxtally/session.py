@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,10 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/boxtally-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that the work under ``settled`` has written so far; None outside of it.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the checkpoint folder and go on from the written copy.
 
@@ -49,5 +55,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """``cut_lineage`` of what ``make`` returns; the tables it wrote on the way are then deleted.
+
+    So a long job holds the tables of one step and not of all. Nothing else that ``make`` built may be read afterwards.
+    """
+    outer, own = _WRITTEN.get(), []
+    token = _WRITTEN.set(own)
+    try:
+        df = make()
+    finally:
+        _WRITTEN.reset(token)
+        if outer is not None:
+            outer += own
+    done = cut_lineage(df)
+    sc = done.sparkSession.sparkContext
+    for path in own:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return done

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxtally.llm import decontaminate, language, line_dedup, near_dedup, sentencepiece_codec
 from boxtally.llm.filters import maybe_in
-from boxtally.session import cut_lineage
+from boxtally.session import cut_lineage, settled
 
 #: A document of which no language holds this share of the letters is rejected.
 LEAST_LANGUAGE = 0.2
@@ -24,8 +24,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose number is not in ``gone``; only rows that may go are shuffled, with their texts, to meet it."""
-    gone = cut_lineage(gone)
+    """The rows whose number is not in the written table ``gone``; only rows that may go are shuffled, with their texts, to meet it."""
     may_go, stay = maybe_in(rows, gone, ("__row",))
     return stay.unionByName(may_go.join(gone, "__row", "left_anti"))
 
@@ -45,15 +44,16 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, the first in the order of ``numbered``."""
     rows = numbered(docs)
-    gone = near_dedup.near_duplicates(rows, "__row").filter("not kept").select(F.col("doc_id").alias("__row"))
+    gone = settled(lambda: near_dedup.near_duplicates(rows, "__row").filter("not kept").select(F.col("doc_id").alias("__row")))
     return without(rows, gone).select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of the benchmark."""
     rows = numbered(docs)
-    found = decontaminate.find_items(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row", within=True)
-    return without(rows, found.select(F.col("doc_id").alias("__row")).distinct()).select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = settled(lambda: decontaminate.find_items(rows, items, "__row", within=True).select(F.col("doc_id").alias("__row")).distinct())
+    return without(rows, gone).select(*docs.columns)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the table of documents; what a stage keeps is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut_lineage(docs)
+            docs = settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        else:
+            docs = stage(spark, docs, sf_dir)
     return docs

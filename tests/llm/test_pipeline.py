@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from pathlib import Path
 
 import corpus_pipeline
 import pandas as pd
@@ -11,7 +12,7 @@ from test_text_operators import DOCS, classes_by_force, lines_by_force, sentence
 
 from boxtally.llm import decontaminate, language
 from boxtally.llm.text import blocks
-from boxtally.session import fresh_path
+from boxtally.session import checkpoint_dir, cut_lineage, fresh_path, settled
 
 
 def test_stages_one_by_one(spark):
@@ -104,3 +105,21 @@ def test_searching_and_verifying_share_no_task(spark):
     found = decontaminate.find_items(docs, spark.createDataFrame([(7, "one two three four five")], "item_id long, text string"))
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def tables(spark):
+    return {p.name for p in Path(checkpoint_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith("boxtally-")}
+
+
+def test_tables_of_a_step_go_once_its_result_is_written(spark):
+    before = tables(spark)
+    inner = lambda: cut_lineage(settled(lambda: cut_lineage(spark.range(9))).filter("id > 3"))
+    got = settled(inner)
+    assert sorted(r.id for r in got.collect()) == [4, 5, 6, 7, 8] and len(tables(spark) - before) == 1
+    kept = cut_lineage(spark.range(3))
+    assert kept.count() == 3 and len(tables(spark) - before) == 2
+    docs = spark.createDataFrame([(d, f"a line of its own {d * 977}\na line that all have", "en", "a") for d in range(9)], DOCS).selectExpr("*", "cast(length(text) as bigint) AS n_chars")
+    before = tables(spark)
+    cleaned = corpus_pipeline.distinct_lines(spark, docs, "")
+    assert len(tables(spark) - before) == 2  # the numbered rows and the lines that go
+    assert sum("all have" in r.text for r in cleaned.collect()) == 1 and cleaned.count() == 9
