@@ -177,7 +177,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )[0]
     text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(kept)
     own = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
-    return keyed.join(gone, "doc_id", "left").select(*own, F.coalesce(F.size("gone"), F.lit(0)).alias("n_lines_dropped"))
+    # written, the table looks small enough to be broadcast on small inputs only; the work should grow evenly
+    return keyed.join(gone.hint("merge"), "doc_id", "left").select(*own, F.coalesce(F.size("gone"), F.lit(0)).alias("n_lines_dropped"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

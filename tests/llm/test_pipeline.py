@@ -121,3 +121,4 @@ def test_tables_of_a_step_go_once_its_result_is_written(spark, monkeypatch):
     cleaned = corpus_pipeline.distinct_lines(spark, docs, "")
     assert len(paths) > 8 and left() == 2  # the numbered rows and the lines that go
     assert sum("all have" in r.text for r in cleaned.collect()) == 1 and cleaned.count() == 9
+    assert "BroadcastHashJoin" not in cleaned._jdf.queryExecution().executedPlan().toString()
