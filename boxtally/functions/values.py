@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +96,46 @@ def draw(*parts: Column) -> Column:
 def draw_sql(*parts: str) -> str:
     """The SQL text of :func:`draw`."""
     return f"(('0x' || substr(md5(concat_ws('|', '2026', {', '.join(f'({p})::VARCHAR' for p in parts)})), 1, 15))::BIGINT)"
+
+
+_ADD = [int(v) for v in np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32)]
+_TURN = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+
+
+def draws(b: int, n: int) -> np.ndarray:
+    """``draw(b, j)`` for all j below ``n``, worked out on arrays and outside of Spark."""
+    prefix = f"2026|{b}|".encode()
+    edges = sorted({*range(0, n, 16_384), *(e for d in range(1, 19) if (e := 10**d) < n), n})
+    return np.concatenate([_draws_between(prefix, lo, hi) for lo, hi in zip(edges, edges[1:])] or [np.empty(0, np.int64)])
+
+
+def _draws_between(prefix: bytes, lo: int, hi: int) -> np.ndarray:
+    """The leading 60 bits of the MD5 of ``prefix`` and j, for j from ``lo`` to ``hi``, which have equally many digits."""
+    digits, j = len(str(lo)), np.arange(lo, hi)
+    start, end = len(prefix), len(prefix) + digits
+    text = np.zeros((64, hi - lo), np.uint8)
+    text[:start] = np.frombuffer(prefix, np.uint8)[:, None]
+    for i in range(digits):
+        text[start + i] = j // 10 ** (digits - 1 - i) % 10 + ord("0")
+    text[end] = 0x80
+    text[56] = end * 8 % 256
+    text[57] = end * 8 // 256
+    words = np.ascontiguousarray(text.reshape(16, 4, -1).transpose(0, 2, 1)).view("<u4")[..., 0]
+    a, b, c, d = first = [np.full(hi - lo, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        # words without a digit are the same in all messages
+        if start // 4 <= g <= end // 4:
+            f = f + a + words[g] + np.uint32(_ADD[i])
+        else:
+            f = f + a + np.uint32((_ADD[i] + int(words[g, 0])) % 2**32)
+        a, d, c, b = d, c, b, b + ((f << np.uint32(_TURN[i])) | (f >> np.uint32(32 - _TURN[i])))
+    high, low = ((x + y).byteswap().astype(np.int64) for x, y in ((a, first[0]), (b, first[1])))
+    return high << 28 | low >> 4

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxtally.functions.values import draw
+from boxtally.functions.values import draw, draws
 from boxtally.operators.curves import union_all
 from boxtally.operators.grade_metrics import calibration_bins, calibration_summary
 from boxtally.operators.sampling import dense_index
+from boxtally.session import cut_lineage
 
 GRADES = (2, 3, 4, 5)
 
@@ -46,20 +48,22 @@ def bootstrap_weights(patients: DataFrame, samples: int, point: bool = False) ->
 
 
 def bootstrap_hits(patients: DataFrame, samples: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The resamples that draw each patient, one entry per draw: (keys, patient_id, hits).
+    """The resamples that draw each patient, one entry per draw: (keys, patient_id, idx, of, hits).
 
     The draws are those of :func:`bootstrap_weights`, made anew within every group of ``keys``. A patient is one row
-    with about ``samples`` entries, however many patients there are.
+    with about ``samples`` entries, however many patients there are. A patient's draws follow from its number ``idx``
+    among the ``of`` patients of its group: where ``hits`` is not read, Spark leaves out the join that gathers them.
     """
     k = list(keys)
     index = dense_index(patients.select(*k, "patient_id").distinct(), [F.asc("patient_id")], k)
-    total = index.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    sized = index.join(F.broadcast(total), k) if k else index.join(F.broadcast(total))
-    draws = _dealt_out(sized).select(*k, F.col("idx").alias("j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    hit = draws.select(*k, "b", (draw(F.col("b"), F.col("j")) % F.col("_n")).alias("idx"))
+    total = index.groupBy(*k).agg(F.count(F.lit(1)).alias("of"))
+    sized = index.join(F.broadcast(total), k, "left") if k else index.join(F.broadcast(total))
+    drawn = sized.filter("of IS NOT NULL")  # a group whose key is null has no draws
+    draws_ = _dealt_out(drawn).select(*k, F.col("idx").alias("j"), "of", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    hit = draws_.select(*k, "b", (draw(F.col("b"), F.col("j")) % F.col("of")).alias("idx"))
     # Spark takes a list for one entry, so the patients look small enough to be broadcast and are not
     per = hit.groupBy(*k, "idx").agg(F.collect_list("b").alias("hits")).hint("merge")
-    return index.join(per, [*k, "idx"], "left").select(*k, "patient_id", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
+    return sized.join(per, [*k, "idx"], "left").select(*k, "patient_id", "idx", "of", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
 
 
 def _draws(batch: pa.RecordBatch, samples: int) -> Iterator[np.ndarray]:
@@ -122,68 +126,164 @@ def resampled_calibration(pairs: DataFrame, hits: DataFrame, samples: int, keys:
     return calibration_summary(resampled_sums(per, hits, samples, ["bin"], keys).filter("n > 0"), [*keys, "b"])
 
 
+#: Bytes of counts that a task of the macro AUROC holds: its resamples times the patients.
+WEIGHTS_A_TASK = 64 << 20
+#: Scores that are counted at a time.
+CHUNK = 4096
+
+
 def resampled_macro_auroc(pairs: DataFrame, hits: DataFrame, samples: int, models: dict[str, Sequence[str]], keys: Sequence[str] = ()) -> DataFrame:
     """Macro one-vs-rest AUROC of every resample and model: (keys, b, model, auroc); null where no grade is defined.
 
-    Scores are cut into ranges. Inside a range the wins of all resamples are counted in one pass in order of score; the
-    first and the last score of a range may go on in the next one and are handed out on their own. So the ordering of
-    the ranges, and not of the rows, is all that is left for a window.
+    Scores are ordered once and written in chunks, without any draws. A task makes the draws of a block of resamples
+    itself, from ``idx`` and ``of`` of ``hits``, and reads the chunks one after the other, in any order. So no draw is
+    shuffled or written, a task holds a bounded number of counts, and there are as many tasks as blocks. Groups of
+    ``keys`` are few: their sizes go by the driver, and the tasks of a group pass over the chunks of the others.
     """
-    entries = [
-        F.struct(F.lit(m).alias("model"), F.lit(g).cast("long").alias("g"), F.col(c).alias("p"))
-        for m, cols in models.items() for g, c in zip(GRADES, cols)
-    ]
-    names = [*keys, "model", "g"]
-    long = pairs.select(*keys, "patient_id", "true", F.explode(F.array(*entries)).alias("e")).select(*keys, "patient_id", "true", "e.*")
-    scored = long.groupBy(*names, "p", "patient_id").agg(
-        F.sum((F.col("true") == F.col("g")).cast("double")).alias("pos"), F.sum((F.col("true") != F.col("g")).cast("double")).alias("neg")
-    )
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = scored.join(hits.hint("merge"), [*keys, "patient_id"]).repartitionByRange(parts, *names, "p", "patient_id").sortWithinPartitions(*names, "p")
+    spark, k = pairs.sparkSession, list(keys)
+    columns = list(dict.fromkeys(c for cols in models.values() for c in cols))
+    who = hits.select(*k, "patient_id", "idx", "of").hint("merge")
+    grade = F.coalesce(F.array_position(F.array(*[F.lit(g).cast("long") for g in GRADES]), F.col("true").cast("long")), F.lit(0)).cast("byte").alias("grade")
+    rows = cut_lineage(pairs.join(who, [*k, "patient_id"]).select(*k, F.col("idx").cast("int").alias("idx"), "of", grade, *columns))
+    scores = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("p")) for i, c in enumerate(columns)])).alias("e")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    long = rows.select(*k, "idx", "grade", scores).select(*k, "e.*", "idx", "grade")
+    placed = long.repartitionByRange(parts, *k, "col", "p", "idx").sortWithinPartitions(*k, "col", "p")
+    packed = "col int, part int, seq bigint, first double, last double, starts binary, idx binary, grade binary"
+    chunks = cut_lineage(placed.mapInArrow(_chunks(k), ", ".join([_ddl(rows, k)] * bool(k) + [packed])))
+
+    blocks, least = [], 2 * spark.sparkContext.defaultParallelism
+    for *group, of in rows.groupBy(*k).agg(F.max("of").alias("of")).collect() if k else filter(any, rows.agg(F.max("of")).collect()):
+        step = max(1, min(-(-(samples + 1) // least), WEIGHTS_A_TASK // of))
+        blocks += [(*group, of, low, min(low + step, samples)) for low in range(POINT, samples, step)]
+    ddl = ", ".join([_ddl(rows, k)] * bool(k) + ["of bigint, low int, high int"])
+    # one block a partition; each pair of a block with all the chunks is a task, and nothing is shuffled
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(blocks, max(1, len(blocks))), ddl).hint("shuffle_replicate_nl")
+    read = chunks.coalesce(1)
+    met = read.join(dealt, k) if k else read.crossJoin(dealt)
+    named = {m: [(code, columns.index(c)) for code, c in enumerate(cols[: len(GRADES)], 1)] for m, cols in models.items()}
+    out = ", ".join([_ddl(rows, k)] * bool(k) + ["b bigint, model string, auroc double"])
+    return met.mapInArrow(_block_aurocs(k, named), out)
+
+
+def _chunks(keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs sorted scores: a row per chunk of one group and column, numbered in order of score."""
+    names = [*keys, "col"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            null, p = np.asarray(batch.column("p").is_null()), batch.column("p").to_numpy(zero_copy_only=False)
+            other = (p[1:] != p[:-1]) & ~(np.isnan(p[1:]) & np.isnan(p[:-1])) | (null[1:] != null[:-1])
+            cut = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+            for c in names:
+                code = batch.column(c).dictionary_encode().indices.to_numpy()
+                cut |= code[1:] != code[:-1]
+            starts = np.concatenate([[True], other | cut])
+            edges = sorted({*range(0, batch.num_rows, CHUNK), *(np.flatnonzero(cut) + 1).tolist(), batch.num_rows})
+            for a, b in zip(edges, edges[1:]):
+                begins = starts[a:b].copy()
+                begins[0] = True
+                data = [x.tobytes() for x in (begins, batch.column("idx").to_numpy()[a:b], batch.column("grade").to_numpy()[a:b])]
+                ends = [batch.column("p").slice(a, 1), batch.column("p").slice(b - 1, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).slice(a, 1) for c in names], pa.array([part], pa.int32()), pa.array([seq], pa.int64()), *ends, *[pa.array([d], pa.binary()) for d in data]],
+                    [*names, "part", "seq", "first", "last", "starts", "idx", "grade"],
+                )
+                seq += 1
+
+    return pack
+
+
+def _weights(of: int, low: int, high: int) -> np.ndarray:
+    """How often each patient counts in the resamples from ``low`` to ``high``, a row each."""
+    w = np.ones((high - low, of), dtype=np.uint8)
+    for i, b in enumerate(range(low, high)):
+        if b != POINT:
+            counts = np.bincount(draws(b, of) % of, minlength=of)
+            if counts.max() > np.iinfo(w.dtype).max:
+                w = w.astype(np.int64)
+            w[i] = counts
+    return w
+
+
+def _pieces(chunk: dict, w: np.ndarray, grades: Sequence[int]) -> Iterator[tuple]:
+    """A chunk as its first tie, what lies between, and its last tie: (score or None, sum of all, {grade: (sum, wins)}).
+
+    Wins of a grade are counted over all scores of the piece, those of the grade itself included.
+    """
+    starts, idx, grade = (np.frombuffer(chunk[c], t) for c, t in (("starts", bool), ("idx", np.int32), ("grade", np.int8)))
+    x = w[:, idx].astype(np.float64)
+    upto = np.cumsum(x, axis=1)
+    at = np.flatnonzero(starts)
+    tie = np.cumsum(starts) - 1
+    half = upto[:, np.append(at[1:], len(idx)) - 1]
+    half[:, 1:] += half[:, :-1].copy()
+    half /= 2.0
+    name = lambda p: str(p if p is None else p + 0.0)  # zero has one name
+    spans = [(0, at[1], name(chunk["first"])), (at[1], at[-1], None), (at[-1], len(idx), name(chunk["last"]))] if len(at) > 1 else [(0, len(idx), name(chunk["first"]))]
+    for a, b, p in spans:
+        if a == b:
+            continue
+        below = upto[:, a - 1] if a else np.zeros(len(w))
+        own = {}
+        for g in grades:
+            mine = np.flatnonzero(grade[a:b] == g) + a
+            xs = x[:, mine]
+            total = xs.sum(axis=1)
+            own[g] = total, np.einsum("ij,ij->i", xs, half[:, tie[mine]]) - total * below
+        yield p, upto[:, b - 1] - below, own
+
+
+def _auroc(pieces: Sequence[tuple], g: int) -> np.ndarray:
+    """AUROC of grade ``g`` against the rest per resample, from pieces in order of score; NaN where it is not defined."""
+    joined: list[tuple] = []
+    for p, total, own in pieces:
+        mine, wins = own[g]
+        if p is not None and joined and joined[-1][0] == p:  # the tie goes on
+            _, t, m, _ = joined.pop()
+            total, mine = t + total, m + mine
+        if p is not None:
+            wins = mine * total / 2.0
+        joined.append((p, total, mine, wins))
+    below, pos, won = 0.0, 0.0, 0.0
+    for _, total, mine, wins in joined:
+        won, pos, below = won + wins + mine * below, pos + mine, below + total
+    of = pos * (below - pos)
+    # the wins of a grade over itself are half its pairs
+    return np.divide(won - pos * pos / 2.0, of, out=np.full(len(of), np.nan), where=of > 0)
+
+
+def _block_aurocs(keys: Sequence[str], models: dict[str, list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Macro AUROCs of one block of resamples; ``models`` has (grade, column) pairs, grades counted from 1."""
+    asked: dict[int, list[int]] = {}
+    for pairs in models.values():
+        for g, c in pairs:
+            asked.setdefault(c, []).append(g)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tie_row(name, p, pos, neg):
-            return _per_resample((*name, p, True), [*names, "at", "tie"], (pos, neg, np.zeros(samples + 1)), ("pos", "neg", "wins"))
-
-        name, tie, first, inner = None, None, True, None
-
-        def close():
-            if inner is not None:
-                yield _per_resample((*name, inner[0], False), [*names, "at", "tie"], inner[1:], ("pos", "neg", "wins"))
-            if tie is not None:
-                yield tie_row(name, *tie)
-
+        held: dict[int, list[tuple]] = {c: [] for c in asked}
+        block, w = None, None
         for batch in batches:
-            for row, w in zip(batch.select([*names, "p", "pos", "neg"]).to_pylist(), _draws(batch, samples)):
-                here, p = tuple(row[c] for c in names), row["p"]
-                if here != name:
-                    if name is not None:
-                        yield from close()
-                    name, tie, first, inner = here, None, True, None
-                if tie is not None and p != tie[0]:
-                    if first:
-                        yield tie_row(name, *tie)
-                        first = False
-                    elif inner is None:
-                        inner = (tie[0], tie[1], tie[2], tie[1] * tie[2] / 2.0)
-                    else:
-                        wins = inner[3] + tie[1] * (inner[2] + tie[2] / 2.0)
-                        inner = (inner[0], inner[1] + tie[1], inner[2] + tie[2], wins)
-                    tie = None
-                pos, neg = row["pos"] * w, row["neg"] * w
-                tie = (p, pos, neg) if tie is None else (p, tie[1] + pos, tie[2] + neg)
-        if name is not None:
-            yield from close()
-
-    ddl = f"{_ddl(scored, names)}, at double, tie boolean, b bigint, pos double, neg double, wins double"
-    segments = placed.select(*names, "p", "pos", "neg", "hits").mapInArrow(count, ddl)
-    whole = segments.groupBy(*names, "b", "at", "tie").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
-    before = Window.partitionBy(*names, "b").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    below = whole.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
-    inside = F.when(F.col("tie"), F.col("pos") * F.col("neg") / 2.0).otherwise(F.col("wins"))
-    pairs_n = F.sum("pos") * F.sum("neg")
-    auc = F.when(pairs_n > 0, F.sum(inside + F.col("pos") * F.col("below")) / pairs_n)
-    return below.groupBy(*names, "b").agg(auc.alias("auroc")).groupBy(*keys, "b", "model").agg(F.avg("auroc").alias("auroc"))
+            for i in range(batch.num_rows):
+                chunk = batch.slice(i, 1).to_pylist()[0]
+                if w is None:
+                    block, w = chunk, _weights(chunk["of"], chunk["low"], chunk["high"])
+                held[chunk["col"]].append((chunk["part"], chunk["seq"], list(_pieces(chunk, w, sorted({*asked[chunk["col"]]})))))
+        if w is None:
+            return
+        ordered = {c: [p for *_, pieces in sorted(found, key=lambda f: f[:2]) for p in pieces] for c, found in held.items()}
+        for m, pairs in models.items():
+            each = np.array([_auroc(ordered[c], g) for g, c in pairs])
+            defined = (~np.isnan(each)).sum(axis=0)
+            macro = np.nansum(each, axis=0) / np.maximum(defined, 1)
+            n = len(macro)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([block[c]] * n) for c in keys], pa.array(np.arange(block["low"], block["high"])), pa.array([m] * n), pa.array(macro, mask=defined == 0)],
+                [*keys, "b", "model", "auroc"],
+            )
+
+    return count
 
 
 def subgroup_delta(rows: DataFrame, members: dict[str, Column], a: Sequence[str], b: Sequence[str], samples: int) -> DataFrame:
@@ -192,9 +292,9 @@ def subgroup_delta(rows: DataFrame, members: dict[str, Column], a: Sequence[str]
     Patients are drawn among those of the subgroup. ``status`` says when a subgroup holds no row or no difference is
     defined on the full set or in any resample; the figures that are not defined are null.
     """
-    tagged = subgroups(rows, members)
+    tagged = cut_lineage(subgroups(rows, members).select("subgroup", "patient_id", "true", *dict.fromkeys([*a, *b])))
     hits = bootstrap_hits(tagged, samples, ["subgroup"])
-    aurocs = resampled_macro_auroc(tagged, hits, samples, {"a": a, "b": b}, ["subgroup"])
+    aurocs = cut_lineage(resampled_macro_auroc(tagged, hits, samples, {"a": a, "b": b}, ["subgroup"]))
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("auroc")))
     per = aurocs.groupBy("subgroup", "b").agg(pick("a").alias("a"), pick("b").alias("b2")).withColumn("delta", F.col("a") - F.col("b2"))
     ends = interval(per, "delta", ["subgroup"])

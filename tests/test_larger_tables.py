@@ -1,11 +1,14 @@
 """Queries on odd and larger tables: own rows, and what used to fail on them."""
 
 import datetime
+import hashlib
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from boxtally.functions.values import draw, draws
 from boxtally.operators import audit as Q
 from boxtally.operators import stats as ST
 from boxtally.operators import voxels as V
@@ -161,3 +164,60 @@ def test_rows_outside_go_along_with_their_voxels_to_the_distance(spark):
     assert sorted((tuple(r[:6]) + (r.dist and round(r.dist, 9),) for r in got.collect()), key=str) == sorted(want, key=str)
     # the voxels outside are found once, and no join brings them together with their distances
     assert plan_of(got).count("LeftAnti") == 0 and "z#" not in "".join(line for line in plan_of(got).splitlines() if "Join" in line)
+
+
+def test_draws_on_arrays_equal_the_column(spark):
+    js = spark.range(1005).select(draw(F.lit(17), F.col("id")).alias("d"), "id").orderBy("id")
+    assert draws(17, 1005).tolist() == [r.d for r in js.collect()]
+    late = int(hashlib.md5(b"2026|1999|100001").hexdigest()[:15], 16)
+    assert draws(1999, 100_002)[-1] == late and draws(3, 0).size == 0
+
+
+def macro_auroc(rows, hits, columns):
+    """``rows`` has (patient, true, four scores); null scores come first, NaN last."""
+    place = lambda p: (-1, 0.0) if p is None else (1, 0.0) if math.isnan(p) else (0, p)
+    found = []
+    for g, c in zip((2, 3, 4, 5), columns):
+        pos = [(place(r[2 + c]), hits[r[0]]) for r in rows if r[1] == g]
+        neg = [(place(r[2 + c]), hits[r[0]]) for r in rows if r[1] != g]
+        n = sum(w for _, w in pos) * sum(w for _, w in neg)
+        if n:
+            found.append(sum(w * v * ((p > q) + (p == q) / 2) for p, w in pos for q, v in neg) / n)
+    return sum(found) / len(found) if found else None
+
+
+def test_macro_auroc_makes_its_draws_in_the_tasks(spark):
+    """Groups of their own sizes, a null group, a null patient, a patient without rows, scores that are null, NaN or minus zero."""
+    odd = [None, float("nan"), -0.0, 0.0, 0.5, 0.25]
+    rows = [(s, i % 7, 2 + i * 5 % 11 % 4 if i % 9 else 1, *[odd[(i * m + i // 4) % 6] if i % 2 else i * m % 13 / 16 for m in (1, 3, 5, 7)])
+            for s, n in (("x", 60), ("y", 25)) for i in range(n)]
+    rows += [("z", 1, 2, 0.1, 0.2, 0.3, 0.4), ("x", None, 3, 0.1, 0.2, 0.3, 0.4), (None, 2, 3, 0.1, 0.2, 0.3, 0.4)]
+    pairs = spark.createDataFrame(rows, "subgroup string, patient_id long, true long, p2 double, p3 double, p4 double, p5 double")
+    patients = spark.createDataFrame([(r[0], r[1]) for r in rows] + [("x", 99)], "subgroup string, patient_id long")
+    hits = ST.bootstrap_hits(patients, 9, ["subgroup"])
+    got = ST.resampled_macro_auroc(pairs, hits, 9, {"a": ["p2", "p3", "p4", "p5"], "b": ["p3", "p4", "p5", "p2"]}, ["subgroup"])
+    assert "md5" not in plan_of(got) and "md5" not in plan_of(hits.select("subgroup", "patient_id", "idx", "of")) and "md5" in plan_of(hits)
+    want = {}
+    for s in "xyz":
+        ids = sorted({p for g, p in patients.collect() if g == s}, key=lambda p: (p is not None, p or 0))
+        for b in range(-1, 9):
+            drawn = Counter(int(hashlib.md5(f"2026|{b}|{j}".encode()).hexdigest()[:15], 16) % len(ids) for j in range(len(ids)))
+            weight = {p: drawn[i] if b >= 0 else 1 for i, p in enumerate(ids)} | {None: 0}
+            mine = [r[1:] for r in rows if r[0] == s]
+            want |= {(s, b, m): macro_auroc(mine, weight, c) for m, c in (("a", (0, 1, 2, 3)), ("b", (1, 2, 3, 0)))}
+    found = {(r.subgroup, r.b, r.model): r.auroc for r in got.collect()}
+    assert found.keys() == want.keys() and want["z", -1, "a"] is None
+    assert {k: v and pytest.approx(v, abs=1e-12) for k, v in want.items()} == found
+
+
+@pytest.mark.parametrize("scores", [3, 1_000_003])
+def test_macro_auroc_of_several_chunks(spark, scores):
+    base = spark.range(24_000).select((F.col("id") % 50).alias("patient_id"), (2 + F.col("id") % 5).alias("true"), *[
+        (F.expr(f"id * {k} % 104729 % {scores}") / 8.0).alias(f"p{g}") for g, k in zip((2, 3, 4, 5), (3, 5, 7, 11))])
+    models = {"a": ["p2", "p3", "p4", "p5"]}
+    got = ST.resampled_macro_auroc(base, ST.bootstrap_hits(base, 3), 3, models)
+    want = ST.weighted_macro_auroc(base, ST.bootstrap_weights(base, 3, point=True), models)
+    value = lambda df: {r.b: r.auroc for r in df.collect()}
+    assert value(got) == pytest.approx(value(want), abs=1e-12)
+    empty = base.filter("patient_id < 0")
+    assert ST.resampled_macro_auroc(empty, ST.bootstrap_hits(empty, 3), 3, models).count() == 0
