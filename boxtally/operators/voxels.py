@@ -189,11 +189,12 @@ def connected_voxels(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class
 def voted_components(voxels: DataFrame, cls: str = "class") -> DataFrame:
     """Components of the foreground whatever its class; each takes its commonest class (lowest on ties)."""
     comp = connected_voxels(voxels, ("case_id",)).drop("voxels")
-    votes = comp.join(voxels.select(*VOXEL, cls).distinct(), list(VOXEL)).groupBy("case_id", "instance_id", cls).agg(F.count(F.lit(1)).alias("n"))
+    # compressed, a table of voxels looks small enough to be broadcast and is not
+    votes = comp.join(voxels.select(*VOXEL, cls).distinct().hint("merge"), list(VOXEL)).groupBy("case_id", "instance_id", cls).agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("case_id", "instance_id").agg(
         F.max_by(cls, F.struct("n", -F.col(cls))).alias(cls), F.sum("n").alias("voxels")
     )
-    return comp.join(best, ["case_id", "instance_id"])
+    return comp.join(best.hint("merge"), ["case_id", "instance_id"])
 
 
 def region_counts(voxels: DataFrame, keys: Sequence[str] = ("case_id", "class")) -> DataFrame:
@@ -456,7 +457,7 @@ def softmax_to_detections(probs: DataFrame, min_prob: float | None = None, stuff
     fg = best.select(*VOXEL, "b.class", "b.prob").filter((F.col("class") > 0) & ~F.col("class").isin(list(stuff) or [-1]))
     fg = cut_lineage(fg)
     comp = voted_components(fg).filter(F.col("voxels") > min_voxels)
-    joined = comp.join(fg.select(*VOXEL, "prob"), list(VOXEL))
+    joined = comp.join(fg.select(*VOXEL, "prob").hint("merge"), list(VOXEL))
     keys = ["case_id", "instance_id", "class"]
     q = F.percentile("prob", F.array(F.lit(0.5), F.lit(0.95)))
     scores = joined.groupBy(*keys).agg(

@@ -221,3 +221,13 @@ def test_macro_auroc_of_several_chunks(spark, scores):
     assert value(got) == pytest.approx(value(want), abs=1e-12)
     empty = base.filter("patient_id < 0")
     assert ST.resampled_macro_auroc(empty, ST.bootstrap_hits(empty, 3), 3, models).count() == 0
+
+
+def test_voxels_of_a_softmax_and_their_votes_are_not_broadcast(spark):
+    """Two instances of case 1, the first of both classes; background and a voxel of another case."""
+    spots = {(1, 0, 0, 0): (1, 0.5), (1, 0, 0, 1): (1, 0.75), (1, 0, 1, 1): (2, 0.9), (1, 4, 4, 4): (2, 0.6), (1, 0, 0, 3): (0, 0.95), (2, 0, 0, 0): (1, 0.7)}
+    rows = [(*at, c, p if c == best else (1 - p) / 3) for at, (best, p) in spots.items() for c in range(3)]
+    got = V.softmax_to_detections(spark.createDataFrame(rows, "case_id long, z long, y long, x long, class long, prob double"))
+    assert "Broadcast" not in plan_of(got)
+    found = {(r.case_id, r.instance_id): (r["class"], r.voxels, r.score, round(r.score_mean, 9), r.x1, r.x2, r.z2) for r in got.collect()}
+    assert found == {(1, 1): (1, 3, 0.9, round(2.15 / 3, 9), 0.0, 2.0, 1.0), (1, 2): (2, 1, 0.6, 0.6, 4.0, 5.0, 5.0), (2, 1): (1, 1, 0.7, 0.7, 0.0, 1.0, 1.0)}
