@@ -233,7 +233,7 @@ def test_voxels_of_a_softmax_and_their_votes_are_not_broadcast(spark):
     assert found == {(1, 1): (1, 3, 0.9, round(2.15 / 3, 9), 0.0, 2.0, 1.0), (1, 2): (2, 1, 0.6, 0.6, 4.0, 5.0, 5.0), (2, 1): (1, 1, 0.7, 0.7, 0.0, 1.0, 1.0)}
 
 
-@pytest.mark.parametrize("name", ["p13_paired_bootstrap_delta", "p14_verdict"])
+@pytest.mark.parametrize("name", ["p13_paired_bootstrap_delta", "p14_verdict", "p12_bootstrap_auroc"])
 def test_queries_over_resampled_aurocs_shuffle_no_draws(spark, tmp_path, name):
     got = QUERIES[name](spark, events_dir(spark, tmp_path, 600))
     assert "md5" not in plan_of(got) and "hits" not in plan_of(got)
