@@ -143,8 +143,9 @@ def resampled_macro_auroc(pairs: DataFrame, hits: DataFrame, samples: int, model
     spark, k = pairs.sparkSession, list(keys)
     columns = list(dict.fromkeys(c for cols in models.values() for c in cols))
     who = hits.select(*k, "patient_id", "idx", "of").hint("merge")
-    grade = F.coalesce(F.array_position(F.array(*[F.lit(g).cast("long") for g in GRADES]), F.col("true").cast("long")), F.lit(0)).cast("byte").alias("grade")
-    rows = cut_lineage(pairs.join(who, [*k, "patient_id"]).select(*k, F.col("idx").cast("int").alias("idx"), "of", grade, *columns))
+    # 0 is another grade; a row whose grade is not known counts on neither side
+    grade = F.array_position(F.array(*[F.lit(g).cast("long") for g in GRADES]), F.col("true").cast("long")).cast("byte").alias("grade")
+    rows = cut_lineage(pairs.filter(F.col("true").isNotNull()).join(who, [*k, "patient_id"]).select(*k, F.col("idx").cast("int").alias("idx"), "of", grade, *columns))
     scores = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("p")) for i, c in enumerate(columns)])).alias("e")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = rows.select(*k, "idx", "grade", scores).select(*k, "e.*", "idx", "grade")

@@ -187,11 +187,11 @@ def macro_auroc(rows, hits, columns):
 
 
 def test_macro_auroc_makes_its_draws_in_the_tasks(spark):
-    """Groups of their own sizes, a null group, a null patient, a patient without rows, scores that are null, NaN or minus zero."""
+    """Groups of their own sizes, a null group, patient and grade, a patient without rows, scores that are null, NaN or minus zero."""
     odd = [None, float("nan"), -0.0, 0.0, 0.5, 0.25]
     rows = [(s, i % 7, 2 + i * 5 % 11 % 4 if i % 9 else 1, *[odd[(i * m + i // 4) % 6] if i % 2 else i * m % 13 / 16 for m in (1, 3, 5, 7)])
             for s, n in (("x", 60), ("y", 25)) for i in range(n)]
-    rows += [("z", 1, 2, 0.1, 0.2, 0.3, 0.4), ("x", None, 3, 0.1, 0.2, 0.3, 0.4), (None, 2, 3, 0.1, 0.2, 0.3, 0.4)]
+    rows += [("z", 1, 2, 0.1, 0.2, 0.3, 0.4), ("x", None, 3, 0.1, 0.2, 0.3, 0.4), ("y", 2, None, 0.1, 0.2, 0.3, 0.4), (None, 2, 3, 0.1, 0.2, 0.3, 0.4)]
     pairs = spark.createDataFrame(rows, "subgroup string, patient_id long, true long, p2 double, p3 double, p4 double, p5 double")
     patients = spark.createDataFrame([(r[0], r[1]) for r in rows] + [("x", 99)], "subgroup string, patient_id long")
     hits = ST.bootstrap_hits(patients, 9, ["subgroup"])
@@ -203,7 +203,7 @@ def test_macro_auroc_makes_its_draws_in_the_tasks(spark):
         for b in range(-1, 9):
             drawn = Counter(int(hashlib.md5(f"2026|{b}|{j}".encode()).hexdigest()[:15], 16) % len(ids) for j in range(len(ids)))
             weight = {p: drawn[i] if b >= 0 else 1 for i, p in enumerate(ids)} | {None: 0}
-            mine = [r[1:] for r in rows if r[0] == s]
+            mine = [r[1:] for r in rows if r[0] == s and r[2] is not None]
             want |= {(s, b, m): macro_auroc(mine, weight, c) for m, c in (("a", (0, 1, 2, 3)), ("b", (1, 2, 3, 0)))}
     found = {(r.subgroup, r.b, r.model): r.auroc for r in got.collect()}
     assert found.keys() == want.keys() and want["z", -1, "a"] is None
